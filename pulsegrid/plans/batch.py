@@ -12,7 +12,7 @@ from pulsegrid.plans.catalog import (
     REQUESTS_SQL,
     SHIPMENTS_SQL,
     Query,
-    average_sql,
+    requests_sql,
     rollup_sql,
     rounded_average_sql,
     synthesis_sql,
@@ -222,13 +222,6 @@ logged AS (
   FROM requests)"""
 
 
-def _requests_sql(source: str) -> str:
-    joined = f"(SELECT request_id, sensor_type, value FROM {source} r JOIN messages m"
-    return synthesis_sql(
-        f"{joined} ON m.ts_ms >= r.from_ms AND m.ts_ms <= r.to_ms)", "request_id, sensor_type"
-    )
-
-
 def _json_object_sql() -> str:
     return (
         "'{\"sensorType\":' || sensor_type || ',\"minValue\":' || min_value || ',\"maxValue\":' || "
@@ -322,11 +315,11 @@ QUERIES = {
     ),
     "message_count": Query(_message_count, "SELECT count(*) AS messages FROM events"),
     "synthesis_requests": Query(
-        _requests, f"WITH {MESSAGES_SQL}, {REQUESTS_SQL} {_requests_sql('requests')}"
+        _requests, f"WITH {MESSAGES_SQL}, {REQUESTS_SQL} {requests_sql('requests')}"
     ),
     "synthesis_requests_json": Query(
         _requests_json,
-        f"""WITH {MESSAGES_SQL}, {REQUESTS_SQL}, answer AS ({_requests_sql('requests')})
+        f"""WITH {MESSAGES_SQL}, {REQUESTS_SQL}, answer AS ({requests_sql('requests')})
         SELECT request_id,
                '[' || string_agg({_json_object_sql()}, ',' ORDER BY sensor_type) || ']' AS json
         FROM answer GROUP BY request_id""",
@@ -395,7 +388,7 @@ QUERIES = {
         _request_log, f"WITH {_LOGGED_SQL} SELECT request_id, from_ms, to_ms FROM logged"
     ),
     "request_log_answers": Query(
-        _logged_requests, f"WITH {MESSAGES_SQL}, {_LOGGED_SQL} {_requests_sql('logged')}"
+        _logged_requests, f"WITH {MESSAGES_SQL}, {_LOGGED_SQL} {requests_sql('logged')}"
     ),
     "synthesis_json": Query(
         _json,

@@ -76,3 +76,12 @@ def rollup_sql(rows: str) -> str:
 SELECT bucket, sensor_type, min(value) AS min_value, max(value) AS max_value,
        CAST(sum(value) AS DECIMAL(38,0)) AS total, count(*) AS cnt, event_date
 FROM {rows} GROUP BY bucket, sensor_type, event_date"""
+
+
+def requests_sql(source: str) -> str:
+    """Answers to every row of ``source (request_id, from_ms, to_ms)``."""
+    covered = (
+        f"(SELECT request_id, sensor_type, value FROM {source} r "
+        f"JOIN messages m ON m.ts_ms >= r.from_ms AND m.ts_ms <= r.to_ms)"
+    )
+    return synthesis_sql(covered, "request_id, sensor_type")

@@ -61,9 +61,3 @@ REQUEST_SYNTHESIS = T.StructType([T.StructField("request_id", T.StringType()), *
 
 def message_columns() -> list[str]:
     return MESSAGES.fieldNames()
-
-
-def with_partitions(schema: T.StructType, *names_and_types) -> T.StructType:
-    """``schema`` followed by the partition columns a table has on disk."""
-    extra = [T.StructField(name, dtype) for name, dtype in names_and_types]
-    return T.StructType([*schema.fields, *extra])

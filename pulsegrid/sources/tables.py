@@ -59,10 +59,10 @@ def messages(
     return events_as_messages(events.filter(stored)).filter(closed_range(from_ms, to_ms))
 
 
-def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message per order line. Ids repeat, and ``seq`` (part and supplier)
-    only orders the copies of one id and time."""
-    rows = table(spark, sf_dir, "lineitem").select(
+def as_shipments(lineitem: DataFrame) -> DataFrame:
+    """``lineitem`` (batch or stream) as messages. Ids repeat, and ``seq`` (part and
+    supplier) only orders the copies of one id and time."""
+    rows = lineitem.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
         F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("ts_ms"),
         (F.col("l_partkey") * 1_000_000 + F.col("l_suppkey")).alias("seq"),
@@ -72,6 +72,11 @@ def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_time_columns(rows).select(*message_columns())
 
 
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One message per order line."""
+    return as_shipments(table(spark, sf_dir, "lineitem"))
+
+
 def raw_json(rows: DataFrame) -> DataFrame:
     """Messages as the JSON text they would arrive as."""
     return rows.select(wire_text().alias("raw"))

@@ -1,33 +1,51 @@
 """Parquet reads and writes of the store's tables."""
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import (
+    ArrayType,
+    DataType,
+    DateType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
-from pulsegrid.schema import MESSAGES, QUARANTINE, ROLLUP, with_partitions
+from pulsegrid.schema import MESSAGES, QUARANTINE, ROLLUP
 
-_BATCH = [("stream_id", T.StringType()), ("batch_id", T.LongType())]
-_GEN = [("gen", T.LongType())]
+
+def _schema(columns: StructType | dict[str, DataType], partitions: dict[str, DataType]) -> StructType:
+    if isinstance(columns, dict):
+        columns = StructType([StructField(*column) for column in columns.items()])
+    return StructType([*columns.fields, *[StructField(*column) for column in partitions.items()]])
+
+
+_BATCH = {"stream_id": StringType(), "batch_id": LongType()}
+_GEN = {"gen": LongType()}
 
 # Table folder -> columns, partition columns last.
 TABLES = {
-    "messages": with_partitions(MESSAGES, *_BATCH),
-    "rollup_1s": with_partitions(ROLLUP, *_BATCH),
-    "quarantine": with_partitions(QUARANTINE, *_BATCH),
-    "commits": with_partitions(
-        T.StructType.fromDDL(
-            "rows BIGINT, min_ts_ms BIGINT, max_ts_ms BIGINT, quarantined BIGINT, days ARRAY<DATE>"
-        ),
-        *_BATCH,
-    ),
-    "sealed_messages": with_partitions(MESSAGES, *_GEN),
-    "sealed_rollup_1s": with_partitions(ROLLUP, *_GEN),
-    "seal_coverage": with_partitions(
-        T.StructType.fromDDL("stream_id STRING, covered_batch BIGINT"), *_GEN
+    "messages": _schema(MESSAGES, _BATCH),
+    "rollup_1s": _schema(ROLLUP, _BATCH),
+    "quarantine": _schema(QUARANTINE, _BATCH),
+    "commits": _schema(
+        {
+            "rows": LongType(),
+            "min_ts_ms": LongType(),
+            "max_ts_ms": LongType(),
+            "days": ArrayType(DateType()),
+            "quarantined": LongType(),
+        },
+        _BATCH,
     ),
-    "seal_days": with_partitions(
-        T.StructType.fromDDL("event_date DATE, data_gen BIGINT, rows BIGINT"), *_GEN
+    "sealed_messages": _schema(MESSAGES, _GEN),
+    "sealed_rollup_1s": _schema(ROLLUP, _GEN),
+    "seal_coverage": _schema({"stream_id": StringType(), "covered_batch": LongType()}, _GEN),
+    "seal_days": _schema(
+        {"event_date": DateType(), "data_gen": LongType(), "rows": LongType()}, _GEN
     ),
-    "seals": with_partitions(T.StructType.fromDDL("horizon DATE"), *_GEN),
+    "seals": _schema({"horizon": DateType()}, _GEN),
 }
 
 
