@@ -17,7 +17,6 @@ from pulsegrid.plans.catalog import (
     rollup_sql,
     synthesis_sql,
 )
-from pulsegrid.schema import MESSAGES
 from pulsegrid.session import workspace
 from pulsegrid.sources import tables
 from pulsegrid.storage.store import Store
@@ -103,7 +102,7 @@ def _fan_out(spark, sf_dir):
 
     for batch_id, rows in enumerate(_in_two_batches(spark, sf_dir)):
         store.append(rows, batch_id, also=[sink])
-    return spark.read.schema(MESSAGES).parquet(copy)
+    return spark.read.parquet(copy).drop("batch_id")
 
 
 _ALL = f"WITH {MESSAGES_SQL} SELECT {MESSAGE_COLUMNS} FROM messages"

@@ -81,19 +81,20 @@ def _quarantine(spark, sf_dir):
     return stored.groupBy("reason").agg(F.count(F.lit(1)).alias("messages"))
 
 
+def _delivered_twice(spark, sf_dir) -> Store:
+    """Every event arrives twice, in the same batch or in different ones."""
+    raw = tables.raw_json(tables.messages(spark, sf_dir))
+    return _Run(spark).arrive(raw.unionAll(raw)).ingest(unique_ids=True).store
+
+
 def _unique_ids(spark, sf_dir):
-    """Shipments whose ids repeat within and across batches."""
-    run = _Run(spark).arrive(tables.raw_json(tables.shipments(spark, sf_dir)))
-    stored = run.ingest(unique_ids=True).store
-    kept = stored.messages().groupBy("id").agg(F.count(F.lit(1)).alias("stored"))
-    return kept
+    stored = _delivered_twice(spark, sf_dir).messages()
+    return stored.select("id", "ts_ms", "sensor_type", "value", "bucket", "event_date")
 
 
 def _turned_away(spark, sf_dir):
-    run = _Run(spark).arrive(tables.raw_json(tables.shipments(spark, sf_dir)))
-    rejected = run.ingest(unique_ids=True).store.quarantine()
-    ids = F.get_json_object("raw", "$.id").alias("id")
-    return rejected.groupBy(ids, "reason").agg(F.count(F.lit(1)).alias("copies"))
+    rejected = _delivered_twice(spark, sf_dir).quarantine()
+    return rejected.select(F.get_json_object("raw", "$.id").alias("id"), "reason")
 
 
 def _trailing_hour(spark, sf_dir):
@@ -106,16 +107,17 @@ def _trailing_hour(spark, sf_dir):
     return spark.read.parquet(f"{answers}/batch_id={last}")
 
 
-def _event_stream(spark, sf_dir, name) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
+def _table_stream(spark, sf_dir, name) -> DataFrame:
     schema = tables.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).parquet(path)
+    # A file source watches folders; the filter picks the table.
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
+    return reader.parquet(sf_dir)
 
 
 def _windowed(spark, sf_dir):
     """Stateful one-second windows in update mode; the last update of a key holds."""
     folder = workspace(spark, "windows")
-    rows = tables.events_as_messages(_event_stream(spark, sf_dir, "events"))
+    rows = tables.events_as_messages(_table_stream(spark, sf_dir, "events"))
 
     def write(updates: DataFrame, batch_id: int) -> None:
         updates.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
@@ -130,7 +132,7 @@ def _windowed(spark, sf_dir):
 def _dedup(spark, sf_dir):
     """Ids that pass the stateful filter; which copy of one passes is up to arrival."""
     folder = workspace(spark, "unique")
-    rows = tables.as_shipments(_event_stream(spark, sf_dir, "lineitem"))
+    rows = tables.as_shipments(_table_stream(spark, sf_dir, "lineitem"))
     unique_stream(rows).select("id").writeStream.format("parquet").option(
         "path", f"{folder}/rows"
     ).option("checkpointLocation", f"{folder}/checkpoint").trigger(
@@ -171,13 +173,12 @@ QUERIES = {
     "stream_dedup": Query(_dedup, f"WITH {SHIPMENTS_SQL} SELECT DISTINCT id FROM shipments"),
     "stream_unique_ids": Query(
         _unique_ids,
-        f"WITH {SHIPMENTS_SQL} SELECT DISTINCT id, CAST(1 AS BIGINT) AS stored FROM shipments",
+        f"""WITH {MESSAGES_SQL}
+        SELECT id, ts_ms, sensor_type, value, bucket, event_date FROM messages""",
     ),
     "stream_turned_away": Query(
         _turned_away,
-        f"""WITH {SHIPMENTS_SQL}
-        SELECT id, 'duplicate_id' AS reason, count(*) - 1 AS copies
-        FROM shipments GROUP BY id HAVING count(*) > 1""",
+        "SELECT CAST(event_id AS VARCHAR) AS id, 'duplicate_id' AS reason FROM events",
     ),
     "stream_trailing_hour": Query(
         _trailing_hour,

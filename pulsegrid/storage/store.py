@@ -20,8 +20,9 @@ from typing import Literal, NamedTuple
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
-from pulsegrid.operators.filters import closed_range, date_range
+from pulsegrid.operators.filters import closed_range
 from pulsegrid.operators.hybrid import hybrid_synthesis
+from pulsegrid.operators.joins import keys_fit_broadcast, semi_join
 from pulsegrid.operators.requests import synthesis_requests
 from pulsegrid.operators.synthesis import merge_partials, rollup
 from pulsegrid.schema import PARTIAL_VALUES, message_columns
@@ -72,10 +73,10 @@ class Store:
             return False
         part = self._part(batch_id)
         rows = messages.select(*message_columns())
-        # Sorting inside tasks is what the day-partitioned writer needs anyway.
-        ordered = rows.sortWithinPartitions("event_date", *SORT_BY[layout])
-        overwrite(ordered, self.root, "messages", part, by_day=True)
-        overwrite(_by_day_ranges(rollup(rows)), self.root, "rollup_1s", part, by_day=True)
+        order = SORT_BY[layout]
+        overwrite(_sized_files(rows, order), self.root, "messages", part, by_day=True)
+        parts = _sized_files(rollup(rows), ["bucket", "sensor_type"])
+        overwrite(parts, self.root, "rollup_1s", part, by_day=True)
         if quarantine is not None:
             overwrite(quarantine, self.root, "quarantine", part)
         for sink in also:
@@ -109,25 +110,18 @@ class Store:
     def commits(self) -> DataFrame:
         return read_table(self.spark, self.root, "commits")
 
-    def messages(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
-        """All committed messages, or those in ``[from_ms, to_ms]``."""
-        rows = self._snapshot("messages", message_columns())
-        return rows if from_ms is None else rows.filter(closed_range(from_ms, to_ms))
+    def snapshot(self) -> "Snapshot":
+        """The batches and seals committed by now, for several consistent reads."""
+        return Snapshot(self)
 
-    def rollup_partials(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
-        """Committed partials; a second may have several. Bounds select whole days."""
-        columns = ["bucket", "sensor_type", *PARTIAL_VALUES, "event_date"]
-        rows = self._snapshot("rollup_1s", columns)
-        return rows if from_ms is None else rows.filter(date_range(from_ms, to_ms))
+    def messages(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+        return self.snapshot().messages(from_ms, to_ms)
 
     def rollup(self) -> DataFrame:
-        """One partial per second and sensor."""
-        return merge_partials(self.rollup_partials(), "event_date", "bucket", "sensor_type")
+        return self.snapshot().rollup()
 
     def quarantine(self) -> DataFrame:
-        live = self.commits().select("stream_id", "batch_id")
-        rows = read_table(self.spark, self.root, "quarantine")
-        return rows.join(live, ["stream_id", "batch_id"], "left_semi")
+        return self.snapshot().quarantine()
 
     def count(self) -> DataFrame:
         """Number of stored messages, from the commit rows alone."""
@@ -138,10 +132,12 @@ class Store:
         return self.commits().agg(F.max("max_ts_ms")).first()[0]
 
     def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
-        return hybrid_synthesis(self.messages(), self.rollup_partials(), from_ms, to_ms)
+        now = self.snapshot()
+        return hybrid_synthesis(now.messages(), now.rollup_partials(), from_ms, to_ms)
 
     def synthesis_requests(self, requests: DataFrame) -> DataFrame:
-        return synthesis_requests(self.messages(), self.rollup_partials(), requests)
+        now = self.snapshot()
+        return synthesis_requests(now.messages(), now.rollup_partials(), requests)
 
     def trailing_hour(self, as_of_ms: int | None = None) -> DataFrame:
         """Synthesis of the hour up to ``as_of_ms``, by default the newest message."""
@@ -149,50 +145,19 @@ class Store:
         end = 0 if end is None else end
         return self.synthesis(end - MS_PER_HOUR, end)
 
-    def _snapshot(self, name: str, columns: list[str]) -> DataFrame:
-        """Sealed rows and the committed rows no seal holds."""
-        seal = self._seal()
-        rows = self._unsealed(read_table(self.spark, self.root, name), seal)
-        live = rows.join(
-            self.commits().select("stream_id", "batch_id"), ["stream_id", "batch_id"], "left_semi"
-        ).select(*columns)
-        return live if seal is None else self._sealed(name, seal).select(*columns).unionByName(live)
-
-    def _sealed(self, name: str, seal: _Seal) -> DataFrame:
-        current = self._of_gen("seal_days", seal.gen).select(
-            "event_date", F.col("data_gen").alias("gen")
-        )
-        rows = read_table(self.spark, self.root, f"sealed_{name}")
-        return rows.join(current, ["event_date", "gen"], "left_semi")
-
-    def _unsealed(self, rows: DataFrame, seal: _Seal | None) -> DataFrame:
-        """Rows, with ``stream_id, batch_id, event_date``, that ``seal`` does not hold."""
-        if seal is None:
-            return rows
-        recent = F.col("event_date") >= F.lit(seal.horizon)
-        if seal.covered is not None:
-            # On partition columns only, so superseded folders are never scanned.
-            later = F.lit(True)
-            for stream_id, batch_id in seal.covered.items():
-                later = later & ((F.col("stream_id") != stream_id) | (F.col("batch_id") > batch_id))
-            return rows.filter(recent | later)
-        coverage = self._of_gen("seal_coverage", seal.gen).select("stream_id", "covered_batch")
-        later = F.col("batch_id") > F.coalesce("covered_batch", F.lit(-1))
-        return rows.join(coverage, "stream_id", "left").filter(recent | later).drop("covered_batch")
-
     # Sealing
 
     def seal(self, before: date, layout: Literal["time", "sensor"] = "time") -> int:
         """Rewrite the days before ``before`` that have unsealed rows; returns the
         generation readers see from then on."""
-        last = self._seal()
+        last = self.newest_seal()
         gen = 1 if last is None else last.gen + 1
         horizon = before if last is None else max(before, last.horizon)
         part = f"gen={gen}"
         # Written first and read back: batches that commit from here on stay live.
         newest = self.commits().groupBy("stream_id").agg(F.max("batch_id").alias("covered_batch"))
         overwrite(newest.coalesce(1), self.root, "seal_coverage", part)
-        coverage = self._of_gen("seal_coverage", gen).drop("gen")
+        coverage = self.of_gen("seal_coverage", gen).drop("gen")
         due = (
             self.commits()
             .join(coverage, "stream_id")
@@ -200,7 +165,7 @@ class Store:
             .select("stream_id", "batch_id", F.explode("days").alias("event_date"))
             .filter(F.col("event_date") < F.lit(horizon))
         )
-        due = self._unsealed(due, last)
+        due = self.unsealed(due, last)
         dirty = due.select("event_date").distinct()
 
         messages = self._to_seal("messages", message_columns(), due, dirty, last)
@@ -216,11 +181,11 @@ class Store:
             part,
             by_day=True,
         )
-        days = self._of_gen("sealed_rollup_1s", gen).groupBy("event_date").agg(
+        days = self.of_gen("sealed_rollup_1s", gen).groupBy("event_date").agg(
             F.lit(gen).cast("bigint").alias("data_gen"), F.sum("cnt").alias("rows")
         )
         if last is not None:
-            kept = self._of_gen("seal_days", last.gen).drop("gen")
+            kept = self.of_gen("seal_days", last.gen).drop("gen")
             days = days.unionByName(kept.join(dirty, "event_date", "left_anti"))
         overwrite(days.coalesce(1), self.root, "seal_days", part)
         published = self.spark.range(1).select(F.lit(horizon).alias("horizon"))
@@ -230,19 +195,20 @@ class Store:
     def _to_seal(self, name, columns, due, dirty, last) -> DataFrame:
         """All rows of the dirty days: the batches due and the previous seal."""
         rows = read_table(self.spark, self.root, name)
-        fresh = rows.join(due, ["stream_id", "batch_id", "event_date"], "left_semi").select(*columns)
+        keys = ["stream_id", "batch_id", "event_date"]
+        fresh = semi_join(rows, due, keys, small=keys_fit_broadcast(due)).select(*columns)
         if last is None:
             return fresh
-        old = self._sealed(name, last).join(dirty, "event_date", "left_semi")
+        old = self.sealed(name, last).join(dirty, "event_date", "left_semi")
         return old.select(*columns).unionByName(fresh)
 
     def superseded(self) -> DataFrame:
         """Batches whose rows are all sealed; their folders may be deleted after a
         grace period for running readers."""
-        seal = self._seal()
+        seal = self.newest_seal()
         if seal is None:
             return self.commits().select("stream_id", "batch_id").limit(0)
-        coverage = self._of_gen("seal_coverage", seal.gen).drop("gen")
+        coverage = self.of_gen("seal_coverage", seal.gen).drop("gen")
         return (
             self.commits()
             .join(coverage, "stream_id")
@@ -251,19 +217,93 @@ class Store:
             .select("stream_id", "batch_id")
         )
 
-    def _seal(self) -> _Seal | None:
+    def sealed(self, name: str, seal: _Seal) -> DataFrame:
+        """The rows of table ``name`` that ``seal`` holds."""
+        current = self.of_gen("seal_days", seal.gen).select(
+            "event_date", F.col("data_gen").alias("gen")
+        )
+        rows = read_table(self.spark, self.root, f"sealed_{name}")
+        # One key per day, of at most ten thousand years.
+        return semi_join(rows, current, ["event_date", "gen"], small=True)
+
+    def unsealed(self, rows: DataFrame, seal: _Seal | None) -> DataFrame:
+        """Rows, with ``stream_id, batch_id, event_date``, that ``seal`` does not hold."""
+        if seal is None:
+            return rows
+        recent = F.col("event_date") >= F.lit(seal.horizon)
+        if seal.covered is not None:
+            # On partition columns only, so superseded folders are never scanned.
+            later = F.lit(True)
+            for stream_id, batch_id in seal.covered.items():
+                later = later & ((F.col("stream_id") != stream_id) | (F.col("batch_id") > batch_id))
+            return rows.filter(recent | later)
+        coverage = self.of_gen("seal_coverage", seal.gen).select("stream_id", "covered_batch")
+        later = F.col("batch_id") > F.coalesce("covered_batch", F.lit(-1))
+        return rows.join(coverage, "stream_id", "left").filter(recent | later).drop("covered_batch")
+
+    def newest_seal(self) -> _Seal | None:
         newest = read_table(self.spark, self.root, "seals").orderBy(F.desc("gen")).first()
         if newest is None:
             return None
-        coverage = self._of_gen("seal_coverage", newest["gen"]).limit(MAX_LITERAL_STREAMS + 1)
+        coverage = self.of_gen("seal_coverage", newest["gen"]).limit(MAX_LITERAL_STREAMS + 1)
         streams = {row["stream_id"]: row["covered_batch"] for row in coverage.collect()}
         few = len(streams) <= MAX_LITERAL_STREAMS
         return _Seal(newest["gen"], newest["horizon"], streams if few else None)
 
-    def _of_gen(self, name: str, gen: int) -> DataFrame:
+    def of_gen(self, name: str, gen: int) -> DataFrame:
         return read_table(self.spark, self.root, name, f"gen={gen}")
 
 
+class Snapshot:
+    """One committed state of a store.
+
+    The commit rows are listed once and the size of that list is checked once, so
+    messages and rollup come from the same batches. The list is broadcast; a store
+    with more live batches than that bears joins it in a shuffle, and is due for
+    sealing and for the removal of superseded batches.
+    """
+
+    def __init__(self, store: Store):
+        self._store = store
+        self._seal = store.newest_seal()
+        self._batches = store.commits().select("stream_id", "batch_id")
+        self._few_batches = keys_fit_broadcast(self._batches)
+
+    def messages(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
+        """All messages, or those in ``[from_ms, to_ms]``."""
+        rows = self._rows("messages", message_columns())
+        return rows if from_ms is None else rows.filter(closed_range(from_ms, to_ms))
+
+    def rollup_partials(self) -> DataFrame:
+        """Partials by second and sensor; late rows give a second several."""
+        return self._rows("rollup_1s", ["bucket", "sensor_type", *PARTIAL_VALUES, "event_date"])
+
+    def rollup(self) -> DataFrame:
+        """One partial per second and sensor."""
+        return merge_partials(self.rollup_partials(), "event_date", "bucket", "sensor_type")
+
+    def quarantine(self) -> DataFrame:
+        return self._committed(read_table(self._store.spark, self._store.root, "quarantine"))
+
+    def _committed(self, rows: DataFrame) -> DataFrame:
+        return semi_join(rows, self._batches, ["stream_id", "batch_id"], small=self._few_batches)
+
+    def _rows(self, name: str, columns: list[str]) -> DataFrame:
+        """Sealed rows and the committed rows no seal holds."""
+        rows = read_table(self._store.spark, self._store.root, name)
+        live = self._committed(self._store.unsealed(rows, self._seal)).select(*columns)
+        if self._seal is None:
+            return live
+        return self._store.sealed(name, self._seal).select(*columns).unionByName(live)
+
+
+def _sized_files(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Rows grouped by day for writing: adaptive execution merges small groups and
+    splits a busy day, so a batch gives few files however many tasks or days it has."""
+    grouped = rows.hint("rebalance", F.col("event_date"))
+    return grouped.sortWithinPartitions("event_date", *order)
+
+
 def _by_day_ranges(rows: DataFrame, *order: str) -> DataFrame:
     """Rows in files that each hold a narrow stretch of few days.
 
