@@ -44,9 +44,10 @@ def date_of(ts_ms: Column) -> Column:
     return F.date_add(F.lit(_EPOCH), floor_div(ts_ms, MS_PER_DAY).cast("int"))
 
 
-def day(ms: int) -> date:
+def day(ms: int) -> Column:
     """Day of a literal bound, clipped to the supported years."""
-    return _EPOCH + timedelta(days=min(max(ms, MIN_MS), MAX_MS) // MS_PER_DAY)
+    found = _EPOCH + timedelta(days=min(max(ms, MIN_MS), MAX_MS) // MS_PER_DAY)
+    return F.lit(found.isoformat()).cast("date")
 
 
 def with_time_columns(df):

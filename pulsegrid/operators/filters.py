@@ -22,7 +22,7 @@ def bounds(from_ms: int | None = None, duration_s: int | None = None, *, as_of_m
 
 def date_range(from_ms: int, to_ms: int) -> Column:
     """The days that ``[from_ms, to_ms]`` touches."""
-    return F.col("event_date").between(F.lit(day(from_ms)), F.lit(day(to_ms)))
+    return F.col("event_date").between(day(from_ms), day(to_ms))
 
 
 def closed_range(from_ms: int, to_ms: int) -> Column:
@@ -51,7 +51,7 @@ def trailing_hour(messages: DataFrame, as_of_ms: int) -> DataFrame:
 def retained(messages: DataFrame, as_of_ms: int, keep_ms: int = MS_PER_HOUR) -> DataFrame:
     """Messages no older than ``keep_ms`` at ``as_of_ms``."""
     oldest = as_of_ms - keep_ms
-    return messages.filter((F.col("event_date") >= F.lit(day(oldest))) & (F.col("ts_ms") >= oldest))
+    return messages.filter((F.col("event_date") >= day(oldest)) & (F.col("ts_ms") >= oldest))
 
 
 def complete_rows(messages: DataFrame) -> DataFrame:
