@@ -30,8 +30,10 @@ def read_messages(
     Returns the message columns, ``raw`` and ``reason``; ``reason`` is NULL for a
     good message. ``timestamp="any"`` also takes a number of epoch ms.
     ``on_missing="zero"`` reads absent fields as 0 instead of rejecting the
-    message. Works on batch and streaming tables alike.
+    message. Works on batch and streaming tables alike, but only a batch can be
+    numbered: ``seq`` is NULL on a streaming table.
     """
+    arrival = F.lit(None).cast("bigint") if raw.isStreaming else F.monotonically_increasing_id()
     fields = F.from_json(
         "raw", WIRE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
@@ -49,7 +51,7 @@ def read_messages(
     numbered = read.select(
         "id",
         "ts_ms",
-        F.monotonically_increasing_id().alias("seq"),
+        arrival.alias("seq"),
         "sensor_type",
         F.col("wide_value").alias("value"),
         "raw",
