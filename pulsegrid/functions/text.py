@@ -7,7 +7,8 @@ def whole_number(text: Column, dtype: str) -> Column:
     """A whole number in ``text`` (``2``, ``"2"``, ``1.0``), NULL if it has a
     fraction, does not fit ``dtype`` or is no number."""
     exact = text.try_cast("decimal(38,18)")
-    return F.when(exact % 1 == 0, exact.try_cast(dtype))
+    # The decimal detour is only taken for text that is no plain integer.
+    return F.coalesce(text.try_cast(dtype), F.when(exact % 1 == 0, exact.try_cast(dtype)))
 
 
 def query_parameters(query: Column) -> Column:

@@ -6,7 +6,7 @@ before the shuffle: a key with a third of all rows sends one row per map task.
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pulsegrid.operators.joins import stored_keys
+from pulsegrid.operators.joins import probe
 from pulsegrid.schema import MESSAGE_KEY
 
 
@@ -32,12 +32,12 @@ def repeated_ids(messages: DataFrame, order: list[str | Column] = MESSAGE_KEY) -
 
 def known_ids(probes: DataFrame, store: DataFrame, on: str = "id") -> DataFrame:
     """Rows of ``probes`` whose id is in ``store``."""
-    return probes.join(stored_keys(probes, store, [on]), on, "left_semi")
+    return probe(probes, store, [on], "left_semi")
 
 
 def new_ids(probes: DataFrame, store: DataFrame, on: str = "id") -> DataFrame:
     """Rows of ``probes`` whose id is not in ``store``."""
-    return probes.join(stored_keys(probes, store, [on]), on, "left_anti")
+    return probe(probes, store, [on], "left_anti")
 
 
 def upsert_last(rows: DataFrame, arrival: list[str | Column], keys: list[str] = MESSAGE_KEY) -> DataFrame:
@@ -47,4 +47,4 @@ def upsert_last(rows: DataFrame, arrival: list[str | Column], keys: list[str] =
 
 def evict_persisted(hot: DataFrame, persisted: DataFrame, keys: list[str] = MESSAGE_KEY) -> DataFrame:
     """Rows of ``hot`` that ``persisted`` does not hold yet."""
-    return hot.join(stored_keys(hot, persisted, keys), keys, "left_anti")
+    return probe(hot, persisted, keys, "left_anti")

@@ -26,12 +26,17 @@ def semi_join(big: DataFrame, keys: DataFrame, on: list[str], *, small: bool) ->
     return big.join(F.broadcast(keys) if small else keys.hint("merge"), on, "left_semi")
 
 
-def stored_keys(probes: DataFrame, store: DataFrame, on: list[str]) -> DataFrame:
-    """Distinct keys of ``probes`` that ``store`` holds.
-
-    A probe batch that fits is broadcast into the scan of the store, so the
-    store is neither shuffled nor broadcast; a larger one meets it in a shuffle.
+def probe(probes: DataFrame, store: DataFrame, on: list[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join of ``probes`` with the keys of ``store``.
+
+    A probe batch that fits is broadcast into the scan of the store, so the store
+    is not shuffled; the keys found there are no more than the probes and are
+    broadcast back. A larger batch meets the store's distinct keys in a shuffle:
+    a key the store holds often is reduced before it, one probed often is split
+    by adaptive execution.
     """
-    wanted = probes.select(*on).distinct()
-    found = semi_join(store.select(*on), wanted, on, small=keys_fit_broadcast(wanted))
-    return found.distinct()
+    wanted, stored = probes.select(*on), store.select(*on)
+    if keys_fit_broadcast(wanted):
+        found = semi_join(stored, wanted, on, small=True).distinct()
+        return probes.join(F.broadcast(found), on, how)
+    return probes.join(stored.distinct().hint("merge"), on, how)

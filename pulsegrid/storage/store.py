@@ -14,9 +14,11 @@ One writer per ``stream_id``, with increasing batch ids, and one sealer at a tim
 """
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 from datetime import date
 from typing import Literal, NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
@@ -73,17 +75,28 @@ class Store:
             return False
         part = self._part(batch_id)
         rows = messages.select(*message_columns())
-        order = SORT_BY[layout]
-        overwrite(_sized_files(rows, order), self.root, "messages", part, by_day=True)
-        parts = _sized_files(rollup(rows), ["bucket", "sensor_type"])
-        overwrite(parts, self.root, "rollup_1s", part, by_day=True)
+        tables = {
+            "messages": _sized_files(rows, SORT_BY[layout]),
+            "rollup_1s": _sized_files(rollup(rows), ["bucket", "sensor_type"]),
+        }
         if quarantine is not None:
-            overwrite(quarantine, self.root, "quarantine", part)
+            tables["quarantine"] = quarantine
+        self._write_side_by_side(tables, part)
         for sink in also:
             sink(rows, batch_id)
         self._commit(rows, quarantine, part)
         return True
 
+    def _write_side_by_side(self, tables: dict[str, DataFrame], part: str) -> None:
+        """The tables of a batch as concurrent jobs; the first failure is raised."""
+
+        def write(name: str) -> None:
+            overwrite(tables[name], self.root, name, part, by_day="event_date" in tables[name].columns)
+
+        with ThreadPoolExecutor(len(tables)) as pool:
+            for job in [pool.submit(inheritable_thread_target(self.spark)(write), n) for n in tables]:
+                job.result()
+
     def _commit(self, rows: DataFrame, quarantine: DataFrame | None, part: str) -> None:
         summary = rows.agg(
             F.count(F.lit(1)).alias("rows"),
@@ -132,12 +145,10 @@ class Store:
         return self.commits().agg(F.max("max_ts_ms")).first()[0]
 
     def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
-        now = self.snapshot()
-        return hybrid_synthesis(now.messages(), now.rollup_partials(), from_ms, to_ms)
+        return self.snapshot().synthesis(from_ms, to_ms)
 
     def synthesis_requests(self, requests: DataFrame) -> DataFrame:
-        now = self.snapshot()
-        return synthesis_requests(now.messages(), now.rollup_partials(), requests)
+        return self.snapshot().synthesis_requests(requests)
 
     def trailing_hour(self, as_of_ms: int | None = None) -> DataFrame:
         """Synthesis of the hour up to ``as_of_ms``, by default the newest message."""
@@ -282,6 +293,12 @@ class Snapshot:
         """One partial per second and sensor."""
         return merge_partials(self.rollup_partials(), "event_date", "bucket", "sensor_type")
 
+    def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
+        return hybrid_synthesis(self.messages(), self.rollup_partials(), from_ms, to_ms)
+
+    def synthesis_requests(self, requests: DataFrame) -> DataFrame:
+        return synthesis_requests(self.messages(), self.rollup_partials(), requests)
+
     def quarantine(self) -> DataFrame:
         return self._committed(read_table(self._store.spark, self._store.root, "quarantine"))
 
