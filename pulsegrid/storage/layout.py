@@ -34,7 +34,11 @@ TABLES = {
             "rows": LongType(),
             "min_ts_ms": LongType(),
             "max_ts_ms": LongType(),
-            "days": ArrayType(DateType()),
+            "days": ArrayType(
+                StructType(
+                    [StructField("event_date", DateType()), StructField("day_rows", LongType())]
+                )
+            ),
             "quarantined": LongType(),
         },
         _BATCH,
@@ -43,7 +47,13 @@ TABLES = {
     "sealed_rollup_1s": _schema(ROLLUP, _GEN),
     "seal_coverage": _schema({"stream_id": StringType(), "covered_batch": LongType()}, _GEN),
     "seal_days": _schema(
-        {"event_date": DateType(), "data_gen": LongType(), "rows": LongType()}, _GEN
+        {
+            "event_date": DateType(),
+            "data_gen": LongType(),
+            "day_rows": LongType(),
+            "max_ts_ms": LongType(),
+        },
+        _GEN,
     ),
     "seals": _schema({"horizon": DateType()}, _GEN),
 }

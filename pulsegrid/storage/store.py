@@ -35,6 +35,9 @@ Sink = Callable[[DataFrame, int], None]
 
 SORT_BY = {"time": ["ts_ms", "seq"], "sensor": ["sensor_type", "ts_ms", "seq"]}
 
+# What a sealed day is split by: hours, so that a file spans little time, or sensors.
+SEAL_BY = {"time": "bucket div 3600", "sensor": "sensor_type"}
+
 # Up to this many streams, sealed batches are pruned by a literal condition.
 MAX_LITERAL_STREAMS = 100
 
@@ -98,11 +101,17 @@ class Store:
                 job.result()
 
     def _commit(self, rows: DataFrame, quarantine: DataFrame | None, part: str) -> None:
-        summary = rows.agg(
-            F.count(F.lit(1)).alias("rows"),
+        daily = rows.groupBy("event_date").agg(
+            F.count(F.lit(1)).alias("day_rows"),
             F.min("ts_ms").alias("min_ts_ms"),
             F.max("ts_ms").alias("max_ts_ms"),
-            F.collect_set("event_date").alias("days"),
+        )
+        # One element per day of the batch.
+        summary = daily.agg(
+            F.coalesce(F.sum("day_rows"), F.lit(0)).alias("rows"),
+            F.min("min_ts_ms").alias("min_ts_ms"),
+            F.max("max_ts_ms").alias("max_ts_ms"),
+            F.collect_list(F.struct("event_date", "day_rows")).alias("days"),
         )
         rejected = 0 if quarantine is None else quarantine.count()
         overwrite(
@@ -116,7 +125,16 @@ class Store:
         return f"stream_id={self.stream_id}/batch_id={batch_id}"
 
     def _is_committed(self, batch_id: int) -> bool:
-        return not read_table(self.spark, self.root, "commits", self._part(batch_id)).isEmpty()
+        if not read_table(self.spark, self.root, "commits", self._part(batch_id)).isEmpty():
+            return True
+        # Its commit row may be gone once it is sealed.
+        seal = self.newest_seal()
+        if seal is None:
+            return False
+        covering = self.of_gen("seal_coverage", seal.gen).filter(
+            (F.col("stream_id") == self.stream_id) & (F.col("covered_batch") >= batch_id)
+        )
+        return not covering.isEmpty()
 
     # Reading
 
@@ -137,12 +155,24 @@ class Store:
         return self.snapshot().quarantine()
 
     def count(self) -> DataFrame:
-        """Number of stored messages, from the commit rows alone."""
-        return self.commits().agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("messages"))
+        """Number of stored messages, from commit and seal rows alone."""
+        seal = self.newest_seal()
+        rows = self.unsealed(self._committed_days(), seal).select("day_rows")
+        if seal is not None:
+            rows = rows.unionByName(self.of_gen("seal_days", seal.gen).select("day_rows"))
+        return rows.agg(F.coalesce(F.sum("day_rows"), F.lit(0)).alias("messages"))
 
     def latest_ms(self) -> int | None:
         """Event time of the newest committed message."""
-        return self.commits().agg(F.max("max_ts_ms")).first()[0]
+        seal = self.newest_seal()
+        newest = self.commits().select("max_ts_ms")
+        if seal is not None:
+            newest = newest.unionByName(self.of_gen("seal_days", seal.gen).select("max_ts_ms"))
+        return newest.agg(F.max("max_ts_ms")).first()[0]
+
+    def _committed_days(self) -> DataFrame:
+        """One row per committed batch and day: ``event_date, day_rows``."""
+        return self.commits().select("stream_id", "batch_id", F.inline("days"))
 
     def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
         return self.snapshot().synthesis(from_ms, to_ms)
@@ -170,30 +200,37 @@ class Store:
         overwrite(newest.coalesce(1), self.root, "seal_coverage", part)
         coverage = self.of_gen("seal_coverage", gen).drop("gen")
         due = (
-            self.commits()
+            self._committed_days()
             .join(coverage, "stream_id")
             .filter("batch_id <= covered_batch")
-            .select("stream_id", "batch_id", F.explode("days").alias("event_date"))
             .filter(F.col("event_date") < F.lit(horizon))
+            .select("stream_id", "batch_id", "event_date")
         )
         due = self.unsealed(due, last)
         dirty = due.select("event_date").distinct()
 
         messages = self._to_seal("messages", message_columns(), due, dirty, last)
         overwrite(
-            _by_day_ranges(messages, *SORT_BY[layout]), self.root, "sealed_messages", part, by_day=True
+            _sized_files(messages, SORT_BY[layout], SEAL_BY[layout]),
+            self.root,
+            "sealed_messages",
+            part,
+            by_day=True,
         )
         columns = ["event_date", "bucket", "sensor_type", *PARTIAL_VALUES]
         parts = self._to_seal("rollup_1s", columns, due, dirty, last)
+        merged = merge_partials(parts, *columns[:3])
         overwrite(
-            _by_day_ranges(merge_partials(parts, *columns[:3])),
+            _sized_files(merged, ["bucket", "sensor_type"], SEAL_BY["time"]),
             self.root,
             "sealed_rollup_1s",
             part,
             by_day=True,
         )
-        days = self.of_gen("sealed_rollup_1s", gen).groupBy("event_date").agg(
-            F.lit(gen).cast("bigint").alias("data_gen"), F.sum("cnt").alias("rows")
+        days = self.of_gen("sealed_messages", gen).groupBy("event_date").agg(
+            F.lit(gen).cast("bigint").alias("data_gen"),
+            F.count(F.lit(1)).alias("day_rows"),
+            F.max("ts_ms").alias("max_ts_ms"),
         )
         if last is not None:
             kept = self.of_gen("seal_days", last.gen).drop("gen")
@@ -224,7 +261,7 @@ class Store:
             self.commits()
             .join(coverage, "stream_id")
             .filter("batch_id <= covered_batch")
-            .filter(F.coalesce(F.array_max("days") < F.lit(seal.horizon), F.lit(True)))
+            .filter(F.coalesce(F.array_max("days.event_date") < F.lit(seal.horizon), F.lit(True)))
             .select("stream_id", "batch_id")
         )
 
@@ -314,18 +351,14 @@ class Snapshot:
         return self._store.sealed(name, self._seal).select(*columns).unionByName(live)
 
 
-def _sized_files(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Rows grouped by day for writing: adaptive execution merges small groups and
-    splits a busy day, so a batch gives few files however many tasks or days it has."""
-    grouped = rows.hint("rebalance", F.col("event_date"))
-    return grouped.sortWithinPartitions("event_date", *order)
-
-
-def _by_day_ranges(rows: DataFrame, *order: str) -> DataFrame:
-    """Rows in files that each hold a narrow stretch of few days.
+def _sized_files(rows: DataFrame, order: list[str], by: str = "0") -> DataFrame:
+    """Rows grouped by day (and ``by``) for writing, sorted within tasks.
 
-    Ranges are cut from a sample of the full sort key, so neither a busy day nor
-    a busy second ends up in one task.
+    Adaptive execution merges small groups and splits big ones, so a batch gives
+    few files however many tasks or days it has, and a busy day or sensor is
+    written by many tasks. Unlike a range partitioning this samples nothing.
     """
-    keys = ["event_date", *(order or ["bucket", "sensor_type"])]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    grouped = rows.withColumn("_group", F.expr(by)).hint(
+        "rebalance", F.col("event_date"), F.col("_group")
+    )
+    return grouped.drop("_group").sortWithinPartitions("event_date", *order)

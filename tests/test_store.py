@@ -92,7 +92,7 @@ def test_seal_rewrites_only_days_with_new_rows(store, messages_of):
     store.seal(DAYS[3])
     store.append(messages_of([(B + DAY + 9, 1, 3)]), 1)
     store.seal(DAYS[3])
-    days = store.of_gen("seal_days", 2).select("event_date", "data_gen", "rows")
+    days = store.of_gen("seal_days", 2).select("event_date", "data_gen", "day_rows")
     assert rows_of(days) == [(DAYS[0], 1, 1), (DAYS[1], 2, 2)]
 
 
