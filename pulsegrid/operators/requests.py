@@ -115,25 +115,23 @@ def _edges(messages: DataFrame, valid: DataFrame, extent: _Extent) -> DataFrame:
         F.least(offset("to_ms") + 1, F.lit(MS_PER_SECOND)).alias("hi"),
     )
     wanted = edge.select("bucket").distinct()
-    rows = semi_join(
-        messages.filter(closed_range(extent.from_ms, extent.to_ms)).select(
-            "bucket", "ts_ms", "sensor_type", "value"
-        ),
-        wanted,
-        ["bucket"],
-        small=extent.fits_broadcast(2),
-    )
-    units = rows.select(
+    rows = messages.filter(closed_range(extent.from_ms, extent.to_ms)).select(
         "bucket",
         (F.col("ts_ms") - F.col("bucket") * MS_PER_SECOND).alias("unit"),
         "sensor_type",
         "value",
     )
+    small, aggregate = extent.fits_broadcast(2), partials
+    if not small:
+        # Rows will be shuffled by second: first reduce a second that holds many of
+        # them to one partial per millisecond and sensor.
+        rows, aggregate = partials(rows, "bucket", "unit", "sensor_type"), merge_partials
+    rows = semi_join(rows, wanted, ["bucket"], small=small)
     return _meet(
-        in_blocks(units, EDGE_LEVELS),
+        in_blocks(rows, EDGE_LEVELS),
         cover(ranges, EDGE_LEVELS),
         ["bucket", "level", "block"],
-        aggregate=partials,
+        aggregate=aggregate,
         small=extent.fits_broadcast(4 * (EDGE_LEVELS + 1)),
     )
 

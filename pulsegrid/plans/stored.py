@@ -92,6 +92,13 @@ def _count(spark, sf_dir):
     return sealed_store(spark, sf_dir).count()
 
 
+def _retention(spark, sf_dir):
+    """Sealed days and late rows before ``LATE_BEFORE`` are dropped by a further seal."""
+    store = sealed_store(spark, sf_dir)
+    store.seal(SECOND_SEAL, keep_from=LATE_BEFORE)
+    return store.messages()
+
+
 def _fan_out(spark, sf_dir):
     """A second table fed by the same batches as the store's own."""
     store = _fresh(spark)
@@ -125,5 +132,6 @@ QUERIES = {
     "store_message_count": Query(
         _count, "SELECT CAST(count(*) AS BIGINT) AS messages FROM events"
     ),
+    "store_retention": Query(_retention, f"{_ALL} WHERE event_date >= DATE '{LATE_BEFORE}'"),
     "store_fan_out": Query(_fan_out, _ALL),
 }

@@ -29,9 +29,10 @@ def test_hot_key_is_reduced_before_the_shuffle(table):
     assert "WindowGroupLimit" in before_exchange and "Partial" in before_exchange
 
 
-@pytest.mark.parametrize("broadcast_rows", [joins.MAX_BROADCAST_ROWS, 0])
-def test_probes(table, monkeypatch, broadcast_rows):
+@pytest.mark.parametrize("broadcast_rows, heavy_keys", [(1_000_000, 10_000), (0, 10_000), (0, 3)])
+def test_probes(table, monkeypatch, broadcast_rows, heavy_keys):
     monkeypatch.setattr(joins, "MAX_BROADCAST_ROWS", broadcast_rows)
+    monkeypatch.setattr(joins, "MAX_HEAVY_KEYS", heavy_keys)
     store = table([("a", 1, 1, 1), ("a", 2, 2, 2), ("z", 1, 1, 1)])
     probes = table([("a", 7, 7, 7), ("q", 8, 8, 8), ("a", 9, 9, 9), (None, 1, 1, 1)])
     ids = lambda df: sorted(str(row["id"]) for row in df.collect())

@@ -1,3 +1,4 @@
+import shutil
 from datetime import date
 
 import expected
@@ -117,3 +118,34 @@ def test_fan_out_gets_what_the_store_gets(store, messages_of):
     store.append(messages_of(rows), 0, also=[lambda df, batch: seen.append((batch, df.count()))])
     store.append(messages_of(rows), 0, also=[lambda df, batch: seen.append((batch, df.count()))])
     assert seen == [(0, 15)]
+
+
+def test_superseded_folders_are_not_needed(store, spark, messages_of, tmp_path):
+    rows, late = _rows(0, 60), [(B + 3 * DAY + n, 1, n) for n in range(5)]
+    store.append(messages_of(rows), 0)
+    store.append(messages_of(late), 1)
+    store.seal(DAYS[3])
+    store.append(messages_of(_rows(400, 20)), 2)
+    # Batch 0 reaches into the unsealed last day; once that is sealed as well, both go.
+    assert store.superseded().count() == 0
+    store.seal(date(2024, 1, 1))
+    gone = {f"batch_id={row['batch_id']}" for row in store.superseded().collect()}
+    assert gone == {"batch_id=0", "batch_id=1", "batch_id=2"}
+    trimmed = tmp_path / "trimmed"
+    shutil.copytree(store.root, trimmed, ignore=lambda _, names: gone & set(names))
+    left = Store(spark, str(trimmed))
+    _check(left, rows + late + _rows(400, 20))
+    assert left.latest_ms() == store.latest_ms()
+    assert not left.append(messages_of(rows), 1)
+
+
+def test_retention_drops_whole_days(store, messages_of):
+    rows = [(B + day * DAY + n, 1, n) for day in range(4) for n in range(3)]
+    store.append(messages_of(rows), 0)
+    store.seal(DAYS[2])
+    store.append(messages_of([(B + 9, 1, 99)]), 1)
+    store.seal(DAYS[2], keep_from=DAYS[1])
+    kept = [row for row in rows if row[0] >= B + DAY]
+    _check(store, kept, B, B + 9 * DAY)
+    with pytest.raises(ValueError):
+        store.seal(DAYS[2], keep_from=DAYS[3])
