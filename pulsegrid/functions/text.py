@@ -14,14 +14,13 @@ def whole_number(text: Column, dtype: str) -> Column:
 def query_parameters(query: Column) -> Column:
     """``a=1&b=2`` to an array of ``(name, value)``, both URL-decoded."""
 
-    def pair(part: Column) -> Column:
-        halves = F.split(part, "=")
+    def pair(halves: Column) -> Column:
         return F.struct(
             F.try_url_decode(F.get(halves, 0)).alias("name"),
             F.try_url_decode(F.get(halves, 1)).alias("value"),
         )
 
-    return F.transform(F.split(query, "&"), pair)
+    return F.transform(F.transform(F.split(query, "&"), lambda part: F.split(part, "=")), pair)
 
 
 def first_parameter(parameters: Column, name: str) -> Column:

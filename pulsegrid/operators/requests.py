@@ -54,6 +54,7 @@ def synthesis_requests(messages: DataFrame, rollup: DataFrame, requests: DataFra
     ``request_id`` is unique. Requests whose bounds are missing or inverted, or
     that cover no message, yield no rows. One aggregate over ``requests`` runs
     when the plan is built: it prunes the scans and decides the join strategy.
+    ``requests`` is read several times; write one that is costly to compute first.
     """
     valid = requests.filter("from_ms <= to_ms").select(
         "request_id",

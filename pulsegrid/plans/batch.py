@@ -18,6 +18,7 @@ from pulsegrid.plans.catalog import (
     synthesis_sql,
 )
 from pulsegrid.schema import message_columns
+from pulsegrid.session import written
 from pulsegrid.sources import tables
 from pulsegrid.sources.messages import accepted, quarantined, read_messages
 from pulsegrid.sources.request_log import read_requests, readable_requests
@@ -196,9 +197,10 @@ def _request_log(spark, sf_dir):
 
 
 def _logged_requests(spark, sf_dir):
-    """The logged requests, answered."""
+    """The logged requests, parsed once and answered."""
     rows = tables.messages(spark, sf_dir)
-    return many.synthesis_requests(rows, synthesis.rollup(rows), _request_log(spark, sf_dir))
+    asked = written(_request_log(spark, sf_dir), "requests")
+    return many.synthesis_requests(rows, synthesis.rollup(rows), asked)
 
 
 def _json(spark, sf_dir):

@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Event times are UTC and arithmetic must raise on overflow instead of wrapping.
 REQUIRED_CONF = {
@@ -41,3 +41,11 @@ def shared_folder(spark: SparkSession) -> str:
 def workspace(spark: SparkSession, purpose: str) -> str:
     """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_folder(spark)}/pulsegrid/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to a fresh table in the shared folder and read back: for what
+    is costly to compute and read several times. Survives the loss of executors."""
+    path = workspace(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
