@@ -3,18 +3,50 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontamination, pii
-from pulsegrid.llm.batches import table
-from pulsegrid.session import workspace
+from pulsegrid.llm import bpe, decontamination, jaccard, pii, toxicity
+from pulsegrid.llm.batches import small, table
+from pulsegrid.session import workspace, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Toxic documents go; what toxic means is learned from ``labels`` on these documents."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(
+        docs.select(COLUMNS).withColumn("no_text", F.col("text").isNull()),
+        model,
+        keep=("text", "lang", "source", "n_chars", "no_text"),
+    )
+    return (
+        scored.where(F.col("score") < toxicity.PREDICT)
+        .withColumn("text", F.when(~F.col("no_text"), F.col("text")))
+        .select(COLUMNS)
+    )
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays.
+
+    Documents without id stay. Of rows that share an id one stays when the id does.
+    """
+    groups = written(jaccard.similar_documents(docs), "groups").where("doc_id IS NOT NULL")
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.select(COLUMNS).join(small(gone), "doc_id", "left_anti")
+    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if twice.isEmpty():
+        return kept.select(COLUMNS)
+    once = kept.join(twice, "doc_id", "left_anti").select(COLUMNS)
+    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS))
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are contaminated with benchmark items go."""
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where("contaminated").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    bad = written(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), "text_key").distinct(), "bad")
+    text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    same = docs["doc_id"].eqNullSafe(bad["bad_id"]) & (text_key == bad["text_key"])
+    return docs.select(COLUMNS).join(small(bad), same, "left_anti")
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,6 +67,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("toxicity", civil),
+    ("near_duplicates", deduplicated),
     ("decontamination", decontaminated),
     ("pii", masked),
     ("bpe", encoded),

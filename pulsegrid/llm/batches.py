@@ -1,6 +1,10 @@
 """Arrow batches of bounded size, and what the operators share around them."""
 
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from functools import cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,12 +18,27 @@ BATCH_CONF = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
+#: Rows up to which ``small`` marks a table for broadcast.
+BROADCAST_ROWS = 500_000
+
 Batches = Iterator[pa.RecordBatch]
 
 
+@cache
+def _package(application: str) -> str:
+    """A zip of this library for the executors of an application."""
+    top = Path(__file__).resolve().parents[2]
+    path = f"{tempfile.mkdtemp(prefix='pulsegrid-package-')}/pulsegrid_package.zip"
+    with zipfile.ZipFile(path, "w") as file:
+        for source in sorted((top / "pulsegrid").rglob("*.py")):
+            file.write(source, source.relative_to(top))
+    return path
+
+
 def map_batches(df: DataFrame, task: Callable[[Batches], Batches], schema: str) -> DataFrame:
     """``df`` through ``task``, batch by batch, within each partition."""
     spark = prepare(df.sparkSession)
+    spark.sparkContext.addPyFile(_package(spark.sparkContext.applicationId))
     for key, value in BATCH_CONF.items():
         spark.conf.set(key, value)
     return df.mapInArrow(task, schema)
@@ -42,3 +61,9 @@ def lower_ascii(text: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` of a few short columns, marked for broadcast when it has few enough rows;
+    beyond that the join shuffles."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df

@@ -116,7 +116,8 @@ def contamination(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, items (sorted ids as strings), contaminated.
+    """One row per document: doc_id, text_key (xxhash64 of the text), n_words, n_hit, items
+    (sorted ids as strings), contaminated.
 
     A word is hit when it lies in any occurrence of a window. An item of fewer words than
     ``window``, but not none, is one window. A null text, document or item, has no words;
@@ -145,6 +146,7 @@ def contamination(
     return (
         per_document.select(
             "doc_id",
+            "text_key",
             F.col("n_words").cast("long").alias("n_words"),
             F.aggregate("hits", begin, cover, lambda seen: seen["n"]).cast("long").alias("n_hit"),
             "items",

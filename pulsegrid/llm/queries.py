@@ -3,11 +3,24 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontamination, pii
+from pulsegrid.llm import bpe, decontamination, jaccard, pii, toxicity
 from pulsegrid.llm.batches import table
 from pulsegrid.plans.catalog import Query
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; a third of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.PREDICT).cast("int").alias("predicted"),
+        "spans",
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document, as counts and digests."""
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), bpe.default_vocabulary())
@@ -32,6 +45,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose five-word shingles agree to three quarters."""
+    return jaccard.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts of the base kinds, digest of their spans, all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -45,7 +63,9 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_toxicity": Query(op3_toxicity),
     "op4_bpe": Query(op4_bpe),
     "op6_decontamination": Query(op6_decontamination),
+    "op7_jaccard": Query(op7_jaccard),
     "op10_pii": Query(op10_pii),
 }
