@@ -8,6 +8,8 @@ of each group, and the sum of the smaller counts bounds how many shingles two se
 Surviving pairs are verified on the sets themselves.
 """
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -20,10 +22,11 @@ from pulsegrid.session import written
 
 #: Words of a shingle; least similarity in hundredths.
 WORDS, PERCENT = 5, 75
-#: Groups of a count vector.
-GROUPS = 128
+#: Shingles a group of a count vector holds on average, about; least and most groups. Counts
+#: are bytes, FULL stands for that many or more.
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS, FULL = 4, 16, 4096, 255
 #: Leading bits of a shingle's hash by which its frequency is estimated.
-FREQUENCY_BITS = 18
+FREQUENCY_BITS = 20
 #: Postings a task gathers before it sends them, and shingle ranges they are sent to.
 GATHER, RANGES = 1 << 20, 1024
 #: Documents of one shingle that are kept in one row, and of a salt when sets are compared.
@@ -63,9 +66,25 @@ def shingles_of(text: bytes, hashes: WordHashes, size: int = WORDS) -> np.ndarra
     return np.unique(total)
 
 
-def needed(n: int, m: int, percent: int) -> int:
-    """Least intersection of sets of n and m elements that reach the similarity."""
-    return -(-percent * (n + m) // (100 + percent))
+def point_of(shingles: np.ndarray) -> np.ndarray:
+    """The count vector of a set: shingles by their hash modulo a power of two that grows
+    with the set."""
+    groups = min(max(LEAST_GROUPS, 1 << (len(shingles) // PER_GROUP).bit_length()), MOST_GROUPS)
+    counts = np.bincount((shingles % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return np.minimum(counts, FULL).astype(np.uint8)
+
+
+def folded(point: np.ndarray, groups: int) -> np.ndarray:
+    """A count vector over fewer groups: a power of two divides into the smaller one."""
+    return point.astype(np.int32).reshape(-1, groups).sum(0)
+
+
+def most_shared(p: np.ndarray, q: np.ndarray) -> int:
+    """No more shingles than this can be in both sets: the sum of the smaller counts."""
+    if p.max(initial=0) == FULL or q.max(initial=0) == FULL:
+        return 1 << 60
+    groups = min(len(p), len(q))
+    return int(np.minimum(folded(p, groups), folded(q, groups)).sum())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -95,7 +114,7 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
             )
         yield pa.record_batch(
             [pa.nulls(pieces, batch_type), pa.nulls(pieces, pa.int64()), pa.nulls(pieces, pa.int64()), pa.array(range(pieces), pa.int32()),
-             pa.array([x.tobytes() for x in np.split(counts, pieces)], pa.binary())],
+             pa.array([zlib.compress(x.tobytes(), 1) for x in np.split(counts, pieces)], pa.binary())],
             ["doc_id", "key", "n", "piece", "counts"],
         )
 
@@ -109,7 +128,7 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for piece, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                values = np.frombuffer(data, np.int64)
+                values = np.frombuffer(zlib.decompress(data), np.int64)
                 sums[piece] = sums[piece] + values if piece in sums else values
         yield pa.record_batch(
             [pa.array(sums.keys(), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "counts"]
@@ -117,7 +136,7 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
 
     parts = map_batches(both.where("piece IS NOT NULL").select("piece", "counts").repartition("piece"), add, "piece int, counts binary")
     counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
-    for piece, data in parts.collect():  # 64 rows, 2 MiB in all
+    for piece, data in parts.collect():  # 64 rows, 8 MiB in all
         counts.reshape(pieces, -1)[piece] = np.frombuffer(data, np.int64)
     return both.where("piece IS NULL").select("doc_id", "key", "n"), counts
 
@@ -128,7 +147,7 @@ def _postings(keyed: DataFrame, frequencies: np.ndarray, size: int, percent: int
     one of. They travel packed, a row for each task and range of hashes."""
     spark = keyed.sparkSession
     ranges = max(RANGES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shared = spark.sparkContext.broadcast(np.minimum(frequencies, 2**31 - 1).astype(np.int32))  # 1 MiB
+    shared = spark.sparkContext.broadcast(np.minimum(frequencies, 2**31 - 1).astype(np.int32))  # 4 MiB
 
     def prefixes(batches: Batches) -> Batches:
         hashes, counts, shift = WordHashes(), shared.value, np.uint64(64 - FREQUENCY_BITS)
@@ -222,10 +241,50 @@ def _texts_of(keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame
     return keyed.join(small(chosen), "key").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).drop("chosen", "doc_id")
 
 
+def _points(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """Count vectors of all documents that stand in blocks: key, n, point."""
+
+    def vectors(batches: Batches) -> Batches:
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles_of(t, hashes, size) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch(
+                [batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array([point_of(x).tobytes() for x in sets], pa.binary())],
+                ["key", "n", "point"],
+            )
+
+    wanted = blocks.select(F.explode("keys").alias("key")).distinct()
+    found = map_batches(_texts_of(keyed, rows, wanted).select("key", "text"), vectors, "key long, n long, point binary")
+    return written(found, "points").dropDuplicates(["key"])
+
+
+def _within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes and count vectors allow the similarity."""
+
+    def check(batches: Batches) -> Batches:
+        for batch in batches:
+            a, b, n, m, p, q = (c.to_pylist() for c in batch.columns)
+            kept = [
+                (100 + percent) * most_shared(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)) >= percent * (i + j)
+                for i, j, x, y in zip(n, m, p, q, strict=True)
+            ]
+            yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
+
+    of_a = points.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("point_a"))
+    of_b = points.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("point_b"))
+    near = (
+        pairs.select("a", "b").distinct().join(of_a.select("a", "n_a"), "a").join(of_b, "b")
+        .where((100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a")))
+        .join(of_a.select("a", "point_a"), "a")
+        .select("a", "b", "n_a", "n_b", "point_a", "point_b")
+    )
+    return map_batches(near, check, "a long, b long")
+
+
 def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. a's set meets those of its partners,
     SALT of them at a time; one shuffle of the sets, each text read once."""
-    pairs = written(pairs.select("a", "b").distinct(), "pairs")
+    pairs = written(pairs, "pairs")
     salted = pairs.join(pairs.groupBy("a").count(), "a").withColumn(
         "salt", F.pmod(F.xxhash64("b"), F.greatest(F.col("count") / SALT, F.lit(1)).cast("long"))
     )
@@ -319,7 +378,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
     return found
 
 
-def _across(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, roots: DataFrame, size: int, percent: int) -> DataFrame:
+def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs within blocks but across components, from R-trees."""
     members = blocks.select("shingle", F.explode("keys").alias("key")).join(
         small(roots.select(F.col("node").alias("key"), "root")), "key", "left"
@@ -328,18 +387,6 @@ def _across(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, roots: DataFra
     mixed = mixed.where("low <> high").select("shingle", "m")
     rest = written(members.join(mixed, "shingle"), "members")
 
-    def vectors(batches: Batches) -> Batches:
-        hashes = WordHashes()
-        for batch in batches:
-            keys = batch.column("key").to_pylist()
-            sets = [shingles_of(t, hashes, size) for t in batch.column("text").to_pylist()]
-            points = [np.bincount((x % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32).tobytes() for x in sets]
-            yield pa.record_batch(
-                [pa.array(keys, pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array(points, pa.binary())], ["key", "n", "point"]
-            )
-
-    wanted = rest.select("key").distinct()
-    points = written(map_batches(_texts_of(keyed, rows, wanted), vectors, "key long, n long, point binary"), "points").dropDuplicates(["key"])
     # a block of more than CHUNK documents is dealt to pairs of its parts
     parts = F.greatest(F.ceil(F.col("m") / (CHUNK // 2)), F.lit(1))
     dealt = (
@@ -364,9 +411,11 @@ def _across(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, roots: DataFra
             if len(held) < 2:
                 return set()
             keys = np.array([x[0] for x in held])
-            found = tree_pairs(
-                np.stack([np.frombuffer(x[3], np.int32) for x in held]), np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent
-            )
+            points = [np.frombuffer(x[3], np.uint8) for x in held]
+            groups = min(map(len, points))
+            # a full group may hold more: it never bounds
+            vectors = np.stack([folded(np.where(p == FULL, 1 << 20, p.astype(np.int32)), groups) for p in points])
+            found = tree_pairs(vectors, np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent)
             return {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found}
 
         for batch in batches:
@@ -407,9 +456,11 @@ def similar_documents(
     stars = blocks.select(first.alias("a"), F.explode("keys").alias("b"), "shingle")
     heads = blocks.groupBy("shingle").agg(F.min(first).alias("a"))
     bridges = heads.join(blocks.select("shingle", first.alias("b")), "shingle").select("a", "b")
-    near = _verified(keyed, rows, stars.select("a", "b").unionByName(bridges).where("a <> b"), words, percent)
+    points = _points(keyed, rows, blocks, words)
+    stars = _within_bound(stars.select("a", "b").unionByName(bridges).where("a <> b"), points, percent)
+    near = _verified(keyed, rows, stars, words, percent)
     roots = connected_components(near)
-    more = _verified(keyed, rows, _across(keyed, rows, blocks, roots, words, percent), words, percent)
+    more = _verified(keyed, rows, _across(blocks, roots, points, percent).distinct(), words, percent)
     roots = connected_components(near.unionByName(more))
     placed = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
