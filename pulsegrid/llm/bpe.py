@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame
 
 from pulsegrid.llm.batches import Batches, documents, map_batches
 
-#: Words whose ids a worker remembers; beyond that it starts anew.
-MEMO_WORDS = 400_000
+#: Words, and stretches between white space, whose ids a worker remembers; beyond that it
+#: starts anew.
+MEMO_WORDS = 500_000
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
@@ -111,6 +112,8 @@ class Encoder:
         self.tokens = {i: token for token, i in (vocab | added).items()}
         self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
         self.memo = dict(self.added)
+        self.known: dict[str, bytes] = {}
+        self.solid = regex.compile(r"\P{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         self.words = regex.compile(
             r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
@@ -132,14 +135,30 @@ class Encoder:
         return self.words.findall(text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower())
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [self.split(text) for text in texts]
-        new = set().union(*split).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_WORDS:
+        """The ids of each text as little-endian unsigned 32-bit integers.
+
+        No word crosses white space, so what stands between white space is looked up as it
+        is written; only what is not known yet is normalized, cut into words and merged.
+        """
+        split = [self._stretches(text) for text in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > MEMO_WORDS:
+            self.known = {}
+            new = set().union(*split)
+        if len(self.memo) > MEMO_WORDS:
             self.memo = dict(self.added)
-            new = set().union(*split).difference(self.memo)
-        self._learn(list(new))
-        return [b"".join(map(self.memo.__getitem__, words)) for words in split]
+        cut = [(stretch, self.split(stretch)) for stretch in new]
+        self._learn(list({word for _, words in cut for word in words}.difference(self.memo)))
+        memo = self.memo
+        for stretch, words in cut:
+            self.known[stretch] = memo[words[0]] if len(words) == 1 else b"".join([memo[w] for w in words])
+        return [b"".join(map(self.known.__getitem__, stretches)) for stretches in split]
+
+    def _stretches(self, text: str) -> list[str]:
+        # str.split() also cuts at four control characters that are no white space here
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+            return self.solid.findall(text)
+        return text.split()
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]

@@ -3,9 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontamination, jaccard, pii, toxicity
+from pulsegrid.llm import bpe, decontamination, jaccard, pii, toxicity, wavelet
 from pulsegrid.llm.batches import table
 from pulsegrid.plans.catalog import Query
+from pulsegrid.session import workspace
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +33,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, written to shard files and read back."""
+    path = workspace(spark, "shards")
+    wavelet.write_shards(table(spark, sf_dir, "documents"), path, bpe.default_vocabulary())
+    return wavelet.read_documents(spark, path)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of benchmark items."""
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -65,6 +73,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_toxicity": Query(op3_toxicity),
     "op4_bpe": Query(op4_bpe),
+    "op5_wavelet": Query(op5_wavelet),
     "op6_decontamination": Query(op6_decontamination),
     "op7_jaccard": Query(op7_jaccard),
     "op10_pii": Query(op10_pii),
