@@ -3,12 +3,24 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, decontamination, jaccard, pii, toxicity, wavelet
+from pulsegrid.llm import bpe, credentials, decontamination, jaccard, nearest, pii, toxicity, wavelet
 from pulsegrid.llm.batches import table
 from pulsegrid.plans.catalog import Query
 from pulsegrid.session import workspace
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: counts of the base kinds, digest of their spans, all spans."""
+    found = credentials.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id",
+        *(count(k).alias(f"n_{k}") for k in credentials.KINDS),
+        F.sha2(credentials.joined(F.col("base")), 256).alias("base_sha256"),
+        credentials.joined(F.col("base"), F.col("learned")).alias("spans"),
+    )
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a third of the ids is held out from learning."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +70,11 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every fiftieth one."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts of the base kinds, digest of their spans, all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -71,10 +88,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_secrets": Query(op1_secrets),
     "op3_toxicity": Query(op3_toxicity),
     "op4_bpe": Query(op4_bpe),
     "op5_wavelet": Query(op5_wavelet),
     "op6_decontamination": Query(op6_decontamination),
     "op7_jaccard": Query(op7_jaccard),
+    "op8_nearest": Query(op8_nearest),
     "op10_pii": Query(op10_pii),
 }
