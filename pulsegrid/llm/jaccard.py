@@ -24,7 +24,9 @@ from pulsegrid.session import written
 WORDS, PERCENT = 5, 75
 #: Shingles a group of a count vector holds on average, about; least and most groups. Counts
 #: are bytes, FULL stands for that many or more.
-PER_GROUP, LEAST_GROUPS, MOST_GROUPS, FULL = 4, 16, 4096, 255
+PER_GROUP, LEAST_GROUPS, MOST_GROUPS, FULL = 1, 16, 1 << 14, 255
+#: What an R-tree's 16-bit counts hold at most; stands also for FULL.
+MOST = (1 << 15) - 1
 #: Leading bits of a shingle's hash by which its frequency is estimated.
 FREQUENCY_BITS = 20
 #: Postings a task gathers before it sends them, and shingle ranges they are sent to.
@@ -338,7 +340,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
     """
     n = len(sizes)
     order = np.lexsort((*(vectors[:, k] for k in np.argsort(-vectors.var(0))[:3]), sizes))
-    v, s, g = vectors[order].astype(np.int32), sizes[order], groups[order]
+    v, s, g = vectors[order].astype(np.int16), sizes[order], groups[order]
 
     def packed(top, low, high, group, width):
         starts = np.arange(0, len(low), width)
@@ -360,7 +362,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
             last = (nodes + 1) * LEAF * FANOUT**depth - 1
             open_ &= last > i
             nodes, top, least = nodes[open_], top[open_], least[open_]
-            bound = np.minimum(top, v[i]).sum(1)
+            bound = np.minimum(top, v[i]).sum(1, dtype=np.int64)
             nodes = nodes[(100 + percent) * bound >= percent * (s[i] + least)]
             width = FANOUT if depth else LEAF
             nodes = (nodes[:, None] * width + np.arange(width)).ravel()
@@ -372,7 +374,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
         nodes = nodes[(nodes > i) & (g[nodes] != g[i])]
         low, high = np.minimum(s[nodes], s[i]), np.maximum(s[nodes], s[i])
         nodes = nodes[100 * low >= percent * high]
-        bound = np.minimum(v[nodes], v[i]).sum(1)
+        bound = np.minimum(v[nodes], v[i]).sum(1, dtype=np.int64)
         nodes = nodes[(100 + percent) * bound >= percent * (s[nodes] + s[i])]
         found += [(int(order[i]), int(order[j])) for j in nodes]
     return found
@@ -414,7 +416,7 @@ def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int
             points = [np.frombuffer(x[3], np.uint8) for x in held]
             groups = min(map(len, points))
             # a full group may hold more: it never bounds
-            vectors = np.stack([folded(np.where(p == FULL, 1 << 20, p.astype(np.int32)), groups) for p in points])
+            vectors = np.stack([np.minimum(folded(np.where(p == FULL, 1 << 15, p.astype(np.int32)), groups), MOST) for p in points])
             found = tree_pairs(vectors, np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent)
             return {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found}
 
@@ -452,12 +454,17 @@ def similar_documents(
     keyed = _keyed(documents(docs, id_col, text_col))
     rows, frequencies = _sizes_and_frequencies(keyed, words)
     blocks = _postings(keyed, frequencies, words, percent)
-    first = F.element_at("keys", 1)
-    stars = blocks.select(first.alias("a"), F.explode("keys").alias("b"), "shingle")
-    heads = blocks.groupBy("shingle").agg(F.min(first).alias("a"))
-    bridges = heads.join(blocks.select("shingle", first.alias("b")), "shingle").select("a", "b")
     points = _points(keyed, rows, blocks, words)
-    stars = _within_bound(stars.select("a", "b").unionByName(bridges).where("a <> b"), points, percent)
+    # one or two partners a document: the smallest head of its blocks, and its largest block's
+    head = F.struct(F.element_at("keys", 1).alias("a"), F.size("keys").alias("m"))
+    stars = (
+        blocks.select(head.alias("head"), F.explode("keys").alias("b"))
+        .groupBy("b")
+        .agg(F.min("head.a").alias("least"), F.max_by("head.a", F.struct("head.m", "head.a")).alias("large"))
+        .select(F.explode(F.array_distinct(F.array("least", "large"))).alias("a"), "b")
+        .where("a <> b")
+    )
+    stars = _within_bound(stars, points, percent)
     near = _verified(keyed, rows, stars, words, percent)
     roots = connected_components(near)
     more = _verified(keyed, rows, _across(blocks, roots, points, percent).distinct(), words, percent)
