@@ -3,7 +3,18 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import bpe, credentials, decontamination, jaccard, nearest, pii, toxicity, wavelet
+from pulsegrid.llm import (
+    bpe,
+    credentials,
+    decontamination,
+    jaccard,
+    nearest,
+    pii,
+    sentence_spans,
+    suffixes,
+    toxicity,
+    wavelet,
+)
 from pulsegrid.llm.batches import table
 from pulsegrid.plans.catalog import Query
 from pulsegrid.session import workspace
@@ -21,6 +32,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the sentences of repeated runs of three."""
+    return sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; a third of the ids is held out from learning."""
     docs = table(spark, sf_dir, "documents")
@@ -75,6 +91,12 @@ def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings of fifty that earlier documents have."""
+    found = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: counts of the base kinds, digest of their spans, all spans."""
     found = pii.find_pii(table(spark, sf_dir, "documents"))
@@ -89,11 +111,13 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secrets": Query(op1_secrets),
+    "op2_sentence_spans": Query(op2_sentence_spans),
     "op3_toxicity": Query(op3_toxicity),
     "op4_bpe": Query(op4_bpe),
     "op5_wavelet": Query(op5_wavelet),
     "op6_decontamination": Query(op6_decontamination),
     "op7_jaccard": Query(op7_jaccard),
     "op8_nearest": Query(op8_nearest),
+    "op9_suffixes": Query(op9_suffixes),
     "op10_pii": Query(op10_pii),
 }
