@@ -18,7 +18,7 @@ from pulsegrid.llm.batches import Batches, documents, map_batches
 
 #: Words, and stretches between white space, whose ids a worker remembers; beyond that it
 #: starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 700_000
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
@@ -115,9 +115,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.solid = regex.compile(r"\P{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        self.words = regex.compile(
-            r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-        )
+        words = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+        self.words, self.words_and_blanks = regex.compile(words), regex.compile(words + "| ")
 
     def split(self, text: str) -> list[str]:
         """The words of a text; added tokens stand alone and are not normalized."""
@@ -130,9 +129,12 @@ class Encoder:
         return self._words(text)
 
     def _words(self, text: str) -> list[str]:
+        return self.words.findall(self._normalized(text))
+
+    def _normalized(self, text: str) -> str:
         # No word holds white space, so that can stay as it is. Letter by letter: no final sigma.
         text = unicodedata.normalize("NFC", text)
-        return self.words.findall(text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower())
+        return text.lower() if "Σ" not in text else text.replace("Σ", "σ").lower()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers.
@@ -147,13 +149,25 @@ class Encoder:
             new = set().union(*split)
         if len(self.memo) > MEMO_WORDS:
             self.memo = dict(self.added)
-        cut = [(stretch, self.split(stretch)) for stretch in new]
+        cut = self._cut(new)
         self._learn(list({word for _, words in cut for word in words}.difference(self.memo)))
         memo = self.memo
         for stretch, words in cut:
             self.known[stretch] = memo[words[0]] if len(words) == 1 else b"".join([memo[w] for w in words])
         return [b"".join(map(self.known.__getitem__, stretches)) for stretches in split]
 
+    def _cut(self, stretches: set[str]) -> list[tuple[str, list[str]]]:
+        """Each stretch with its words; all are normalized and cut in one string, blanks between."""
+        plain = [x for x in stretches if "<|" not in x]
+        words: list[list[str]] = [[]]
+        for word in self.words_and_blanks.findall(self._normalized(" ".join(plain))) if plain else ():
+            if word == " ":
+                words.append([])
+            else:
+                words[-1].append(word)
+        cut = list(zip(plain, words, strict=True)) if plain else []
+        return cut + [(x, self.split(x)) for x in stretches if "<|" in x]
+
     def _stretches(self, text: str) -> list[str]:
         # str.split() also cuts at four control characters that are no white space here
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:

@@ -24,7 +24,7 @@ from pulsegrid.llm.bpe import encoder
 
 MAGIC = b"PGWM1\0\0\0"
 #: Id that ends each document; ids of a shard (its last document is never cut); bits of a block.
-END_ID, SHARD_IDS, BLOCK_BITS = 2, 1 << 22, 1 << 18
+END_ID, SHARD_IDS, BLOCK_BITS = 2, 1 << 21, 1 << 18
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -42,7 +42,7 @@ def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int])
             ones += int(part.sum())
             blocks.append(packer.compress(np.packbits(part).tobytes()))
         planes.append({"level": level, "zeros": len(bits) - ones, "blocks": starts})
-        row = np.concatenate([row[~bits], row[bits]])
+        row = np.concatenate([row[np.flatnonzero(~bits)], row[np.flatnonzero(bits)]])
     table = packer.compress(
         np.array([d or 0 for d in doc_ids], "<i8").tobytes()
         + np.array([d is None for d in doc_ids], "u1").tobytes()
@@ -141,8 +141,8 @@ class Shard:
         for plane in reversed(self.planes):
             bits = np.concatenate([self._bits(b[1], min(BLOCK_BITS, self.n - k * BLOCK_BITS)) for k, b in enumerate(plane["blocks"])])
             above = np.empty_like(row)
-            above[~bits] = row[: plane["zeros"]]
-            above[bits] = row[plane["zeros"] :] | row.dtype.type(1 << plane["level"])
+            above[np.flatnonzero(~bits)] = row[: plane["zeros"]]
+            above[np.flatnonzero(bits)] = row[plane["zeros"] :] | row.dtype.type(1 << plane["level"])
             row = above
         return row
 
