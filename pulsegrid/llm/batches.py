@@ -14,8 +14,8 @@ from pulsegrid.session import prepare
 
 #: Documents per Arrow batch, and bytes: a task holds one batch at a time, however long the texts.
 BATCH_CONF = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
 }
 
 #: Rows up to which ``small`` marks a table for broadcast.
