@@ -22,12 +22,12 @@ from pulsegrid.session import written
 LENGTH, ANCHOR = 50, 20
 SIDE = LENGTH - ANCHOR
 #: Bytes of documents hashed together, and string starts of a very long document at a time.
-BLOCK, PIECE = 2 << 20, 8 << 20
+BLOCK, PIECE = 1 << 19, 8 << 20
 #: Anchors a task gathers before it sends them, and hash ranges they are sent to.
-GATHER, RANGES = 1 << 20, 1024
+GATHER, RANGES = 1 << 18, 1024
 #: Bytes of surroundings in one transform; surroundings of one anchor from which on they
 #: are dealt by the strings in them; symbols by which suffixes are sorted.
-TEXT, CROWD, SORTED = 4 << 20, 20_000, 28
+TEXT, CROWD, SORTED = 1 << 20, 10_000, 28
 
 _rng = np.random.default_rng(20)
 LETTERS = _rng.integers(1, 1 << 63, 256, np.uint64)
