@@ -99,6 +99,28 @@ def _retention(spark, sf_dir):
     return store.messages()
 
 
+def _retention_late_rows(spark, sf_dir):
+    """Rows that come for dropped days after the drop stay away, sealed again or not."""
+    store = _fresh(spark)
+    recent, late = _in_two_batches(spark, sf_dir)
+    store.append(recent, 0)
+    store.seal(FIRST_SEAL, keep_from=LATE_BEFORE)
+    store.append(late, 1)
+    store.seal(SECOND_SEAL)
+    return store.messages()
+
+
+def _out_of_order(spark, sf_dir):
+    """A lower batch id after a higher one is sealed."""
+    store = _fresh(spark)
+    recent, late = _in_two_batches(spark, sf_dir)
+    store.append(recent, 5)
+    store.seal(FIRST_SEAL)
+    store.append(late, 3)
+    store.append(recent, 5)
+    return store.messages()
+
+
 def _fan_out(spark, sf_dir):
     """A second table fed by the same batches as the store's own."""
     store = _fresh(spark)
@@ -133,5 +155,9 @@ QUERIES = {
         _count, "SELECT CAST(count(*) AS BIGINT) AS messages FROM events"
     ),
     "store_retention": Query(_retention, f"{_ALL} WHERE event_date >= DATE '{LATE_BEFORE}'"),
+    "store_retention_late_rows": Query(
+        _retention_late_rows, f"{_ALL} WHERE event_date >= DATE '{LATE_BEFORE}'"
+    ),
+    "store_out_of_order_batches": Query(_out_of_order, _ALL),
     "store_fan_out": Query(_fan_out, _ALL),
 }

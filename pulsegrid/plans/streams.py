@@ -7,7 +7,7 @@ streams the log in several micro-batches, and reads what came of it.
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
-from pulsegrid.operators.identity import upsert_last
+from pulsegrid.operators.identity import evict_persisted, upsert_last
 from pulsegrid.plans.catalog import (
     MESSAGES_SQL,
     SHIPMENTS_SQL,
@@ -20,7 +20,12 @@ from pulsegrid.session import workspace
 from pulsegrid.sources import tables
 from pulsegrid.storage.store import Store
 from pulsegrid.streaming.ingest import AVAILABLE_NOW, flush, text_stream
-from pulsegrid.streaming.live import trailing_hour_writer, unique_stream, windowed_rollup
+from pulsegrid.streaming.live import (
+    trailing_hour_writer,
+    unique_stream,
+    use_rocksdb_state,
+    windowed_rollup,
+)
 
 FILES_PER_BATCH = 3
 
@@ -28,17 +33,17 @@ FILES_PER_BATCH = 3
 class _Run:
     """A log, a store fed from it and the checkpoint between them."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, root: str | None = None, stream_id: str = "log"):
         self.spark = spark
         self.folder = workspace(spark, "stream")
         self.log = f"{self.folder}/log"
-        self.store = Store(spark, f"{self.folder}/store", stream_id="log")
+        self.store = Store(spark, root or f"{self.folder}/store", stream_id=stream_id)
 
-    def arrive(self, raw: DataFrame) -> "_Run":
+    def arrive(self, raw: DataFrame, files: int | None = None) -> "_Run":
         # Several files even from a small table, so that there are several batches.
-        raw.repartition(self.spark.sparkContext.defaultParallelism).write.mode("append").text(
-            self.log
-        )
+        files = files or self.spark.sparkContext.defaultParallelism
+        split = raw.coalesce(1) if files == 1 else raw.repartition(files)
+        split.write.mode("append").text(self.log)
         return self
 
     def ingest(self, **options) -> "_Run":
@@ -66,6 +71,48 @@ def _late_rows(spark, sf_dir):
     return run.store.rollup()
 
 
+def _two_checkpoints(spark, sf_dir):
+    """Two sources, each with its own checkpoint and stream id, into one store."""
+    rows, days = tables.messages(spark, sf_dir), F.col("event_date")
+    first = _Run(spark).arrive(tables.raw_json(rows.filter(days >= F.lit(LATE_BEFORE)))).ingest()
+    second = _Run(spark, first.store.root, "backfill")
+    second.arrive(tables.raw_json(rows.filter(days < F.lit(LATE_BEFORE)))).ingest()
+    return first.store.rollup()
+
+
+def _restarted(spark, sf_dir):
+    """The log arrives in two parts; each is drained by a query of its own on one
+    checkpoint, and a third one finds nothing new."""
+    rows = tables.messages(spark, sf_dir)
+    run = _Run(spark)
+    for part in (0, 1):
+        run.arrive(tables.raw_json(rows.filter(F.col("seq") % 2 == part))).ingest()
+    return run.ingest().store.rollup()
+
+
+def _any_split(spark, sf_dir):
+    """Every event and then an earlier-dated repetition of it, once in one batch and once
+    in several: the first to arrive stays."""
+    rows = tables.messages(spark, sf_dir)
+    earlier = rows.withColumn("ts_ms", F.col("ts_ms") - MS_PER_HOUR)
+    first, again = tables.raw_json(rows), tables.raw_json(earlier)
+    whole = _Run(spark).arrive(first.unionAll(again), files=1).ingest(unique_ids=True)
+    parts = _Run(spark).arrive(first).ingest(unique_ids=True)
+    parts.arrive(again).ingest(unique_ids=True)
+    columns = ["id", "ts_ms", "sensor_type", "value", "bucket", "event_date"]
+    return whole.store.messages().select(columns).unionAll(parts.store.messages().select(columns))
+
+
+def _same_millisecond_evict(spark, sf_dir):
+    """Messages of whole days at one millisecond, from several batches; those of one
+    sensor are persisted, the others stay."""
+    day = 24 * MS_PER_HOUR
+    rows = tables.messages(spark, sf_dir).withColumn("ts_ms", F.col("ts_ms") - F.col("ts_ms") % day)
+    hot = _Run(spark).arrive(tables.raw_json(rows)).ingest().store.messages()
+    left = evict_persisted(hot, hot.filter("sensor_type = 1"))
+    return upsert_last(left, [F.desc("seq")]).select("id", "ts_ms", "sensor_type", "value")
+
+
 def _with_defects(spark, sf_dir) -> Store:
     raw = tables.raw_with_defects(tables.messages(spark, sf_dir))
     return _Run(spark).arrive(raw).ingest().store
@@ -107,17 +154,21 @@ def _trailing_hour(spark, sf_dir):
     return spark.read.parquet(f"{answers}/batch_id={last}")
 
 
-def _table_stream(spark, sf_dir, name) -> DataFrame:
-    schema = tables.table(spark, sf_dir, name).schema
-    # A file source watches folders; the filter picks the table.
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(sf_dir)
+def _table_stream(spark, folder, rows: DataFrame) -> DataFrame:
+    """``rows`` as a stream of several files and so several micro-batches."""
+    use_rocksdb_state(spark)
+    path = f"{folder}/input"
+    rows.repartition(2 * FILES_PER_BATCH).write.parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    return reader.parquet(path)
 
 
 def _windowed(spark, sf_dir):
     """Stateful one-second windows in update mode; the last update of a key holds."""
     folder = workspace(spark, "windows")
-    rows = tables.events_as_messages(_table_stream(spark, sf_dir, "events"))
+    rows = tables.events_as_messages(
+        _table_stream(spark, folder, tables.table(spark, sf_dir, "events"))
+    )
 
     def write(updates: DataFrame, batch_id: int) -> None:
         updates.write.mode("overwrite").parquet(f"{folder}/rows/batch_id={batch_id}")
@@ -132,7 +183,9 @@ def _windowed(spark, sf_dir):
 def _dedup(spark, sf_dir):
     """Ids that pass the stateful filter; which copy of one passes is up to arrival."""
     folder = workspace(spark, "unique")
-    rows = tables.as_shipments(_table_stream(spark, sf_dir, "lineitem"))
+    rows = tables.as_shipments(
+        _table_stream(spark, folder, tables.table(spark, sf_dir, "lineitem"))
+    )
     unique_stream(rows).select("id").writeStream.format("parquet").option(
         "path", f"{folder}/rows"
     ).option("checkpointLocation", f"{folder}/checkpoint").trigger(
@@ -146,6 +199,20 @@ _ROLLUP = f"WITH {MESSAGES_SQL} {rollup_sql('messages')}"
 QUERIES = {
     "stream_rollup": Query(_rollup, _ROLLUP),
     "stream_late_rows": Query(_late_rows, _ROLLUP),
+    "stream_two_checkpoints": Query(_two_checkpoints, _ROLLUP),
+    "stream_restart": Query(_restarted, _ROLLUP),
+    "stream_unique_ids_any_split": Query(
+        _any_split,
+        f"""WITH {MESSAGES_SQL}
+        SELECT id, ts_ms, sensor_type, value, bucket, event_date FROM messages
+        UNION ALL SELECT id, ts_ms, sensor_type, value, bucket, event_date FROM messages""",
+    ),
+    "stream_same_millisecond_evict": Query(
+        _same_millisecond_evict,
+        f"""WITH {MESSAGES_SQL}
+        SELECT id, ts_ms - ts_ms % {24 * MS_PER_HOUR} AS ts_ms, sensor_type, value
+        FROM messages WHERE sensor_type <> 1""",
+    ),
     "stream_windowed_rollup": Query(
         _windowed,
         f"""WITH {MESSAGES_SQL}

@@ -31,7 +31,8 @@ def read_messages(
     good message. ``timestamp="any"`` also takes a number of epoch ms.
     ``on_missing="zero"`` reads absent fields as 0 instead of rejecting the
     message. Works on batch and streaming tables alike, but only a batch can be
-    numbered: ``seq`` is NULL on a streaming table.
+    numbered: ``seq`` is NULL on a streaming table. Numbers are unique and rising
+    within ``raw``; ``load_batch`` makes them so within a stream.
     """
     arrival = F.lit(None).cast("bigint") if raw.isStreaming else F.monotonically_increasing_id()
     fields = F.from_json(

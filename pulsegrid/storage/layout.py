@@ -40,12 +40,21 @@ TABLES = {
                 )
             ),
             "quarantined": LongType(),
+            "writer": StringType(),
         },
         _BATCH,
     ),
     "sealed_messages": _schema(MESSAGES, _GEN),
     "sealed_rollup_1s": _schema(ROLLUP, _GEN),
-    "seal_coverage": _schema({"stream_id": StringType(), "covered_batch": LongType()}, _GEN),
+    "seal_coverage": _schema(
+        {
+            "stream_id": StringType(),
+            "from_batch": LongType(),
+            "to_batch": LongType(),
+            "writer": StringType(),
+        },
+        _GEN,
+    ),
     "seal_days": _schema(
         {
             "event_date": DateType(),
@@ -55,7 +64,7 @@ TABLES = {
         },
         _GEN,
     ),
-    "seals": _schema({"horizon": DateType()}, _GEN),
+    "seals": _schema({"horizon": DateType(), "keep_from": DateType()}, _GEN),
 }
 
 

@@ -10,7 +10,10 @@ Sealing. ``seal`` rewrites days before a horizon, sorted and merged, into
 Only days with unsealed rows are rewritten. From then on batch rows of those
 days are superseded; folders no reader needs are listed by ``superseded``.
 
-One writer per ``stream_id``, with increasing batch ids, and one sealer at a time.
+One writer per ``stream_id`` and one sealer at a time. Batch ids need not rise: sealing
+keeps the ranges of ids it has taken in. A commit names its writer (a streaming query's
+id, which lives in its checkpoint); another writer's batch of the same id is an error,
+never a repetition.
 """
 
 from collections.abc import Callable, Iterable
@@ -19,7 +22,7 @@ from datetime import date
 from typing import Literal, NamedTuple
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
 from pulsegrid.operators.filters import closed_range
@@ -38,8 +41,12 @@ SORT_BY = {"time": ["ts_ms", "seq"], "sensor": ["sensor_type", "ts_ms", "seq"]}
 # What a sealed day is split by: hours, so that a file spans little time, or sensors.
 SEAL_BY = {"time": "bucket div 3600", "sensor": "sensor_type"}
 
-# Up to this many streams, sealed batches are pruned by a literal condition.
-MAX_LITERAL_STREAMS = 100
+# Up to this many ranges of batches, sealed ones are pruned by a literal condition.
+MAX_LITERAL_RANGES = 100
+
+
+class ForeignBatchError(ValueError):
+    """A batch id that another writer has committed under the same ``stream_id``."""
 
 
 class _Seal(NamedTuple):
@@ -47,15 +54,19 @@ class _Seal(NamedTuple):
 
     gen: int
     horizon: date
-    # Last sealed batch per stream; None if there are too many streams for literals.
-    covered: dict[str, int] | None
+    # Days before this are dropped for good.
+    keep_from: date
+    # Sealed (stream, first batch, last batch); None if there are too many for literals.
+    covered: list[tuple[str, int, int]] | None
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, stream_id: str = "main"):
+    def __init__(self, spark: SparkSession, root: str, stream_id: str | None = None):
+        """``stream_id`` names the source of appended batches; streams must have one."""
         self.spark = prepare(spark)
         self.root = root.rstrip("/")
-        self.stream_id = stream_id
+        self.has_stream = stream_id is not None
+        self.stream_id = "main" if stream_id is None else stream_id
 
     # Writing
 
@@ -67,14 +78,16 @@ class Store:
         quarantine: DataFrame | None = None,
         layout: Literal["time", "sensor"] = "time",
         also: Iterable[Sink] = (),
+        writer: str | None = None,
     ) -> bool:
-        """Add a batch; False if it is committed already.
+        """Add a batch; False if this ``writer`` has committed it already, an error if
+        another one has.
 
         ``messages`` is read several times: pass a persisted or stored table.
         ``also`` sinks get the same rows after the store's own tables are written
         and before the batch commits.
         """
-        if self._is_committed(batch_id):
+        if self._is_committed(batch_id, writer):
             return False
         part = self._part(batch_id)
         rows = messages.select(*message_columns())
@@ -87,7 +100,7 @@ class Store:
         self._write_side_by_side(tables, part)
         for sink in also:
             sink(rows, batch_id)
-        self._commit(rows, quarantine, part)
+        self._commit(rows, quarantine, part, writer)
         return True
 
     def _write_side_by_side(self, tables: dict[str, DataFrame], part: str) -> None:
@@ -100,7 +113,9 @@ class Store:
             for job in [pool.submit(inheritable_thread_target(self.spark)(write), n) for n in tables]:
                 job.result()
 
-    def _commit(self, rows: DataFrame, quarantine: DataFrame | None, part: str) -> None:
+    def _commit(
+        self, rows: DataFrame, quarantine: DataFrame | None, part: str, writer: str | None
+    ) -> None:
         daily = rows.groupBy("event_date").agg(
             F.count(F.lit(1)).alias("day_rows"),
             F.min("ts_ms").alias("min_ts_ms"),
@@ -115,7 +130,12 @@ class Store:
         )
         rejected = 0 if quarantine is None else quarantine.count()
         overwrite(
-            summary.withColumn("quarantined", F.lit(rejected).cast("bigint")),
+            summary.withColumns(
+                {
+                    "quarantined": F.lit(rejected).cast("bigint"),
+                    "writer": F.lit(writer).cast("string"),
+                }
+            ),
             self.root,
             "commits",
             part,
@@ -124,17 +144,25 @@ class Store:
     def _part(self, batch_id: int) -> str:
         return f"stream_id={self.stream_id}/batch_id={batch_id}"
 
-    def _is_committed(self, batch_id: int) -> bool:
-        if not read_table(self.spark, self.root, "commits", self._part(batch_id)).isEmpty():
-            return True
-        # Its commit row may be gone once it is sealed.
-        seal = self.newest_seal()
-        if seal is None:
-            return False
-        covering = self.of_gen("seal_coverage", seal.gen).filter(
-            (F.col("stream_id") == self.stream_id) & (F.col("covered_batch") >= batch_id)
-        )
-        return not covering.isEmpty()
+    def _is_committed(self, batch_id: int, writer: str | None) -> bool:
+        found = read_table(self.spark, self.root, "commits", self._part(batch_id)).first()
+        if found is None:
+            # Its commit row may be gone once it is sealed.
+            seal = self.newest_seal()
+            if seal is None:
+                return False
+            found = (
+                self.of_gen("seal_coverage", seal.gen)
+                .filter(F.col("stream_id") == self.stream_id)
+                .filter(F.lit(batch_id).between(F.col("from_batch"), F.col("to_batch")))
+                .first()
+            )
+        if found is not None and found["writer"] != writer:
+            raise ForeignBatchError(
+                f"batch {batch_id} of stream {self.stream_id!r} was committed by "
+                f"{found['writer']!r}, not by {writer!r}; give each source a stream_id of its own"
+            )
+        return found is not None
 
     # Reading
 
@@ -198,7 +226,8 @@ class Store:
         generation readers see from then on.
 
         Days before ``keep_from`` (retention; it must not lie after ``before``) are
-        left out and thereby dropped. Nothing is rewritten for that.
+        left out and thereby dropped, for good: rows that come for them later stay
+        invisible. Nothing is rewritten for that.
         """
         if keep_from > before:
             raise ValueError("only days before the sealed horizon can be dropped")
@@ -206,15 +235,19 @@ class Store:
         gen = 1 if last is None else last.gen + 1
         horizon = before if last is None else max(before, last.horizon)
         part = f"gen={gen}"
-        kept_day = F.col("event_date") >= F.lit(keep_from.isoformat()).cast("date")
+        if last is not None:
+            keep_from = max(keep_from, last.keep_from)
+        kept_day = F.col("event_date") >= _day(keep_from)
         # Written first and read back: batches that commit from here on stay live.
-        newest = self.commits().groupBy("stream_id").agg(F.max("batch_id").alias("covered_batch"))
-        overwrite(newest.coalesce(1), self.root, "seal_coverage", part)
-        coverage = self.of_gen("seal_coverage", gen).drop("gen")
+        taken = self.commits().select(
+            "stream_id", F.col("batch_id").alias("from_batch"), F.col("batch_id").alias("to_batch"), "writer"
+        )
+        if last is not None:
+            taken = taken.unionByName(self.of_gen("seal_coverage", last.gen).drop("gen"))
+        overwrite(_merged_ranges(taken).coalesce(1), self.root, "seal_coverage", part)
+        coverage = self.of_gen("seal_coverage", gen).drop("gen", "writer")
         due = (
-            self._committed_days()
-            .join(coverage, "stream_id")
-            .filter("batch_id <= covered_batch")
+            _covered(self._committed_days(), coverage)
             .filter((F.col("event_date") < F.lit(horizon)) & kept_day)
             .select("stream_id", "batch_id", "event_date")
         )
@@ -248,7 +281,9 @@ class Store:
             kept = self.of_gen("seal_days", last.gen).drop("gen").filter(kept_day)
             days = days.unionByName(kept.join(dirty, "event_date", "left_anti"))
         overwrite(days.coalesce(1), self.root, "seal_days", part)
-        published = self.spark.range(1).select(F.lit(horizon).alias("horizon"))
+        published = self.spark.range(1).select(
+            _day(horizon).alias("horizon"), _day(keep_from).alias("keep_from")
+        )
         overwrite(published.coalesce(1), self.root, "seals", part)
         return gen
 
@@ -268,11 +303,9 @@ class Store:
         seal = self.newest_seal()
         if seal is None:
             return self.commits().select("stream_id", "batch_id").limit(0)
-        coverage = self.of_gen("seal_coverage", seal.gen).drop("gen")
+        coverage = self.of_gen("seal_coverage", seal.gen).drop("gen", "writer")
         return (
-            self.commits()
-            .join(coverage, "stream_id")
-            .filter("batch_id <= covered_batch")
+            _covered(self.commits(), coverage)
             .filter(F.coalesce(F.array_max("days.event_date") < F.lit(seal.horizon), F.lit(True)))
             .select("stream_id", "batch_id")
         )
@@ -290,25 +323,30 @@ class Store:
         """Rows, with ``stream_id, batch_id, event_date``, that ``seal`` does not hold."""
         if seal is None:
             return rows
+        rows = rows.filter(F.col("event_date") >= _day(seal.keep_from))
         recent = F.col("event_date") >= F.lit(seal.horizon)
         if seal.covered is not None:
             # On partition columns only, so superseded folders are never scanned.
-            later = F.lit(True)
-            for stream_id, batch_id in seal.covered.items():
-                later = later & ((F.col("stream_id") != stream_id) | (F.col("batch_id") > batch_id))
-            return rows.filter(recent | later)
-        coverage = self.of_gen("seal_coverage", seal.gen).select("stream_id", "covered_batch")
-        later = F.col("batch_id") > F.coalesce("covered_batch", F.lit(-1))
-        return rows.join(coverage, "stream_id", "left").filter(recent | later).drop("covered_batch")
+            live = F.lit(True)
+            for stream_id, first, last in seal.covered:
+                live = live & ~_in_range(F.lit(stream_id), F.lit(first), F.lit(last))
+            return rows.filter(recent | live)
+        coverage = self.of_gen("seal_coverage", seal.gen).select(
+            F.col("stream_id").alias("_stream"), "from_batch", "to_batch"
+        )
+        # Ranges are disjoint: a row meets one at most.
+        inside = _in_range(F.col("_stream"), F.col("from_batch"), F.col("to_batch"))
+        joined = rows.join(coverage, inside, "left").filter(recent | F.col("_stream").isNull())
+        return joined.drop("_stream", "from_batch", "to_batch")
 
     def newest_seal(self) -> _Seal | None:
         newest = read_table(self.spark, self.root, "seals").orderBy(F.desc("gen")).first()
         if newest is None:
             return None
-        coverage = self.of_gen("seal_coverage", newest["gen"]).limit(MAX_LITERAL_STREAMS + 1)
-        streams = {row["stream_id"]: row["covered_batch"] for row in coverage.collect()}
-        few = len(streams) <= MAX_LITERAL_STREAMS
-        return _Seal(newest["gen"], newest["horizon"], streams if few else None)
+        coverage = self.of_gen("seal_coverage", newest["gen"]).limit(MAX_LITERAL_RANGES + 1)
+        ranges = [(r["stream_id"], r["from_batch"], r["to_batch"]) for r in coverage.collect()]
+        few = len(ranges) <= MAX_LITERAL_RANGES
+        return _Seal(newest["gen"], newest["horizon"], newest["keep_from"], ranges if few else None)
 
     def of_gen(self, name: str, gen: int) -> DataFrame:
         return read_table(self.spark, self.root, name, f"gen={gen}")
@@ -363,6 +401,35 @@ class Snapshot:
         return self._store.sealed(name, self._seal).select(*columns).unionByName(live)
 
 
+def _day(day: date) -> Column:
+    # As text: Python prints years before 1000 without their zeros, which Java refuses.
+    return F.lit(day.isoformat()).cast("date")
+
+
+def _in_range(stream_id: Column, first: Column, last: Column) -> Column:
+    return (F.col("stream_id") == stream_id) & F.col("batch_id").between(first, last)
+
+
+def _covered(rows: DataFrame, coverage: DataFrame) -> DataFrame:
+    """Rows, with ``stream_id, batch_id``, whose batch lies in a range of ``coverage``."""
+    inside = F.col("batch_id").between(F.col("from_batch"), F.col("to_batch"))
+    return rows.join(coverage, "stream_id").filter(inside).drop("from_batch", "to_batch")
+
+
+def _merged_ranges(ranges: DataFrame) -> DataFrame:
+    """Ranges of batch ids per stream and writer, adjacent and repeated ones as one."""
+    in_order = Window.partitionBy("stream_id", "writer").orderBy("from_batch", "to_batch")
+    reach = F.max("to_batch").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.coalesce((F.col("from_batch") > reach + 1).cast("int"), F.lit(1))
+    return (
+        ranges.withColumn("_starts", starts)
+        .withColumn("_island", F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("stream_id", "writer", "_island")
+        .agg(F.min("from_batch").alias("from_batch"), F.max("to_batch").alias("to_batch"))
+        .select("stream_id", "from_batch", "to_batch", "writer")
+    )
+
+
 def _sized_files(rows: DataFrame, order: list[str], by: str = "0") -> DataFrame:
     """Rows grouped by day (and ``by``) for writing, sorted within tasks.
 

@@ -3,6 +3,7 @@
 from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,12 +15,21 @@ from pulsegrid.storage.store import Sink, Store
 AVAILABLE_NOW = {"availableNow": True}
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
 
+# Low bits in which Spark's row ids count the rows of an input split; bits for the rows
+# of a batch in ``seq``.
+SPLIT_BITS, BATCH_SHIFT = 33, 36
 
-def text_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
-    """JSON lines appearing in ``folder``, at most ``max_files`` per micro-batch."""
+
+def text_stream(
+    spark: SparkSession, folder: str, max_files: int | None = None, max_bytes: int | str | None = None
+) -> DataFrame:
+    """JSON lines appearing in ``folder``, at most ``max_files`` or about ``max_bytes`` per
+    micro-batch."""
     reader = prepare(spark).readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes is not None:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
     return reader.load(folder).select(F.col("value").alias("raw"))
 
 
@@ -30,26 +40,29 @@ def load_batch(
     *,
     unique_ids: bool = False,
     also: Iterable[Sink] = (),
+    writer: str | None = None,
     **parse_options,
 ) -> bool:
-    """Parse ``raw`` and add it to ``store`` as one batch.
+    """Parse ``raw`` and add it to ``store`` as one batch; ``seq`` numbers the arrivals of
+    the whole stream.
 
-    With ``unique_ids`` only the first message of an id is stored, in this batch
-    and against everything stored before; the others are quarantined. Duplicates
-    go before the rollup is built, because partials cannot be un-merged.
+    With ``unique_ids`` only the first message of an id to arrive is stored, in this
+    batch and against everything stored before, however the batches are cut; the
+    others are quarantined. Duplicates go before the rollup is built, because
+    partials cannot be un-merged.
     """
     # Spills to disk; a lost executor's part is read and parsed again.
     read = read_messages(raw, require_id=unique_ids, **parse_options).persist(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        good, bad = accepted(read), quarantined(read)
+        good, bad = accepted(_numbered(read, batch_id)), quarantined(read)
         if unique_ids:
             good, repeats = _split_repeats(store, good)
             bad = bad.unionByName(repeats)
             good = good.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            return store.append(good, batch_id, quarantine=bad, also=also)
+            return store.append(good, batch_id, quarantine=bad, also=also, writer=writer)
         finally:
             if unique_ids:
                 good.unpersist()
@@ -57,8 +70,25 @@ def load_batch(
         read.unpersist()
 
 
+def _numbered(read: DataFrame, batch_id: int) -> DataFrame:
+    """``seq`` made dense within the batch and put behind the batch id, so that it rises
+    with arrival and is unique in the stream."""
+    split = F.shiftright("seq", SPLIT_BITS)
+    counts = read.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n")).collect()
+    if batch_id >> (63 - BATCH_SHIFT) or sum(row["n"] for row in counts) >> BATCH_SHIFT:
+        raise ValueError("batch id or batch too large to be numbered")
+    before, pairs = 0, []
+    for row in sorted(counts, key=lambda row: row["split"]):  # a row an input split
+        pairs += [F.lit(row["split"]), F.lit((batch_id << BATCH_SHIFT) + before)]
+        before += row["n"]
+    if not pairs:
+        return read
+    place = F.col("seq").bitwiseAND((1 << SPLIT_BITS) - 1)
+    return read.withColumn("seq", F.element_at(F.create_map(*pairs), split).cast("bigint") + place)
+
+
 def _split_repeats(store: Store, good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fresh = new_ids(first_by_id(good), store.messages())
+    fresh = new_ids(first_by_id(good, ["seq"]), store.messages())
     return fresh, good.exceptAll(fresh).select(
         wire_text().alias("raw"),
         F.lit(DUPLICATE_ID).alias("reason"),
@@ -79,12 +109,18 @@ def start_ingest(
 
     ``AVAILABLE_NOW`` drains what has arrived and stops (replay, backfill,
     on-demand flush); ``EVERY_5_SECONDS`` keeps going. A batch repeated after a
-    crash finds its commit row, or overwrites its own unfinished folders.
+    crash finds its commit row, or overwrites its own unfinished folders. Commits
+    carry the id of the streaming query, which its checkpoint keeps: the same
+    ``stream_id`` fed from another checkpoint is an error, so the store must have
+    been given a ``stream_id``.
     ``after_commit`` gets the id of every batch, repeated ones included.
     """
+    if not store.has_stream:
+        raise ValueError("a store that a stream feeds needs a stream_id of its own")
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_batch(store, batch, batch_id, **load_options)
+        writer = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        load_batch(store, batch, batch_id, writer=writer, **load_options)
         if after_commit is not None:
             after_commit(batch_id)
 
@@ -101,7 +137,24 @@ def flush(store: Store, raw: DataFrame, checkpoint: str, **load_options) -> None
     start_ingest(store, raw, checkpoint, **load_options).awaitTermination()
 
 
-def backlog_rows(query: StreamingQuery) -> int:
-    """Rows of the latest micro-batch, that is, what had arrived and was not stored."""
-    progress = query.lastProgress
-    return 0 if progress is None else progress.numInputRows
+def backlog_rows(spark: SparkSession, folder: str, checkpoint: str) -> int:
+    """Lines in ``folder`` that the text stream of ``checkpoint`` has not committed yet."""
+    # The two spell a local path with one slash and with three.
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/").alias("path")
+    lines = spark.read.text(folder).select(plain(F.col("_metadata.file_path")))
+    try:
+        done = (
+            spark.read.format("binaryFile")
+            .load(f"{checkpoint}/commits")
+            .select(F.regexp_extract("path", "/([0-9]+)$", 1).alias("batch"))
+            .where("batch <> ''")
+        )
+        entries = spark.read.text(f"{checkpoint}/sources/0").where("value LIKE '{%'")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return lines.count()
+    read = entries.select(F.from_json("value", "path STRING, batchId STRING").alias("e")).select("e.*")
+    last = done.agg(F.max(F.col("batch").cast("bigint"))).first()[0]
+    stored = read.where(F.col("batchId").cast("bigint") <= F.lit(-1 if last is None else last))
+    return lines.join(stored.select(plain(F.col("path"))).distinct(), "path", "left_anti").count()

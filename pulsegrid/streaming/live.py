@@ -39,8 +39,9 @@ def windowed_rollup(messages: DataFrame) -> DataFrame:
 def unique_stream(messages: DataFrame, delay: str | None = None, salts: int = 16) -> DataFrame:
     """The first message of each id to arrive.
 
-    Ids are kept for good, or with ``delay`` for that long after the event time
-    (column ``ts_ms``). A first pass on id and input partition spreads an id that
+    Ids are kept for good, or with ``delay`` for that long after they arrived. Time of
+    arrival, not of the event, so no message is too late: an old one with a new id
+    passes. A first pass on id and input partition spreads an id that
     fills a third of the stream, even with equal copies, over ``salts`` tasks; the
     second sees at most ``salts`` rows of it. A retried task reads the same input
     partition, so its salt is the same.
@@ -48,7 +49,7 @@ def unique_stream(messages: DataFrame, delay: str | None = None, salts: int = 16
     salted = messages.withColumn("_salt", F.spark_partition_id() % salts)
     if delay is None:
         return salted.dropDuplicates(["id", "_salt"]).dropDuplicates(["id"]).drop("_salt")
-    timed = salted.withColumn("_ts", F.timestamp_millis("ts_ms")).withWatermark("_ts", delay)
+    timed = salted.withColumn("_ts", F.current_timestamp()).withWatermark("_ts", delay)
     return (
         timed.dropDuplicatesWithinWatermark(["id", "_salt"])
         .dropDuplicatesWithinWatermark(["id"])

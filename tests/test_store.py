@@ -66,9 +66,9 @@ def test_empty_batch(store, messages_of):
     _check(store, rows)
 
 
-@pytest.mark.parametrize("literal_streams", [store_module.MAX_LITERAL_STREAMS, 0])
+@pytest.mark.parametrize("literal_streams", [store_module.MAX_LITERAL_RANGES, 0])
 def test_sealing_keeps_every_row(store, spark, messages_of, monkeypatch, literal_streams):
-    monkeypatch.setattr(store_module, "MAX_LITERAL_STREAMS", literal_streams)
+    monkeypatch.setattr(store_module, "MAX_LITERAL_RANGES", literal_streams)
     rows = _rows(0, 80)
     store.append(messages_of(rows), 0)
     assert store.superseded().count() == 0

@@ -30,7 +30,7 @@ class Feed:
     def __init__(self, spark):
         self.spark = spark
         self.root = workspace(spark, "test-feed")
-        self.store = Store(spark, f"{self.root}/store")
+        self.store = Store(spark, f"{self.root}/store", "feed")
 
     def arrive(self, rows):
         _lines(self.spark, rows).write.mode("append").text(f"{self.root}/log")
@@ -115,11 +115,11 @@ def test_unique_ids_within_and_across_batches(spark, feed):
         raw = _lines(spark, rows).toDF("raw")
         load_batch(feed.store, raw, batch_id, unique_ids=True, timestamp="any")
     kept = feed.store.messages().select("id", "value")
-    assert rows_of(kept) == [("a", 1), ("b", 2), ("c", 6)]
+    assert rows_of(kept) == [("a", 1), ("b", 2), ("c", 5)]
     rejected = feed.store.quarantine()
     assert {row["reason"] for row in rejected.collect()} == {DUPLICATE_ID}
     values = rejected.select(F.get_json_object("raw", "$.value").cast("int"))
-    assert rows_of(values) == [(3,), (4,), (5,)]
+    assert rows_of(values) == [(3,), (4,), (6,)]
     assert feed.store.count().first()[0] == 3
 
 
@@ -160,17 +160,60 @@ def test_stateful_dedup(spark, feed, delay):
     assert rows_of(ids) == [("a",), ("b",), ("c",)]
 
 
-def test_continuous_trigger_and_backlog(feed):
+def test_continuous_trigger_and_backlog(spark, feed):
     from pulsegrid.streaming.ingest import EVERY_5_SECONDS, backlog_rows
 
     rows = _rows(0, 10)
+    checkpoint = f"{feed.root}/checkpoint"
     feed.arrive(rows)
+    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 10
     query = start_ingest(
-        feed.store, feed.stream(), f"{feed.root}/checkpoint", trigger=EVERY_5_SECONDS, timestamp="any"
+        feed.store, feed.stream(), checkpoint, trigger=EVERY_5_SECONDS, timestamp="any"
     )
     try:
         query.processAllAvailable()
-        assert backlog_rows(query) in (0, 10)
     finally:
         query.stop()
+    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 0
+    feed.arrive(_rows(50, 7))
+    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 7
     feed.check(rows)
+
+
+def test_a_second_checkpoint_needs_its_own_stream(spark, feed):
+    from pyspark.errors import StreamingQueryException
+
+    first, second = _rows(0, 10), _rows(100, 10)
+    feed.arrive(first)
+    feed.ingest()
+    feed.arrive(second)
+    with pytest.raises(StreamingQueryException, match="was committed by"):
+        flush(feed.store, feed.stream(), f"{feed.root}/other", timestamp="any")
+    with pytest.raises(ValueError, match="stream_id"):
+        flush(Store(spark, feed.store.root), feed.stream(), f"{feed.root}/third", timestamp="any")
+    flush(feed.store, feed.stream(), f"{feed.root}/checkpoint", timestamp="any")
+    feed.check(first + second)
+
+
+def test_seq_is_unique_across_batches(feed):
+    rows = [(n, B, 1, n) for n in range(6)]
+    for row in rows:
+        feed.arrive([row])
+    feed.ingest()
+    assert feed.store.messages().select("seq").distinct().count() == 6
+
+
+def test_late_new_id_passes_the_stateful_dedup(spark, feed):
+    from pulsegrid.sources.messages import accepted, read_messages
+
+    use_rocksdb_state(spark)
+    feed.arrive([("a", B, 1, 1)])
+    feed.arrive([("old", B - 19 * 3_600_000, 1, 1), ("a", B, 1, 2)])
+    messages = accepted(read_messages(feed.stream(), timestamp="any"))
+    query = (
+        unique_stream(messages, "1 hour").select("id").writeStream.format("parquet")
+        .option("path", f"{feed.root}/late").option("checkpointLocation", f"{feed.root}/late-checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    assert rows_of(spark.read.schema("id STRING").parquet(f"{feed.root}/late")) == [("a",), ("old",)]
