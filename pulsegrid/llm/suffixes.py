@@ -27,7 +27,7 @@ BLOCK, PIECE = 1 << 19, 8 << 20
 GATHER, RANGES = 1 << 18, 1024
 #: Bytes of surroundings in one transform; surroundings of one anchor from which on they
 #: are dealt by the strings in them; symbols by which suffixes are sorted.
-TEXT, CROWD, SORTED = 1 << 20, 10_000, 28
+TEXT, CROWD, SORTED = 1 << 20, 10_000, 14
 
 _rng = np.random.default_rng(20)
 LETTERS = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -60,8 +60,8 @@ def _hash_at(powers: list[np.ndarray], places: np.ndarray, length: int) -> np.nd
     return total
 
 
-def anchors(powers: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Places of the anchors of the strings that start in each [start, end)."""
+def _places(powers: list[np.ndarray]) -> np.ndarray:
+    """For each string of LENGTH bytes the place of its anchor."""
     long = len(powers[0])
     n = long - LENGTH + 1
     if n <= 0:
@@ -77,12 +77,19 @@ def anchors(powers: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> n
         least = np.minimum(least[:-span], least[span:])
         span *= 2
     least = np.minimum(least[:n], least[width - span : width - span + n])
-    place = (least & bits).astype(np.int64)
-    inside = np.zeros(long + 1, np.int32)
+    return (least & bits).astype(np.int64)
+
+
+def anchors(powers: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places of the anchors of the strings that start in each [start, end)."""
+    place = _places(powers)
+    if not len(place):
+        return place
+    inside = np.zeros(len(powers[0]) + 1, np.int32)
     fit = ends > starts
     np.add.at(inside, starts[fit], 1)
     np.add.at(inside, ends[fit], -1)
-    place = place[np.cumsum(inside)[:n] > 0]
+    place = place[np.cumsum(inside)[: len(place)] > 0]
     return place[np.flatnonzero(np.diff(place, prepend=-1))]
 
 
@@ -283,6 +290,9 @@ def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     """All strings of ``length`` bytes that start at least twice in ``texts``: for each such
     start its interval's number, its text and its place in it.
 
+    The order of suffixes looks at SORTED symbols only: what is equal so far may stand in
+    any order, as an interval holds it whichever it is.
+
     The transform of the texts, a separator after each, gives a row for every suffix and
     the byte before it. Rows where a string may end form the first interval, of the empty
     prefix; extending all intervals by the byte before their rows makes the common prefix
@@ -318,18 +328,39 @@ def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     return interval, which[start], offset[start]
 
 
-def _compare(surroundings: list[bytes], doc_of: np.ndarray) -> list[list[int]]:
-    """For each surroundings the starts in it of strings that also start in those of an
-    earlier document."""
-    out: list[list[int]] = [[] for _ in surroundings]
+def _own_strings(surroundings: list[bytes], anchors_at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """Surroundings cut down to the strings whose anchor is the one they stand for, and how
+    many bytes were cut off in front. Equal strings have equal anchors, so each is looked at
+    in one group of surroundings only."""
+    data = np.frombuffer(b"".join(surroundings), np.uint8)
+    ends = np.cumsum([len(x) for x in surroundings])
+    starts = ends - [len(x) for x in surroundings]
+    place = _places(_powers(data, ANCHOR))
+    which = np.repeat(np.arange(len(surroundings)), ends - starts)[: len(place)]
+    inside = np.arange(len(place)) + LENGTH <= ends[which]
+    own = np.flatnonzero(inside & (place == (starts + anchors_at)[which]))
+    first = np.full(len(surroundings), len(data), np.int64)
+    last = np.full(len(surroundings), -1, np.int64)
+    np.minimum.at(first, which[own], own)
+    np.maximum.at(last, which[own], own)
+    cut = [data[f : e + LENGTH].tobytes() if e >= 0 else b"" for f, e in zip(first.tolist(), last.tolist(), strict=True)]
+    return cut, np.where(last >= 0, first - starts, 0)
+
+
+def _compare(surroundings: list[bytes], doc_of: np.ndarray) -> dict[int, np.ndarray]:
+    """For surroundings, by number, the starts in it of strings that also start in those of
+    an earlier document."""
     interval, which, offset = repeated(surroundings, LENGTH)
     if not len(interval):
-        return out
+        return {}
     new = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
     least = np.repeat(np.minimum.reduceat(doc_of[which], new), np.diff(np.append(new, len(interval))))
-    for i in np.flatnonzero(doc_of[which] > least):
-        out[which[i]].append(int(offset[i]))
-    return out
+    later = doc_of[which] > least
+    which, offset = which[later], offset[later]
+    order = np.lexsort((offset, which))
+    which, offset = which[order], offset[order]
+    new = np.flatnonzero(np.diff(which, prepend=-1))
+    return dict(zip(which[new].tolist(), np.split(offset, new[1:]), strict=True)) if len(new) else {}
 
 
 def _borders(texts: DataFrame, marks: DataFrame) -> DataFrame:
@@ -339,7 +370,7 @@ def _borders(texts: DataFrame, marks: DataFrame) -> DataFrame:
     def cut(batches: Batches) -> Batches:
         unpacker = zstandard.ZstdDecompressor()
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("anchor", "deal", "around", "doc_id", "tie", "begins", "data")}
+            rows: dict[str, list] = {k: [] for k in ("anchor", "deal", "at", "doc_id", "tie", "begins", "data")}
             for doc_id, tie, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "wanted")), strict=True):
                 text = unpacker.decompress(packed)
                 for w in wanted:
@@ -349,9 +380,9 @@ def _borders(texts: DataFrame, marks: DataFrame) -> DataFrame:
                     parts = -(-w["crowd"] // CROWD)
                     deals = {0} if parts == 1 else {xxhash.xxh3_64_intdigest(data[i : i + LENGTH]) % parts for i in range(len(data) - LENGTH + 1)}
                     for deal in deals:
-                        for k, v in zip(rows, (w["anchor"], deal, w["around"], doc_id, tie, begins.astype("<i8").tobytes(), data), strict=True):
+                        for k, v in zip(rows, (w["anchor"], deal, int(places[0] - begins[0]), doc_id, tie, begins.astype("<i8").tobytes(), data), strict=True):
                             rows[k].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
 
     def search(batches: Batches) -> Batches:
@@ -361,26 +392,26 @@ def _borders(texts: DataFrame, marks: DataFrame) -> DataFrame:
         def found() -> pa.RecordBatch:
             rows = []
             if held:
-                starts = _compare([x[3] for x in held], np.array([x[0] for x in held]))
-                for (doc_id, tie, begins, _), own in zip(held, starts, strict=True):
-                    if own:
-                        places = (np.frombuffer(begins, "<i8")[:, None] + np.unique(own)).ravel()
-                        rows.append((doc_id, tie, places.astype("<i8").tobytes()))
+                cut, front = _own_strings([x[3] for x in held], np.array([x[4] for x in held]))
+                for i, own in _compare(cut, np.array([x[0] for x in held])).items():
+                    doc_id, tie, begins = held[i][:3]
+                    places = (np.frombuffer(begins, "<i8")[:, None] + front[i] + own).ravel()
+                    rows.append((doc_id, tie, places.astype("<i8").tobytes()))
             columns = list(zip(*rows, strict=True)) or [()] * 3
             return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "tie", "places"])
 
         for batch in batches:
-            for anchor, deal, _, doc_id, tie, begins, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for anchor, deal, at, doc_id, tie, begins, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if size >= TEXT and (anchor, deal) != last:
                     yield found()
                     held, size = [], 0
                 last = (anchor, deal)
-                held.append((doc_id, tie, begins, data))
+                held.append((doc_id, tie, begins, data, at))
                 size += len(data)
         yield found()
 
     asked = texts.join(wanted, ["doc_id", "tie"])
-    schema = "anchor long, deal int, around long, doc_id long, tie int, begins binary, data binary"
+    schema = "anchor long, deal int, at int, doc_id long, tie int, begins binary, data binary"
     dealt = map_batches(asked.select("doc_id", "tie", "packed", "wanted"), cut, schema).repartition("anchor", "deal")
     return map_batches(dealt.sortWithinPartitions("anchor", "deal"), search, "doc_id long, tie int, places binary")
 
