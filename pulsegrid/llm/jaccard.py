@@ -2,7 +2,7 @@
 
 Documents meet in blocks: those that share a shingle among the rarest quarter of their
 own (sets as similar as wanted must share one of these). A block's documents are first
-compared with one of them; what then is still in different components goes through an
+compared with one or two of them; what then is still in different components goes through an
 R-tree over count vectors: shingles are hashed into groups, a node keeps the largest count
 of each group, and the sum of the smaller counts bounds how many shingles two sets share.
 Surviving pairs are verified on the sets themselves.
@@ -33,6 +33,8 @@ FREQUENCY_BITS = 20
 GATHER, RANGES = 1 << 19, 1024
 #: Documents of one shingle that are kept in one row, and of a salt when sets are compared.
 CHUNK, SALT = 4096, 64
+#: Partners of a document in the first search of a tree.
+FIRST_PARTNERS = 2
 #: Entries of an R-tree's leaf and children of a node.
 LEAF, FANOUT = 16, 8
 MEMO = 250_000
@@ -331,8 +333,11 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, pe
     return written(map_batches(dealt, compare, "a long, b long"), "links")
 
 
-def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows, of different ``groups``, whose count vectors allow the similarity.
+def tree_pairs(
+    vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, percent: int, most: int | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows, of different ``groups``, whose count vectors allow the similarity; with
+    ``most`` only so many of each row's, those of the largest bounds.
 
     The tree is packed bottom up over rows in order of size and of their fullest groups of
     shingles; a node holds the largest counts below it, the range of sizes and the group,
@@ -351,7 +356,7 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
     levels = [packed(v, s, s, g, LEAF)]
     while len(levels[-1][1]) > 1:
         levels.append(packed(*levels[-1], FANOUT))
-    found = []
+    left, right = [], []
     for i in range(n):
         nodes = np.zeros(1, np.int64)
         for depth in range(len(levels) - 1, -1, -1):
@@ -375,12 +380,17 @@ def tree_pairs(vectors: np.ndarray, sizes: np.ndarray, groups: np.ndarray, perce
         low, high = np.minimum(s[nodes], s[i]), np.maximum(s[nodes], s[i])
         nodes = nodes[100 * low >= percent * high]
         bound = np.minimum(v[nodes], v[i]).sum(1, dtype=np.int64)
-        nodes = nodes[(100 + percent) * bound >= percent * (s[nodes] + s[i])]
-        found += [(int(order[i]), int(order[j])) for j in nodes]
-    return found
+        good = (100 + percent) * bound >= percent * (s[nodes] + s[i])
+        nodes, bound = nodes[good], bound[good]
+        if most is not None and len(nodes) > most:
+            nodes = nodes[np.argsort(-bound / (s[nodes] + s[i]), kind="stable")[:most]]
+        left.append(np.full(len(nodes), order[i]))
+        right.append(order[nodes])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int, most: int | None) -> DataFrame:
     """Candidate pairs within blocks but across components, from R-trees."""
     members = blocks.select("shingle", F.explode("keys").alias("key")).join(
         small(roots.select(F.col("node").alias("key"), "root")), "key", "left"
@@ -409,34 +419,37 @@ def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int
     def search(batches: Batches) -> Batches:
         tree, held = None, []
 
-        def pairs() -> set:
+        def pairs() -> np.ndarray:
             if len(held) < 2:
-                return set()
+                return np.zeros((0, 2), np.int64)
             keys = np.array([x[0] for x in held])
             points = [np.frombuffer(x[3], np.uint8) for x in held]
             groups = min(map(len, points))
             # a full group may hold more: it never bounds
             vectors = np.stack([np.minimum(folded(np.where(p == FULL, 1 << 15, p.astype(np.int32)), groups), MOST) for p in points])
-            found = tree_pairs(vectors, np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent)
-            return {(min(keys[i], keys[j]), max(keys[i], keys[j])) for i, j in found}
+            i, j = tree_pairs(vectors, np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent, most)
+            return np.sort(np.column_stack([keys[i], keys[j]]), axis=1)
 
         for batch in batches:
-            out: set = set()
+            out = [np.zeros((0, 2), np.int64)]
             for t, key, root, n, point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != tree:
-                    out |= pairs()
+                    out.append(pairs())
                     tree, held = t, []
                 held.append((key, root, n, point))
-            yield _pair_rows(out)
+            yield _pair_rows(np.concatenate(out))
         yield _pair_rows(pairs())
 
     dealt = entries.select("tree", "key", "root", "n", "point").repartition("tree").sortWithinPartitions("tree")
     return map_batches(dealt, search, "a long, b long")
 
 
-def _pair_rows(pairs) -> pa.RecordBatch:
-    pairs = sorted(pairs)
-    return pa.record_batch([pa.array([int(p[0]) for p in pairs], pa.int64()), pa.array([int(p[1]) for p in pairs], pa.int64())], ["a", "b"])
+def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
+    """Distinct rows (a, b)."""
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    if len(pairs):
+        pairs = pairs[np.append(True, (pairs[1:] != pairs[:-1]).any(1))]
+    return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 def similar_documents(
@@ -466,9 +479,13 @@ def similar_documents(
     )
     stars = _within_bound(stars, points, percent)
     near = _verified(keyed, rows, stars, words, percent)
-    roots = connected_components(near)
-    more = _verified(keyed, rows, _across(blocks, roots, points, percent).distinct(), words, percent)
-    roots = connected_components(near.unionByName(more))
+    # Each document's most promising partners in other components first: most components
+    # grow together over these. Then all that the trees let pass between what is left.
+    links, roots = near, connected_components(near)
+    for most in (FIRST_PARTNERS, None):
+        candidates = _across(blocks, roots, points, percent, most).distinct()
+        links = links.unionByName(_verified(keyed, rows, candidates, words, percent))
+        roots = connected_components(links)
     placed = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
     )
