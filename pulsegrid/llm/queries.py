@@ -9,6 +9,7 @@ from pulsegrid.llm import (
     decontamination,
     jaccard,
     nearest,
+    oracles,
     pii,
     sentence_spans,
     suffixes,
@@ -115,9 +116,9 @@ QUERIES = {
     "op3_toxicity": Query(op3_toxicity),
     "op4_bpe": Query(op4_bpe),
     "op5_wavelet": Query(op5_wavelet),
-    "op6_decontamination": Query(op6_decontamination),
-    "op7_jaccard": Query(op7_jaccard),
+    "op6_decontamination": Query(op6_decontamination, oracles.OP6),
+    "op7_jaccard": Query(op7_jaccard, oracles.OP7),
     "op8_nearest": Query(op8_nearest),
-    "op9_suffixes": Query(op9_suffixes),
-    "op10_pii": Query(op10_pii),
+    "op9_suffixes": Query(op9_suffixes, oracles.OP9),
+    "op10_pii": Query(op10_pii, oracles.OP10),
 }

@@ -416,3 +416,26 @@ def test_toxicity(spark, none):
     assert [(s.start, s.end) for s in got[902].spans] == [(4, 11)]
     flat = toxicity.fit(frame, tags.limit(0))
     assert {r.score for r in toxicity.score(frame, flat).collect()} != set() and toxicity.score(none, model).count() == 0
+
+
+@pytest.mark.parametrize("name", ["op6_decontamination", "op7_jaccard", "op9_suffixes", "op10_pii"])
+def test_query_matches_sql(spark, sf_dir, name):
+    import check_oracles
+
+    equal, note = check_oracles.compare(spark, sf_dir, name)
+    assert equal, note
+
+
+def test_pii_sql_on_awkward_texts(spark):
+    import duckdb
+
+    from pulsegrid.llm import oracles, queries
+
+    rows = [r[:2] for r in texts()] + [(100 + i, t) for i, t in enumerate(AWKWARD) if len(t) < 20_000]
+    path = workspace(spark, "awkward")
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+    cursor = connection.execute(oracles.OP10)
+    columns = [c[0] for c in cursor.description]
+    assert pairs(queries.op10_pii(spark, path), *columns) == sorted(cursor.fetchall(), key=repr)
