@@ -3,7 +3,7 @@
 Each run gets a fresh store in the session's shared folder.
 """
 
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -110,6 +110,14 @@ def _retention_late_rows(spark, sf_dir):
     return store.messages()
 
 
+def _removed(spark, sf_dir):
+    """What a second seal supersedes is deleted; the same rows are read from what is left."""
+    store = sealed_store(spark, sf_dir)
+    store.remove_superseded(timedelta(0))
+    store.append(_in_two_batches(spark, sf_dir)[0], 0)
+    return store.messages()
+
+
 def _out_of_order(spark, sf_dir):
     """A lower batch id after a higher one is sealed."""
     store = _fresh(spark)
@@ -158,6 +166,7 @@ QUERIES = {
     "store_retention_late_rows": Query(
         _retention_late_rows, f"{_ALL} WHERE event_date >= DATE '{LATE_BEFORE}'"
     ),
+    "store_removed": Query(_removed, _ALL),
     "store_out_of_order_batches": Query(_out_of_order, _ALL),
     "store_fan_out": Query(_fan_out, _ALL),
 }

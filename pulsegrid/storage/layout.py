@@ -1,5 +1,7 @@
 """Parquet reads and writes of the store's tables."""
 
+from datetime import datetime
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import (
@@ -87,3 +89,31 @@ def overwrite(rows: DataFrame, root: str, name: str, part: str, by_day: bool = F
     if by_day:
         writer = writer.partitionBy("event_date")
     writer.parquet(f"{root}/{name}/{part}")
+
+
+class Folders:
+    """Folders below ``root`` on whatever file system it is on."""
+
+    def __init__(self, spark: SparkSession, root: str, before: datetime):
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._root = root
+        self._files = self._path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._before = before.timestamp() * 1000
+
+    def _at(self, folder: str):
+        return self._path(f"{self._root}/{folder}")
+
+    def children(self, folder: str) -> list[str]:
+        """Names of partition folders."""
+        if not self._files.exists(self._at(folder)):
+            return []
+        names = [status.getPath().getName() for status in self._files.listStatus(self._at(folder))]
+        return [name for name in names if "=" in name and not name.startswith((".", "_"))]
+
+    def is_old(self, folder: str) -> bool:
+        """Whether the folder is there and was last changed before the given time."""
+        at = self._at(folder)
+        return self._files.exists(at) and self._files.getFileStatus(at).getModificationTime() < self._before
+
+    def delete(self, folder: str) -> bool:
+        return self._files.delete(self._at(folder), True)

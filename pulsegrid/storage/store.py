@@ -18,7 +18,7 @@ never a repetition.
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 from typing import Literal, NamedTuple
 
 from pyspark import inheritable_thread_target
@@ -32,7 +32,7 @@ from pulsegrid.operators.requests import synthesis_requests
 from pulsegrid.operators.synthesis import merge_partials, rollup
 from pulsegrid.schema import PARTIAL_VALUES, message_columns
 from pulsegrid.session import prepare
-from pulsegrid.storage.layout import overwrite, read_table
+from pulsegrid.storage.layout import Folders, overwrite, read_table
 
 Sink = Callable[[DataFrame, int], None]
 
@@ -310,6 +310,47 @@ class Store:
             .select("stream_id", "batch_id")
         )
 
+    def remove_superseded(self, grace: timedelta = timedelta(hours=1)) -> int:
+        """Delete what no reader needs any more; returns the number of folders deleted.
+
+        Batches that ``superseded`` lists lose their messages, rollup and commit row (the
+        sealed ranges remember their ids, their quarantine stays), older generations the
+        days that a newer one has written anew, and their own rows. Nothing younger than
+        ``grace`` goes, and no generation while the newest is younger: readers that
+        began before may still be at it. A run that is cut short is simply repeated.
+        """
+        seal = self.newest_seal()
+        if seal is None:
+            return 0
+        before = datetime.now(timezone.utc) - grace
+        files = Folders(self.spark, self.root, before)
+        removed = 0
+        for row in self.superseded().toLocalIterator():
+            part = f"stream_id={row['stream_id']}/batch_id={row['batch_id']}"
+            if files.is_old(f"commits/{part}"):
+                removed += sum(files.delete(f"{name}/{part}") for name in ("messages", "rollup_1s", "commits"))
+        if not files.is_old(f"seals/gen={seal.gen}"):
+            return removed
+        # A row a sealed day.
+        current = {(r["data_gen"], r["event_date"]) for r in self.of_gen("seal_days", seal.gen).collect()}
+        gens = {gen for gen, _ in current}
+        for name in ("sealed_messages", "sealed_rollup_1s"):
+            for folder in files.children(name):
+                gen = int(folder.removeprefix("gen="))
+                if gen > seal.gen:
+                    continue
+                if gen not in gens:
+                    removed += files.delete(f"{name}/{folder}")
+                    continue
+                for day in files.children(f"{name}/{folder}"):
+                    if (gen, date.fromisoformat(day.removeprefix("event_date="))) not in current:
+                        removed += files.delete(f"{name}/{folder}/{day}")
+        for name in ("seals", "seal_days", "seal_coverage"):
+            for folder in files.children(name):
+                if int(folder.removeprefix("gen=")) < seal.gen:
+                    removed += files.delete(f"{name}/{folder}")
+        return removed
+
     def sealed(self, name: str, seal: _Seal) -> DataFrame:
         """The rows of table ``name`` that ``seal`` holds."""
         current = self.of_gen("seal_days", seal.gen).select(
@@ -387,7 +428,16 @@ class Snapshot:
         return synthesis_requests(self.messages(), self.rollup_partials(), requests)
 
     def quarantine(self) -> DataFrame:
-        return self._committed(read_table(self._store.spark, self._store.root, "quarantine"))
+        rows = read_table(self._store.spark, self._store.root, "quarantine")
+        if self._seal is None:
+            return self._committed(rows)
+        # Commit rows of sealed batches may be gone; their ranges stand for them.
+        coverage = self._store.of_gen("seal_coverage", self._seal.gen).drop("gen", "writer")
+        listed = _covered(self._batches, coverage).select("stream_id", "batch_id")
+        live = self._batches.join(listed, ["stream_id", "batch_id"], "left_anti")
+        sealed = _covered(rows, coverage).select(rows.columns)
+        fresh = semi_join(rows, live, ["stream_id", "batch_id"], small=self._few_batches)
+        return fresh.select(rows.columns).unionByName(sealed)
 
     def _committed(self, rows: DataFrame) -> DataFrame:
         return semi_join(rows, self._batches, ["stream_id", "batch_id"], small=self._few_batches)

@@ -27,6 +27,7 @@ NAMES = [
     "stream_late_rows",
     "stream_windowed_rollup",
     "stream_dedup",
+    "store_removed",
     "store_out_of_order_batches",
     "store_retention_late_rows",
     "stream_two_checkpoints",

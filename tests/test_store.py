@@ -149,3 +149,32 @@ def test_retention_drops_whole_days(store, messages_of):
     _check(store, kept, B, B + 9 * DAY)
     with pytest.raises(ValueError):
         store.seal(DAYS[2], keep_from=DAYS[3])
+
+
+def test_removal_bounds_the_folders(spark, store, messages_of):
+    from datetime import timedelta
+    from pathlib import Path
+
+    day = 86_400_000
+    rows = []
+    for n in range(6):
+        new = [(n * day + k, 1, k) for k in range(5)]
+        rows += new
+        store.append(messages_of(new), n, quarantine=_rejected(spark, n))
+        store.seal(date(1970, 1, 1) + timedelta(days=n + 1))
+    assert store.remove_superseded(timedelta(hours=1)) == 0
+    assert store.remove_superseded(timedelta(0)) > 0
+    root = Path(store.root.removeprefix("file:"))
+    assert not list(root.glob("messages/*/batch_id=*")) and not list(root.glob("commits/*/batch_id=*"))
+    assert len(list(root.glob("seals/gen=*"))) == 1
+    assert len(list(root.glob("sealed_messages/gen=*/event_date=*"))) == 6
+    assert store.messages().count() == store.count().first()[0] == len(rows)
+    assert store.quarantine().count() == 6
+    assert not store.append(messages_of(rows[:5]), 0)
+    assert store.remove_superseded(timedelta(0)) == 0
+
+
+def _rejected(spark, n):
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.lit(f"bad {n}").alias("raw"), F.lit("malformed_json").alias("reason"), F.current_timestamp().alias("ingest_ts"))
