@@ -1,5 +1,7 @@
 """Arrow batches of bounded size, and what the operators share around them."""
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -35,13 +37,33 @@ def _package(application: str) -> str:
     return path
 
 
+@cache
+def _ship(application: str) -> None:
+    from pyspark import SparkContext
+
+    SparkContext.getOrCreate().addPyFile(_package(application))
+
+
 def map_batches(df: DataFrame, task: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``df`` through ``task``, batch by batch, within each partition."""
+    """``df`` through ``task``, batch by batch, within each partition.
+
+    Python workers wait for further tasks with what they once allocated; when a task ends,
+    what it has freed goes back to the system.
+    """
     spark = prepare(df.sparkSession)
-    spark.sparkContext.addPyFile(_package(spark.sparkContext.applicationId))
+    _ship(spark.sparkContext.applicationId)
     for key, value in BATCH_CONF.items():
         spark.conf.set(key, value)
-    return df.mapInArrow(task, schema)
+
+    def run(batches: Batches) -> Batches:
+        pa.set_memory_pool(pa.system_memory_pool())
+        yield from task(batches)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return df.mapInArrow(run, schema)
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -30,14 +30,14 @@ MOST = (1 << 15) - 1
 #: Leading bits of a shingle's hash by which its frequency is estimated.
 FREQUENCY_BITS = 20
 #: Postings a task gathers before it sends them, and shingle ranges they are sent to.
-GATHER, RANGES = 1 << 19, 1024
+GATHER, RANGES = 1 << 18, 1024
 #: Documents of one shingle that are kept in one row, and of a salt when sets are compared.
 CHUNK, SALT = 4096, 64
 #: Partners of a document in the first search of a tree.
 FIRST_PARTNERS = 2
 #: Entries of an R-tree's leaf and children of a node.
 LEAF, FANOUT = 16, 8
-MEMO = 250_000
+MEMO = 100_000
 
 
 class WordHashes(dict):

@@ -31,7 +31,7 @@ LEAST_DOCS, CLEAN_WEIGHT, LEAST_ODDS = 4, 4.0, 5
 COMMON = 0.02
 BEGINNINGS = (9, 8, 7, 6, 5, 4)
 REACH = 8
-MEMO = 250_000
+MEMO = 100_000
 PREDICT = 0.7
 
 WORD = re.compile(r"[^\W\d_]+")
