@@ -17,7 +17,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.timeaxis import MAX_MS, MIN_MS, MS_PER_SECOND, bucket_of
 from pulsegrid.operators.filters import closed_range, date_range
-from pulsegrid.operators.joins import MAX_BROADCAST_BYTES, MAX_BROADCAST_ROWS, semi_join
+from pulsegrid.operators.joins import (
+    MAX_BROADCAST_BYTES,
+    MAX_BROADCAST_ROWS,
+    keys_fit_broadcast,
+    semi_join,
+)
 from pulsegrid.operators.synthesis import finish, merge_partials, partials
 from pulsegrid.schema import PARTIAL_VALUES, REQUEST_SYNTHESIS
 
@@ -122,12 +127,14 @@ def _edges(messages: DataFrame, valid: DataFrame, extent: _Extent) -> DataFrame:
         "sensor_type",
         "value",
     )
-    small, aggregate = extent.fits_broadcast(2), partials
-    if not small:
+    if extent.fits_broadcast(2) or keys_fit_broadcast(wanted):
+        rows, aggregate = semi_join(rows, wanted, ["bucket"], small=True), partials
+    else:
         # Rows will be shuffled by second: first reduce a second that holds many of
-        # them to one partial per millisecond and sensor.
+        # them to one partial per millisecond and sensor. An inner join with distinct
+        # seconds, because a semi join would be moved below that aggregation.
         rows, aggregate = partials(rows, "bucket", "unit", "sensor_type"), merge_partials
-    rows = semi_join(rows, wanted, ["bucket"], small=small)
+        rows = rows.join(wanted.hint("merge"), "bucket")
     return _meet(
         in_blocks(rows, EDGE_LEVELS),
         cover(ranges, EDGE_LEVELS),
