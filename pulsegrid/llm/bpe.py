@@ -16,9 +16,9 @@ from pyspark.sql import DataFrame
 
 from pulsegrid.llm.batches import Batches, documents, map_batches
 
-#: Words, and stretches between white space, whose ids a worker remembers; beyond that it
-#: starts anew.
-MEMO_WORDS = 500_000
+#: Words, and stretches between white space, whose ids a worker remembers (some 200 bytes
+#: each); beyond that it starts anew.
+MEMO_WORDS, MEMO_STRETCHES = 500_000, 1_000_000
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
@@ -144,7 +144,7 @@ class Encoder:
         """
         split = [self._stretches(text) for text in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > MEMO_WORDS:
+        if len(self.known) + len(new) > MEMO_STRETCHES:
             self.known = {}
             new = set().union(*split)
         if len(self.memo) > MEMO_WORDS:

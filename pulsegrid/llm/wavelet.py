@@ -24,7 +24,7 @@ from pulsegrid.llm.bpe import encoder
 
 MAGIC = b"PGWM1\0\0\0"
 #: Id that ends each document; ids of a shard (its last document is never cut); bits of a block.
-END_ID, SHARD_IDS, BLOCK_BITS = 2, 1 << 21, 1 << 18
+END_ID, SHARD_IDS, BLOCK_BITS = 2, 1 << 20, 1 << 18
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
