@@ -18,7 +18,7 @@ from pulsegrid.llm.batches import Batches, documents, map_batches
 
 #: Words, and stretches between white space, whose ids a worker remembers (some 200 bytes
 #: each); beyond that it starts anew.
-MEMO_WORDS, MEMO_STRETCHES = 500_000, 1_000_000
+MEMO_WORDS, MEMO_STRETCHES = 400_000, 400_000
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
@@ -94,7 +94,8 @@ def merge_word(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
 class Encoder:
     """Texts to ids and back, by one vocabulary file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, stretches: int = MEMO_STRETCHES):
+        self.stretches = stretches
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         vocab = spec["model"]["vocab"]
@@ -144,7 +145,7 @@ class Encoder:
         """
         split = [self._stretches(text) for text in texts]
         new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > MEMO_STRETCHES:
+        if len(self.known) + len(new) > self.stretches:
             self.known = {}
             new = set().union(*split)
         if len(self.memo) > MEMO_WORDS:
@@ -255,9 +256,9 @@ class Encoder:
 
 
 @cache
-def encoder(path: str) -> Encoder:
+def encoder(path: str, stretches: int = MEMO_STRETCHES) -> Encoder:
     """One encoder a worker process and file."""
-    return Encoder(path)
+    return Encoder(path, stretches)
 
 
 def default_vocabulary() -> str:

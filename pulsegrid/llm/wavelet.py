@@ -25,6 +25,8 @@ from pulsegrid.llm.bpe import encoder
 MAGIC = b"PGWM1\0\0\0"
 #: Id that ends each document; ids of a shard (its last document is never cut); bits of a block.
 END_ID, SHARD_IDS, BLOCK_BITS = 2, 1 << 20, 1 << 18
+#: Stretches of text a worker remembers the ids of; it holds little else.
+MEMO_STRETCHES = 800_000
 
 
 def build_shard(ids: np.ndarray, doc_ids: list[int | None], lengths: list[int]) -> bytes:
@@ -165,7 +167,7 @@ def write_shards(
         from pyspark import TaskContext
 
         part, shard = TaskContext.get().partitionId(), 0
-        coder = encoder(vocabulary)
+        coder = encoder(vocabulary, MEMO_STRETCHES)
         held: list[bytes] = []
         doc_ids: list[int | None] = []
         total = 0
