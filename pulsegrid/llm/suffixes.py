@@ -26,7 +26,7 @@ BLOCK, PIECE = 1 << 19, 8 << 20
 #: Anchors a task gathers before it sends them, and hash ranges they are sent to.
 GATHER, RANGES = 1 << 18, 1024
 #: Bytes of surroundings in one transform; surroundings of one anchor from which on they
-#: are dealt by the strings in them; symbols by which suffixes are sorted.
+#: are dealt to several transforms; symbols by which suffixes are sorted.
 TEXT, CROWD, SORTED = 1 << 20, 10_000, 14
 
 _rng = np.random.default_rng(20)
@@ -66,6 +66,8 @@ def _places(powers: list[np.ndarray]) -> np.ndarray:
     n = long - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64)
+    if long > 1 << 24:
+        raise ValueError(f"{long} bytes at once: a place has 24 bits")
     width = SIDE + 1
     every = np.arange(long - ANCHOR + 1)
     bits = np.uint64((1 << 24) - 1)
@@ -331,7 +333,19 @@ def repeated(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
 def _own_strings(surroundings: list[bytes], anchors_at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Surroundings cut down to the strings whose anchor is the one they stand for, and how
     many bytes were cut off in front. Equal strings have equal anchors, so each is looked at
-    in one group of surroundings only."""
+    in one group of surroundings only. About BLOCK bytes are looked at together."""
+    sizes = np.array([len(x) for x in surroundings], np.int64)
+    block = (np.cumsum(sizes) - sizes) // BLOCK
+    edges = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(sizes)]
+    cut, front = [], [np.zeros(0, np.int64)]
+    for s, e in zip(edges[:-1], edges[1:], strict=True):
+        own, off = _own_in_block(surroundings[s:e], anchors_at[s:e])
+        cut += own
+        front.append(off)
+    return cut, np.concatenate(front)
+
+
+def _own_in_block(surroundings: list[bytes], anchors_at: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     data = np.frombuffer(b"".join(surroundings), np.uint8)
     ends = np.cumsum([len(x) for x in surroundings])
     starts = ends - [len(x) for x in surroundings]
@@ -363,57 +377,114 @@ def _compare(surroundings: list[bytes], doc_of: np.ndarray) -> dict[int, np.ndar
     return dict(zip(which[new].tolist(), np.split(offset, new[1:]), strict=True)) if len(new) else {}
 
 
+def _reduced(surroundings: list[bytes], doc_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each string start in surroundings: its surroundings' number, its place there, the
+    number of a start with the same string, and whether an earlier document has the string."""
+    counts = np.array([len(x) - LENGTH + 1 for x in surroundings])
+    base = np.cumsum(counts) - counts
+    which = np.repeat(np.arange(len(surroundings)), counts)
+    offset = np.arange(len(which)) - base[which]
+    same = np.arange(len(which))
+    interval, twice, at = repeated(surroundings, LENGTH)
+    if len(interval):
+        start = base[twice] + at
+        new = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        same[start] = np.repeat(np.minimum.reduceat(start, new), np.diff(np.append(new, len(interval))))
+    least = np.full(len(which), np.iinfo(np.int64).max)
+    np.minimum.at(least, same, doc_of[which])
+    return which, offset, same, doc_of[which] > least[same]
+
+
 def _borders(texts: DataFrame, marks: DataFrame) -> DataFrame:
-    """Rows doc_id, tie, places: starts of strings that the comparison of surroundings finds."""
+    """Rows doc_id, tie, places: starts of strings that the comparison of surroundings finds.
+
+    Surroundings are cut to their own strings before they are sent. Those of an anchor with
+    more than CROWD of them are dealt evenly; each transform of about TEXT bytes of them
+    leaves the smallest doc_id of each of its strings, and these are compared by string.
+    """
     wanted = marks.where("kind = 1").groupBy("doc_id", "tie").agg(F.collect_list(F.struct("anchor", "around", "crowd", "places")).alias("wanted"))
+    names = ("anchor", "deal", "doc_id", "tie", "begins", "data")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def cut(batches: Batches) -> Batches:
         unpacker = zstandard.ZstdDecompressor()
+        held: list[tuple] = []
+        size = 0
+
+        def packed_rows() -> pa.RecordBatch:
+            own, front = _own_strings([x[4] for x in held], np.array([x[5] for x in held], np.int64))
+            rows = [
+                (anchor, -1 if parts == 1 else xxhash.xxh3_64_intdigest(data) % parts, doc_id, tie, (begins + off).astype("<i8").tobytes(), string)
+                for (anchor, parts, doc_id, tie, data, _, begins), string, off in zip(held, own, front.tolist(), strict=True)
+                if string
+            ]
+            columns = list(zip(*rows, strict=True)) or [()] * len(names)
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], list(names))
+
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("anchor", "deal", "at", "doc_id", "tie", "begins", "data")}
             for doc_id, tie, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tie", "packed", "wanted")), strict=True):
                 text = unpacker.decompress(packed)
                 for w in wanted:
                     places = np.frombuffer(w["places"], "<i8")
                     begins = np.maximum(places - SIDE, 0)
                     data = text[begins[0] : places[0] + LENGTH]
-                    parts = -(-w["crowd"] // CROWD)
-                    deals = {0} if parts == 1 else {xxhash.xxh3_64_intdigest(data[i : i + LENGTH]) % parts for i in range(len(data) - LENGTH + 1)}
-                    for deal in deals:
-                        for k, v in zip(rows, (w["anchor"], deal, int(places[0] - begins[0]), doc_id, tie, begins.astype("<i8").tobytes(), data), strict=True):
-                            rows[k].append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], list(rows))
+                    held.append((w["anchor"], -(-w["crowd"] // CROWD), doc_id, tie, data, int(places[0] - begins[0]), begins))
+                    size += len(data)
+                    if size >= BLOCK:
+                        yield packed_rows()
+                        held, size = [], 0
+        yield packed_rows()
 
     def search(batches: Batches) -> Batches:
         held: list[tuple] = []
-        size, last = 0, None
+        size, last, crowded = 0, None, False
 
         def found() -> pa.RecordBatch:
             rows = []
-            if held:
-                cut, front = _own_strings([x[3] for x in held], np.array([x[4] for x in held]))
-                for i, own in _compare(cut, np.array([x[0] for x in held])).items():
+            if held and crowded:
+                rows = strings_left()
+            elif held:
+                for i, own in _compare([x[3] for x in held], np.array([x[0] for x in held])).items():
                     doc_id, tie, begins = held[i][:3]
-                    places = (np.frombuffer(begins, "<i8")[:, None] + front[i] + own).ravel()
-                    rows.append((doc_id, tie, places.astype("<i8").tobytes()))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc_id", "tie", "places"])
+                    places = (np.frombuffer(begins, "<i8")[:, None] + own).ravel()
+                    rows.append((doc_id, tie, places.astype("<i8").tobytes(), None))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            return pa.record_batch(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "tie", "places", "string"]
+            )
+
+        def strings_left() -> list[tuple]:
+            which, offset, same, later = _reduced([x[3] for x in held], np.array([x[0] for x in held]))
+            # what an earlier document has goes; the others, a document's equal strings in one row, are compared further
+            gone: dict[tuple, list] = {}
+            for i, k, n, away in zip(which.tolist(), offset.tolist(), same.tolist(), later.tolist(), strict=True):
+                doc_id, tie, begins, data = held[i]
+                gone.setdefault((doc_id, tie, None if away else n), []).append(np.frombuffer(begins, "<i8") + k)
+            return [
+                (doc_id, tie, np.concatenate(places).astype("<i8").tobytes(), None if n is None else held[which[n]][3][offset[n] : offset[n] + LENGTH])
+                for (doc_id, tie, n), places in gone.items()
+            ]
 
         for batch in batches:
-            for anchor, deal, at, doc_id, tie, begins, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size >= TEXT and (anchor, deal) != last:
+            for anchor, deal, doc_id, tie, begins, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                # a crowd's strings are compared once more, so its transforms may end anywhere
+                if held and (crowded != (deal >= 0) or size >= TEXT and (crowded or (anchor, deal) != last)):
                     yield found()
                     held, size = [], 0
-                last = (anchor, deal)
-                held.append((doc_id, tie, begins, data, at))
+                last, crowded = (anchor, deal), deal >= 0
+                held.append((doc_id, tie, begins, data))
                 size += len(data)
         yield found()
 
     asked = texts.join(wanted, ["doc_id", "tie"])
-    schema = "anchor long, deal int, at int, doc_id long, tie int, begins binary, data binary"
+    schema = "anchor long, deal int, doc_id long, tie int, begins binary, data binary"
     dealt = map_batches(asked.select("doc_id", "tie", "packed", "wanted"), cut, schema).repartition("anchor", "deal")
-    return map_batches(dealt.sortWithinPartitions("anchor", "deal"), search, "doc_id long, tie int, places binary")
+    met = written(map_batches(dealt.sortWithinPartitions("anchor", "deal"), search, "doc_id long, tie int, places binary, string binary"), "borders")
+    here, left = (met.where(x).select("doc_id", "tie", "places", *more) for x, more in (("string IS NULL", ()), ("string IS NOT NULL", ("string",))))
+    if left.isEmpty():
+        return here
+    first = left.groupBy("string").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("string", "first")
+    return here.unionByName(left.join(first, "string").where("doc_id > first").select("doc_id", "tie", "places"))
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -444,7 +515,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = map_batches(keyed.select("doc_id", "tie", F.col("text").cast("binary").alias("text")), pack, "doc_id long, tie int, packed binary")
     known = keyed.where("doc_id IS NOT NULL")
     marks = _meet(known.dropDuplicates(["doc_id", "tie"]) if not twice.isEmpty() else known)
-    borders = written(_borders(texts, marks), "borders")
+    borders = _borders(texts, marks)
     gone = (
         marks.where("kind = 0").select("doc_id", "tie", "places", F.lit(SIDE).alias("side"))
         .unionByName(borders.select("doc_id", "tie", "places", F.lit(0).alias("side")))

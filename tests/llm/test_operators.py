@@ -329,6 +329,33 @@ def test_suffixes(spark, docs, none, crowd, monkeypatch):
     assert suffixes.without_repeats(none).count() == 0
 
 
+def test_own_strings_of_more_bytes_than_a_place_has_bits_for():
+    rng = np.random.default_rng(3)
+    common = b"a common string of more than fifty bytes, for everyone"
+    n = (1 << 24) // 80 + 2_000
+    sides = rng.integers(97, 123, (n, 60)).astype(np.uint8)
+    texts = [bytes(x[:30]) + common + bytes(x[30:]) for x in sides]
+    powers = suffixes._powers(np.frombuffer(common, np.uint8), suffixes.ANCHOR)
+    at = 30 + int(suffixes._places(powers)[0])
+    around = [t[at - suffixes.SIDE : at + suffixes.LENGTH] for t in texts]
+    cut, front = suffixes._own_strings(around, np.full(n, suffixes.SIDE))
+    assert all(common[:50] in c for c in cut)
+    assert all(a[f:].startswith(c) for a, f, c in zip(around, front.tolist(), cut, strict=True))
+
+
+def test_suffixes_of_a_crowd_in_several_transforms(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    common = "a common string of more than fifty bytes, for everyone"
+    side = lambda: bytes(rng.integers(97, 123, 40).astype(np.uint8)).decode()
+    sides = [side() for _ in range(60)]
+    rows = [(i, sides[i] + common + sides[i * 7 % 60]) for i in range(60)] + [(7, side() + common + sides[3]), (None, side() + common)]
+    rows += [(100, " ".join(side() + common for _ in range(5))), (101, sides[9] + common[:52] + side())]
+    monkeypatch.setattr(suffixes, "CROWD", 20)
+    monkeypatch.setattr(suffixes, "TEXT", 300)
+    got = suffixes.without_repeats(spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == removed(rows)
+
+
 def test_intervals_are_the_repeated_strings():
     rng = np.random.default_rng(2)
     made = [bytes(rng.integers(97, 99, int(n)).astype(np.uint8)) for n in rng.integers(0, 40, 30)]
