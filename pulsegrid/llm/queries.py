@@ -34,8 +34,10 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of repeated runs of three."""
-    return sentence_spans.deduplicated(table(spark, sf_dir, "documents"))
+    """Documents without the sentences of repeated runs of two, and without repeated short texts."""
+    return sentence_spans.deduplicated(
+        table(spark, sf_dir, "documents"), size=sentence_spans.FEW, words=sentence_spans.WORDS, rest=True
+    )
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ Every run of several consecutive sentences is hashed; the runs of all documents
 hash; sentences in any but the first occurrence of a run are removed.
 """
 
-import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -18,51 +18,101 @@ from pulsegrid.session import written
 #: Consecutive sentences of a span.
 SPAN = 3
 #: A sentence ends with a stop, a question or exclamation mark before white space, or with
-#: its line; one of more words than this is cut into pieces at words that their own hash
-#: picks, so the same words are cut alike wherever they stand.
-LONG, PIECE = 24, 8
-
-ENDS = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
-WORD = re.compile(r"\S+")
+#: its line. Of every WINDOW words in one sentence the one with the least hash ends a piece,
+#: so the same words are cut alike wherever they stand, and no piece is longer than WINDOW.
+WINDOW = 10
+#: Sentences of a span, and words of one that holds pieces of sentences, for which every
+#: repeated passage of over 50 words holds a span: two windows' edges, a piece, and the span.
+FEW, WORDS = 2, 14
+
+SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+END, ALL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+
+class Pieces(NamedTuple):
+    """Sentences or pieces of them: first and last character, first and last word (ends
+    excluded), which are whole sentences, and a hash of each word of the text."""
+
+    starts: np.ndarray
+    ends: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    whole: np.ndarray
+    words: np.ndarray
+
+
+def pieces(text: str) -> Pieces:
+    code = np.frombuffer(text.encode("utf-32-le"), "<u4")
+    edges = np.flatnonzero(np.diff(SPACE[np.minimum(code, len(SPACE) - 1)], prepend=True, append=True))
+    starts, ends = edges[::2], edges[1::2]
+    n = len(starts)
+    if not n:
+        none = np.zeros(0, np.int64)
+        return Pieces(none, none, none, none, none.astype(bool), none.astype(np.uint64))
+    words = np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
+    stop = np.isin(code[ends - 1], [ord(c) for c in ".!?"])
+    lines = np.cumsum(code == ord("\n"))
+    stop[:-1] |= lines[starts[1:]] > lines[ends[:-1] - 1]
+    stop[-1] = True
+    cut = stop.copy()
+    if n >= WINDOW:
+        least, at = words[: n - WINDOW + 1].copy(), np.arange(n - WINDOW + 1)
+        for i in range(1, WINDOW):
+            other = words[i : n - WINDOW + 1 + i]
+            at = np.where(other < least, np.arange(i, n - WINDOW + 1 + i), at)
+            least = np.minimum(least, other)
+        sentence = np.cumsum(stop) - stop
+        cut[at[sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :]]] = True
+    last = np.flatnonzero(cut)
+    first = np.concatenate([[0], last[:-1] + 1])
+    whole = stop[last] & np.concatenate([[True], stop[last[:-1]]])
+    words[last] ^= END
+    return Pieces(starts[first], ends[last], first, last + 1, whole, words)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Start and end of each sentence; white space between them belongs to none."""
-    out, at = [], 0
-    for match in [*ENDS.finditer(text), None]:
-        end = match.start() if match else len(text)
-        if text[at:end].strip():
-            out += _pieces(text, at, end)
-        at = match.end() if match else end
-    return out
-
-
-def _pieces(text: str, start: int, end: int) -> list[tuple[int, int]]:
-    words = [m.span() for m in WORD.finditer(text, start, end)]
-    if len(words) <= LONG:
-        return [(words[0][0], words[-1][1])]
-    out, first = [], 0
-    for i, (s, e) in enumerate(words):
-        if i + 1 == len(words) or xxhash.xxh3_64_intdigest(text[s:e].encode()) % PIECE == 0:
-            out.append((words[first][0], e))
-            first = i + 1
-    return out
-
-
-def run_hashes(text: str, spans: list[tuple[int, int]], size: int = SPAN) -> np.ndarray:
-    """A 64-bit hash for each run of ``size`` sentences, white space and case aside."""
-    own = [xxhash.xxh3_64_intdigest(" ".join(text[s:e].lower().split()).encode()) for s, e in spans]
-    h = np.array(own, np.uint64)
-    if len(h) < size:
-        return np.zeros(0, np.uint64)
-    total = np.zeros(len(h) - size + 1, np.uint64)
-    for i in range(size):
-        total = (total ^ h[i : len(h) - size + 1 + i]) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(32)
-    return total
-
-
-def deduplicated(docs: DataFrame, size: int = SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Start and end of each sentence or piece; white space between them belongs to none."""
+    found = pieces(text)
+    return list(zip(found.starts.tolist(), found.ends.tolist(), strict=True))
+
+
+def runs_of(found: Pieces, size: int = SPAN, words: int = 0, rest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last piece of each run, and its 64-bit hash, white space and case aside.
+
+    A run has ``size`` pieces and, unless all these are whole sentences, as many more as it
+    takes to ``words`` words. With ``rest`` the last pieces of a text always lie in a run:
+    one counted from the end or, if the text is too short for that, the whole text, which
+    meets whole texts only.
+    """
+    n = len(found.first)
+    first = np.arange(n)
+    last = np.maximum(first + size - 1, np.searchsorted(found.last, found.first + words))
+    sure = np.concatenate([[0], np.cumsum(found.whole)])
+    fit = first[: max(n - size + 1, 0)]
+    short = fit[sure[fit + size] - sure[fit] == size]
+    last[short] = short + size - 1
+    first, last = first[last < n], last[last < n]
+    all_of_it = False
+    if rest and n and (not len(last) or last[-1] < n - 1):
+        start = min(n - size, int(np.searchsorted(found.first, found.last[-1] - words, side="right")) - 1)
+        all_of_it = start < 0
+        first, last = np.append(first, max(start, 0)), np.append(last, n - 1)
+    begin, end = found.first[first], found.last[last]
+    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(found.words), x, np.uint64)])) for x in (BASE, BACK))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(found.words * power[:-1])])
+    value = (total[end] - total[begin]) * back[begin]
+    value = (value ^ value >> np.uint64(32) ^ (end - begin).astype(np.uint64)) * np.uint64(BASE)
+    value ^= value >> np.uint64(29)
+    if all_of_it:
+        value[-1] ^= ALL
+    return first, last, value
+
+
+def deduplicated(
+    docs: DataFrame, size: int = SPAN, id_col: str = "doc_id", text_col: str = "text", words: int = 0, rest: bool = False
+) -> DataFrame:
     """One row per document: doc_id, n_sentences, n_removed, text (what is left of it).
 
     A run's first occurrence is the one in the smallest doc_id, then at the smallest place;
@@ -70,7 +120,8 @@ def deduplicated(docs: DataFrame, size: int = SPAN, id_col: str = "doc_id", text
     them. Runs travel with a hash, an id and a place only; copies within one task are
     settled there, so a run that is everywhere sends one row a task. A null text is empty;
     documents without id neither remove nor lose anything; rows of equal id and text are one
-    document, returned as often as they come; other columns are not looked at.
+    document, returned as often as they come; other columns are not looked at. ``size``,
+    ``words`` and ``rest``: see ``runs_of``; a run's place is its number.
     """
     source = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     keyed = source.withColumn("key", F.xxhash64("text"))
@@ -82,7 +133,7 @@ def deduplicated(docs: DataFrame, size: int = SPAN, id_col: str = "doc_id", text
             for doc_id, text, key in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "key")), strict=True):
                 if doc_id is None:
                     continue
-                found = run_hashes(text, sentences(text), size).astype(np.int64).tolist()
+                found = runs_of(pieces(text), size, words, rest)[2].astype(np.int64).tolist()
                 for place, value in enumerate(found):
                     me = (doc_id, place, key)
                     known = seen.get(value)
@@ -120,9 +171,10 @@ def deduplicated(docs: DataFrame, size: int = SPAN, id_col: str = "doc_id", text
         for batch in batches:
             counts, removed, texts = [], [], []
             for text, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                spans = sentences(text)
-                gone = {p + i for p in places or () for i in range(size)}
-                counts.append(len(spans))
+                found = pieces(text)
+                spans = list(zip(found.starts.tolist(), found.ends.tolist(), strict=True)) if places else []
+                gone = _gone(found, places, size, words, rest) if places else set()
+                counts.append(len(found.starts))
                 removed.append(len(gone))
                 texts.append(_without(text, spans, gone) if gone else text)
             yield pa.record_batch(
@@ -147,6 +199,15 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def _gone(found: Pieces, places: list[int], size: int, words: int, rest: bool) -> set[int]:
+    """Numbers of the pieces in the runs of these numbers."""
+    first, last, _ = runs_of(found, size, words, rest)
+    change = np.zeros(len(found.first) + 1, np.int64)
+    np.add.at(change, first[places], 1)
+    np.add.at(change, last[places] + 1, -1)
+    return set(np.flatnonzero(np.cumsum(change)).tolist())
+
+
 def _without(text: str, spans: list[tuple[int, int]], gone: set[int]) -> str:
     parts, at = [], 0
     for i, (start, _) in enumerate(spans):

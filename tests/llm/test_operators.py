@@ -406,6 +406,29 @@ def test_sentence_spans(spark, docs, none):
     assert sentence_spans.deduplicated(none).count() == 0
 
 
+def test_passages_within_sentences_go(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: bytes(rng.integers(97, 123, 6).astype(np.uint8)).decode()
+    words = lambda n: " ".join(word() for _ in range(n))
+    rows, passages = [], {}
+    for i in range(40):
+        passages[i] = words(51)
+        rows += [(2 * i, f"{words(i)} {passages[i]} {words(3 * i)}"), (2 * i + 1, f"{words(40 - i)}. {words(i)} {passages[i]} {words(5)}. {words(9)}.")]
+    copies = ["one short text", "Two sentences here. And this.", f"{words(4)}. {words(5)}. {words(13)}", words(13)]
+    rows += [(1000 + i, t) for i, t in enumerate(copies)] + [(2000 + i, t.upper()) for i, t in enumerate(copies)]
+    rows += [(3000, f"{words(30)} one short text")]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    got = {r.doc_id: r.text for r in sentence_spans.deduplicated(frame, size=sentence_spans.FEW, words=sentence_spans.WORDS, rest=True).collect()}
+    for i, text in rows:
+        if i < 2000 and i % 2 == 0 or 1000 <= i < 2000 or i == 3000:
+            assert got[i] == text
+        elif i < 1000:
+            gone = set(text.split()) - set(got[i].split())
+            assert len(gone) >= sentence_spans.WORDS and gone <= set(passages[i // 2].split())
+        else:
+            assert got[i] == ""
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(6)
     emit, transition = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
