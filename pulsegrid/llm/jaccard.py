@@ -25,8 +25,9 @@ WORDS, PERCENT = 5, 75
 #: Shingles a group of a count vector holds on average, about; least and most groups. Counts
 #: are bytes, FULL stands for that many or more.
 PER_GROUP, LEAST_GROUPS, MOST_GROUPS, FULL = 1, 16, 1 << 14, 255
-#: What an R-tree's 16-bit counts hold at most; stands also for FULL.
-MOST = (1 << 15) - 1
+#: What an R-tree's 16-bit counts hold at most, and what 32-bit ones do, taken when a set is
+#: larger than that; stands also for FULL.
+MOST, WIDE = (1 << 15) - 1, (1 << 31) - 1
 #: Leading bits of a shingle's hash by which its frequency is estimated.
 FREQUENCY_BITS = 20
 #: Postings a task gathers before it sends them, and shingle ranges they are sent to.
@@ -83,6 +84,15 @@ def folded(point: np.ndarray, groups: int) -> np.ndarray:
     return point.astype(np.int32).reshape(-1, groups).sum(0)
 
 
+def vectors_of(points: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
+    """Count vectors folded to the fewest groups among them. A count is at most its set's
+    size, so what is clipped never bounds."""
+    groups, most = min(map(len, points)), MOST if sizes.max() <= MOST else WIDE
+    # a full group may hold more: it never bounds
+    full = [np.where(p == FULL, np.int64(most), p).reshape(-1, groups).sum(0) for p in points]
+    return np.stack([np.minimum(x, most) for x in full]).astype(np.int16 if most == MOST else np.int32)
+
+
 def most_shared(p: np.ndarray, q: np.ndarray) -> int:
     """No more shingles than this can be in both sets: the sum of the smaller counts."""
     if p.max(initial=0) == FULL or q.max(initial=0) == FULL:
@@ -345,7 +355,7 @@ def tree_pairs(
     """
     n = len(sizes)
     order = np.lexsort((*(vectors[:, k] for k in np.argsort(-vectors.var(0))[:3]), sizes))
-    v, s, g = vectors[order].astype(np.int16), sizes[order], groups[order]
+    v, s, g = vectors[order].astype(np.int16 if sizes.max(initial=0) <= MOST else np.int32), sizes[order], groups[order]
 
     def packed(top, low, high, group, width):
         starts = np.arange(0, len(low), width)
@@ -424,10 +434,8 @@ def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int
                 return np.zeros((0, 2), np.int64)
             keys = np.array([x[0] for x in held])
             points = [np.frombuffer(x[3], np.uint8) for x in held]
-            groups = min(map(len, points))
-            # a full group may hold more: it never bounds
-            vectors = np.stack([np.minimum(folded(np.where(p == FULL, 1 << 15, p.astype(np.int32)), groups), MOST) for p in points])
-            i, j = tree_pairs(vectors, np.array([x[2] for x in held]), np.array([x[1] for x in held]), percent, most)
+            sizes = np.array([x[2] for x in held])
+            i, j = tree_pairs(vectors_of(points, sizes), sizes, np.array([x[1] for x in held]), percent, most)
             return np.sort(np.column_stack([keys[i], keys[j]]), axis=1)
 
         for batch in batches:

@@ -267,6 +267,15 @@ def test_tree_finds_all_pairs_within_bound():
     assert {tuple(sorted(p)) for p in few.tolist()} <= want and len(few) <= 300
 
 
+def test_tree_does_not_clip_counts_of_long_texts():
+    n = 700_000
+    points = [np.full(1 << 14, n >> 14, np.uint8), np.full(1 << 14, n >> 14, np.uint8), np.ones(16, np.uint8)]
+    sizes = np.array([n, n, 16])
+    assert [p.sum() for p in points[:2]] == [n >> 14 << 14] * 2
+    i, j = jaccard.tree_pairs(jaccard.vectors_of(points, sizes), sizes, np.arange(3), 75)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1)]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 3), (101, 100)]
     got = components.connected_components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"))
