@@ -28,16 +28,22 @@ def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays.
 
-    Documents without id stay. Of rows that share an id one stays when the id does.
+    Documents without id stay. Rows that share an id are judged text by text: of those whose
+    texts link one stays, and of rows of the same text.
     """
-    groups = written(jaccard.similar_documents(docs), "groups").where("doc_id IS NOT NULL")
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.select(COLUMNS).join(small(gone), "doc_id", "left_anti")
-    twice = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    groups = written(jaccard.similar_documents(docs, keys=True), "groups").where("doc_id IS NOT NULL")
+    gone = groups.where("doc_id <> component_id").select("doc_id", "text_key").distinct()
+    keyed = docs.select(*COLUMNS, jaccard.text_key(F.col("text")).alias("text_key"))
+    kept = keyed.join(small(gone), ["doc_id", "text_key"], "left_anti")
+    twice = written(groups.groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept.select(COLUMNS)
-    once = kept.join(twice, "doc_id", "left_anti").select(COLUMNS)
-    return once.unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(COLUMNS))
+    same = groups.where("doc_id = component_id").join(small(twice), "doc_id")
+    stays = same.groupBy("root", "doc_id").agg(F.min("text_key").alias("text_key")).where("root IS NOT NULL").select("doc_id", "text_key")
+    stays = stays.unionByName(same.where("root IS NULL").select("doc_id", "text_key").distinct())
+    once = kept.join(small(twice), "doc_id", "left_anti").select(COLUMNS)
+    least = kept.join(stays, ["doc_id", "text_key"], "left_semi").groupBy("doc_id", "text_key").agg(F.min(F.struct(COLUMNS)).alias("row"))
+    return once.unionByName(least.select("row.*"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import Batches, documents, lower_ascii, map_batches, small
@@ -101,10 +101,15 @@ def most_shared(p: np.ndarray, q: np.ndarray) -> int:
     return int(np.minimum(folded(p, groups), folded(q, groups)).sum())
 
 
+def text_key(text: Column) -> Column:
+    """A 64-bit hash of a text in lower case; a null text is empty."""
+    return F.xxhash64(lower_ascii(F.coalesce(text, F.lit(""))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key (a 64-bit hash of the lower-case text), text as bytes."""
-    text = lower_ascii(F.col("text"))
-    return docs.select("doc_id", F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    text = F.col("text")
+    return docs.select("doc_id", text_key(text).alias("key"), lower_ascii(text).cast("binary").alias("text"))
 
 
 def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
@@ -461,7 +466,7 @@ def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
 
 
 def similar_documents(
-    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", keys: bool = False
 ) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id it is linked
     with, directly or not, itself included).
@@ -470,7 +475,8 @@ def similar_documents(
     hundredths or more; no link between different texts is lost. A null or empty text, or
     one of white space, has no shingles and is linked with nothing. Repeated rows are each
     returned; a null id never is the smallest. Other columns are not looked at. Texts and
-    shingles are told apart by 64-bit hashes.
+    shingles are told apart by 64-bit hashes. With ``keys`` also text_key and
+    root, a component's own number, null without shingles.
     """
     keyed = _keyed(documents(docs, id_col, text_col))
     rows, frequencies = _sizes_and_frequencies(keyed, words)
@@ -495,9 +501,10 @@ def similar_documents(
         links = links.unionByName(_verified(keyed, rows, candidates, words, percent))
         roots = connected_components(links)
     placed = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
+        "doc_id", "n", "key", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
     )
     least = placed.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "root", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"),
+        *((F.col("key").alias("text_key"), "root") if keys else ()),
     )

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from pulsegrid.llm import (
     bpe,
     components,
@@ -276,6 +277,18 @@ def test_tree_does_not_clip_counts_of_long_texts():
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1)]
 
 
+def test_repeated_ids_lose_only_copies(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, PROSE), (2, PROSE), (2, other), (3, "x y z"), (3, " ".join(f"p{i}" for i in range(40))), (3, "X y z")]
+    rows += [(4, other + " end"), (5, ""), (5, None), (None, PROSE), (None, PROSE), (6, PROSE + " end"), (7, "alone")]
+    rows += [(8, f"a {other.upper().replace('O', 'q')}"), (8, f"b {other.upper().replace('O', 'q')}")]
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT").repartition(3)
+    got = [(r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.deduplicated(spark, frame, "").collect()]
+    want = [(1, PROSE), (2, other), (3, "x y z"), (3, rows[4][1]), (5, ""), (None, PROSE), (None, PROSE), (7, "alone")]
+    assert sorted((x for x in got if x[0] != 8), key=repr) == sorted(want, key=repr)
+    assert sum(i == 8 for i, _ in got) == 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (200, 200), (None, 3), (101, 100)]
     got = components.connected_components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"))
