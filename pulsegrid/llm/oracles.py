@@ -159,3 +159,64 @@ texts AS (
 SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN texts USING (r)"""
+
+
+def _merkle(levels: int, top_levels: int) -> str:
+    """Trees of eight over ``leaves``, one a language, and one over their roots, ``levels`` and
+    ``top_levels`` high at most; the proof and the claim of every leaf, level by level."""
+    steps = []
+
+    def climb(name: str, base: str, high: int) -> None:
+        steps.append(f"{name}0 AS ({base})")
+        for k in range(high):
+            steps.append(f"""{name}{k + 1} AS (
+  SELECT tree, pos // 8 AS pos, CASE WHEN any_value(total) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h,
+         (any_value(total) + 7) // 8 AS total
+  FROM {name}{k} GROUP BY tree, pos // 8)""")
+
+    def walk(name: str, nodes: str, base: str, high: int) -> None:
+        steps.append(f"{name}0 AS ({base})")
+        for k in range(high):
+            steps.append(f"""{name}{k + 1} AS (
+  SELECT w.r, w.tree, w.pos // 8 AS pos,
+         w.proof || coalesce(string_agg(n.h, '' ORDER BY n.pos) FILTER (n.pos <> w.pos), '') AS proof,
+         CASE WHEN any_value(n.total) = 1 THEN w.claim
+              ELSE sha256(string_agg(CASE WHEN n.pos = w.pos THEN w.claim ELSE n.h END, '' ORDER BY n.pos)) END AS claim
+  FROM {name}{k} w JOIN {nodes}{k} n ON n.tree = w.tree AND n.pos // 8 = w.pos // 8
+  GROUP BY w.r, w.tree, w.pos, w.proof, w.claim)""")
+
+    climb("n", "SELECT tree, pos, leaf AS h, total FROM placed", levels)
+    climb("t", f"""SELECT 0 AS tree, row_number() OVER (ORDER BY tree) - 1 AS pos, h, count(*) OVER () AS total, tree AS name
+                   FROM n{levels}""", top_levels)
+    walk("w", "n", "SELECT r, tree, pos, '' AS proof, claim FROM placed", levels)
+    walk("v", "t", f"SELECT w.r, 0 AS tree, t.pos, w.proof, w.claim FROM w{levels} w JOIN t0 t ON t.name = w.tree", top_levels)
+    return ",\n".join(steps)
+
+
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+#: CRC-32 of a number's decimal digits, by the table of the reversed polynomial.
+_CRC = """list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1]))"""
+
+OP12 = f"""
+WITH RECURSIVE steps(i, k, c) AS (
+  SELECT i, 0, i FROM range(256) x(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS crcs FROM steps WHERE k = 8),
+leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce('v' || lang, 'n') AS tree, {_leaf("text")} AS leaf,
+         CASE WHEN xor({_CRC}, 4294967295) % 3 = 0 THEN {_leaf("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered
+  FROM documents, crc),
+placed AS (
+  SELECT r, doc_id, tree, leaf, coalesce(tampered, leaf) AS claim,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, tampered NULLS FIRST) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS total
+  FROM leaves),
+{_merkle(7, 3)}
+SELECT p.doc_id, p.leaf, n7.h AS subroot, t3.h AS root, sha256(v.proof) AS proof_sha256, v.claim AS folded_root, v.claim = t3.h AS verified
+FROM placed p JOIN v3 v ON v.r = p.r JOIN n7 ON n7.tree = p.tree, t3"""

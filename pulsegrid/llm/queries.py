@@ -8,6 +8,7 @@ from pulsegrid.llm import (
     credentials,
     decontamination,
     jaccard,
+    merkle,
     nearest,
     oracles,
     pii,
@@ -16,7 +17,7 @@ from pulsegrid.llm import (
     toxicity,
     wavelet,
 )
-from pulsegrid.llm.batches import table
+from pulsegrid.llm.batches import lower_ascii, table
 from pulsegrid.plans.catalog import Query
 from pulsegrid.session import workspace
 
@@ -112,6 +113,17 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document; of a third of the ids the text is tampered with."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    manifest = merkle.write_manifest(
+        table(spark, sf_dir, "documents"), claims={"text": lower_ascii(F.col("text"))}, claimed=crc % 3 == 0
+    )
+    return merkle.proofs(manifest).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), "folded_root", "verified"
+    )
+
+
 QUERIES = {
     "op1_secrets": Query(op1_secrets),
     "op2_sentence_spans": Query(op2_sentence_spans),
@@ -123,4 +135,5 @@ QUERIES = {
     "op8_nearest": Query(op8_nearest),
     "op9_suffixes": Query(op9_suffixes, oracles.OP9),
     "op10_pii": Query(op10_pii, oracles.OP10),
+    "op12_manifest": Query(op12_manifest, oracles.OP12),
 }
