@@ -160,6 +160,26 @@ SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _BASE)},
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN texts USING (r)"""
 
+_NOT_TERM = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
+
+OP11 = f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {_words(_NOT_TERM)} AS ws FROM documents),
+corpus AS (SELECT count(*) FILTER (len(ws) > 0) AS big_n, sum(len(ws))::BIGINT AS big_l FROM docs),
+tfs AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ws) AS t FROM docs) GROUP BY r, t),
+dfs AS (SELECT t, count(*) AS df FROM tfs GROUP BY t),
+ms AS (SELECT r, doc_id, 100 - 50 + (50 * len(ws) * big_n) // big_l AS m FROM docs, corpus WHERE len(ws) > 0),
+items AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_words(_NOT_TERM)}) AS ts FROM benchmark),
+asked AS (
+  SELECT i, t, CAST(floor(1000 * ln((2.0 * big_n + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM (SELECT i, unnest(ts) AS t FROM items) JOIN dfs USING (t), corpus),
+scores AS (
+  SELECT i, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+  FROM asked JOIN tfs USING (t) JOIN ms USING (r) GROUP BY i, r)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST) AS rank
+      FROM scores JOIN ms USING (r) WHERE score > 0) JOIN items USING (i)
+WHERE rank <= 50"""
+
 
 def _merkle(levels: int, top_levels: int) -> str:
     """Trees of eight over ``leaves``, one a language, and one over their roots, ``levels`` and

@@ -8,6 +8,7 @@ from pulsegrid.llm import (
     credentials,
     decontamination,
     jaccard,
+    lexical,
     merkle,
     nearest,
     oracles,
@@ -113,6 +114,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best documents for every benchmark item."""
+    index = lexical.write_index(table(spark, sf_dir, "documents"))
+    return lexical.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots and proof of every document; of a third of the ids the text is tampered with."""
     crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -135,5 +142,6 @@ QUERIES = {
     "op8_nearest": Query(op8_nearest),
     "op9_suffixes": Query(op9_suffixes, oracles.OP9),
     "op10_pii": Query(op10_pii, oracles.OP10),
+    "op11_search": Query(op11_search, oracles.OP11),
     "op12_manifest": Query(op12_manifest, oracles.OP12),
 }
