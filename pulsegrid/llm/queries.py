@@ -13,6 +13,7 @@ from pulsegrid.llm import (
     nearest,
     oracles,
     pii,
+    quality,
     sentence_spans,
     suffixes,
     toxicity,
@@ -131,6 +132,18 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; a quarter of the ids is held out from learning."""
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= quality.PREDICT).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_secrets": Query(op1_secrets),
     "op2_sentence_spans": Query(op2_sentence_spans),
@@ -144,4 +157,5 @@ QUERIES = {
     "op10_pii": Query(op10_pii, oracles.OP10),
     "op11_search": Query(op11_search, oracles.OP11),
     "op12_manifest": Query(op12_manifest, oracles.OP12),
+    "op13_quality": Query(op13_quality),
 }
