@@ -57,6 +57,7 @@ def map_batches(df: DataFrame, task: Callable[[Batches], Batches], schema: str)
 
     def run(batches: Batches) -> Batches:
         pa.set_memory_pool(pa.system_memory_pool())
+        gc.set_threshold(100_000, 20, 20)  # tasks hold many small objects and few cycles
         yield from task(batches)
         gc.collect()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

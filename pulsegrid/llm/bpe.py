@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame
 
 from pulsegrid.llm.batches import Batches, documents, map_batches
 
-#: Words, and stretches between white space, whose ids a worker remembers (some 200 bytes
+#: Words, and stretches between white space, whose ids a task remembers (some 200 bytes
 #: each); beyond that it starts anew.
-MEMO_WORDS, MEMO_STRETCHES = 400_000, 400_000
+MEMO_WORDS, MEMO_STRETCHES = 200_000, 200_000
+#: Code points of text that are cut at once.
+AT_ONCE = 1 << 20
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
-NO_MERGE = 1 << 40
+NO_MERGE = 1 << 30
 
 
 def _byte_letters() -> list[str]:
@@ -105,7 +107,7 @@ class Encoder:
         self.made = np.array([vocab[left + right] for left, right in merges])
         self.merges = {pair: (rank, int(self.made[rank])) for rank, pair in enumerate(pairs)}
         order = np.argsort(pairs)
-        self.pairs, self.ranks = np.array(pairs)[order], order
+        self.pairs, self.ranks = np.array(pairs)[order], order.astype(np.int32)
         letters = _byte_letters()
         self.inner = np.array([vocab[x] for x in letters])
         self.last = np.array([vocab[x + end] for x in letters])
@@ -117,7 +119,7 @@ class Encoder:
         self.solid = regex.compile(r"\P{White_Space}+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         words = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
-        self.words, self.words_and_blanks = regex.compile(words), regex.compile(words + "| ")
+        self.words = regex.compile(words)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; added tokens stand alone and are not normalized."""
@@ -158,17 +160,36 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, stretches)) for stretches in split]
 
     def _cut(self, stretches: set[str]) -> list[tuple[str, list[str]]]:
-        """Each stretch with its words; all are normalized and cut in one string, blanks between."""
+        """Each stretch with its words; all are normalized in one string, blanks between. Most
+        are letters alone or letters and one mark, which needs no pattern."""
         plain = [x for x in stretches if "<|" not in x]
-        words: list[list[str]] = [[]]
-        for word in self.words_and_blanks.findall(self._normalized(" ".join(plain))) if plain else ():
-            if word == " ":
-                words.append([])
+        cut = []
+        for x, piece in zip(plain, self._normalized(" ".join(plain)).split(" ") if plain else (), strict=True):
+            if piece.isalpha():
+                cut.append((x, [piece]))
+            elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():
+                cut.append((x, [piece[:-1], piece[-1]]))
             else:
-                words[-1].append(word)
-        cut = list(zip(plain, words, strict=True)) if plain else []
+                cut.append((x, self.words.findall(piece)))
         return cut + [(x, self.split(x)) for x in stretches if "<|" in x]
 
+    def batches_of(self, texts: list[str]) -> list[bytes]:
+        """``encode_batch`` of as many texts at once as are about AT_ONCE code points long."""
+        out: list[bytes] = []
+        some: list[str] = []
+        size = 0
+        for text in texts:
+            some.append(text)
+            size += len(text)
+            if size >= AT_ONCE:
+                out += self.encode_batch(some)
+                some, size = [], 0
+        return out + self.encode_batch(some)
+
+    def forget(self) -> None:
+        """Drop what was remembered, at the end of a task."""
+        self.known, self.memo = {}, dict(self.added)
+
     def _stretches(self, text: str) -> list[str]:
         # str.split() also cuts at four control characters that are no white space here
         if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
@@ -196,7 +217,7 @@ class Encoder:
                     self.memo[words[i]] = ids
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        pair = left << 20 | right
+        pair = left.astype(np.int64) << 20 | right
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
         return np.where(self.pairs[place] == pair, self.ranks[place], NO_MERGE)
 
@@ -208,15 +229,15 @@ class Encoder:
         count, none = len(words), 1 << 19
         long = np.array([len(word) for word in words])
         letters = np.frombuffer(b"".join(word.ljust(size, b"\0") for word in words), np.uint8).reshape(count, size)
-        column = np.arange(size)
-        symbols = np.full((count, size + 1), none)
+        column = np.arange(size, dtype=np.int32)
+        symbols = np.full((count, size + 1), none, np.int32)
         symbols[:, :size] = np.where(column < long[:, None] - 1, self.inner[letters], none)
         row = np.arange(count)
         symbols[row, long - 1] = self.last[letters[row, long - 1]]
-        after = np.tile(np.append(column + 1, size), (count, 1))
-        before = np.tile(np.append(column - 1, size), (count, 1))
+        after = np.tile(np.append(column + 1, np.int32(size)), (count, 1))
+        before = np.tile(np.append(column - 1, np.int32(size)), (count, 1))
         before[:, 0] = size
-        tree = np.full((count, 2 * size), NO_MERGE)
+        tree = np.full((count, 2 * size), NO_MERGE, np.int32)
         tree[:, size : 2 * size - 1] = self._rank(symbols[:, : size - 1], symbols[:, 1:size])
         half = size
         while half > 1:
@@ -278,11 +299,12 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     def task(batches: Batches) -> Batches:
         coder = encoder(path)
         for batch in batches:
-            ids = coder.encode_batch(batch.column(1).to_pylist())
+            ids = coder.batches_of(batch.column(1).to_pylist())
             yield pa.record_batch(
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.string())],
                 ["doc_id", "ids", "decoded"],
             )
+        coder.forget()
 
     source = documents(docs, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -181,7 +181,7 @@ def write_shards(
             )
 
         for batch in batches:
-            coded = coder.encode_batch(batch.column("text").to_pylist())
+            coded = coder.batches_of(batch.column("text").to_pylist())
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), coded, strict=True):
                 held.append(ids + end)
                 doc_ids.append(doc_id)
@@ -191,6 +191,7 @@ def write_shards(
                     held, doc_ids, total, shard = [], [], 0, shard + 1
         if held:
             yield closed()
+        coder.forget()
 
     dealt = source.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text")
     shards = map_batches(dealt, task, "part int, shard int, n_ids long, file binary")
