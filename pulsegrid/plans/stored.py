@@ -129,6 +129,20 @@ def _out_of_order(spark, sf_dir):
     return store.messages()
 
 
+def _ids_known(spark, sf_dir):
+    """Order lines and events probed by id against a sealed store: those that are stored."""
+    stored = sealed_store(spark, sf_dir).ids()
+    asked = tables.messages(spark, sf_dir).select("id").unionByName(tables.shipments(spark, sf_dir).select("id"))
+    return stored.known(asked)
+
+
+def _ids_new(spark, sf_dir):
+    """Ids of which half are stored, probed while some days are sealed and others not."""
+    stored = sealed_store(spark, sf_dir).ids()
+    other = F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("-x")))
+    return stored.unknown(tables.messages(spark, sf_dir).select(other.alias("id")))
+
+
 def _fan_out(spark, sf_dir):
     """A second table fed by the same batches as the store's own."""
     store = _fresh(spark)
@@ -168,5 +182,11 @@ QUERIES = {
     ),
     "store_removed": Query(_removed, _ALL),
     "store_out_of_order_batches": Query(_out_of_order, _ALL),
+    "store_ids_known": Query(
+        _ids_known, "SELECT CAST(event_id AS VARCHAR) AS id FROM events"
+    ),
+    "store_ids_new": Query(
+        _ids_new, "SELECT CAST(event_id AS VARCHAR) || '-x' AS id FROM events WHERE event_id % 2 <> 0"
+    ),
     "store_fan_out": Query(_fan_out, _ALL),
 }

@@ -42,12 +42,11 @@ class _Run:
     def arrive(self, raw: DataFrame, files: int | None = None) -> "_Run":
         # Several files even from a small table, so that there are several batches.
         files = files or self.spark.sparkContext.defaultParallelism
-        split = raw.coalesce(1) if files == 1 else raw.repartition(files)
-        split.write.mode("append").text(self.log)
+        raw.repartition(files).write.mode("append").text(self.log)
         return self
 
-    def ingest(self, **options) -> "_Run":
-        raw = text_stream(self.spark, self.log, FILES_PER_BATCH)
+    def ingest(self, max_files: int | None = FILES_PER_BATCH, **options) -> "_Run":
+        raw = text_stream(self.spark, self.log, max_files)
         flush(self.store, raw, f"{self.folder}/checkpoint", **options)
         return self
 
@@ -90,17 +89,51 @@ def _restarted(spark, sf_dir):
     return run.ingest().store.rollup()
 
 
-def _any_split(spark, sf_dir):
-    """Every event and then an earlier-dated repetition of it, once in one batch and once
-    in several: the first to arrive stays."""
+def _twice(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Every event as text, and an earlier-dated repetition of it."""
     rows = tables.messages(spark, sf_dir)
     earlier = rows.withColumn("ts_ms", F.col("ts_ms") - MS_PER_HOUR)
-    first, again = tables.raw_json(rows), tables.raw_json(earlier)
-    whole = _Run(spark).arrive(first.unionAll(again), files=1).ingest(unique_ids=True)
+    return tables.raw_json(rows), tables.raw_json(earlier)
+
+
+_STORED = ["id", "ts_ms", "sensor_type", "value", "bucket", "event_date"]
+
+
+def _any_split(spark, sf_dir):
+    """Every event and then its repetition, once in one batch and once in several: the first
+    to arrive stays."""
+    first, again = _twice(spark, sf_dir)
+    whole = _Run(spark).arrive(first).arrive(again).ingest(max_files=None, unique_ids=True)
     parts = _Run(spark).arrive(first).ingest(unique_ids=True)
     parts.arrive(again).ingest(unique_ids=True)
-    columns = ["id", "ts_ms", "sensor_type", "value", "bucket", "event_date"]
-    return whole.store.messages().select(columns).unionAll(parts.store.messages().select(columns))
+    return whole.store.messages().select(_STORED).unionAll(parts.store.messages().select(_STORED))
+
+
+def _unlike_files(spark, sf_dir):
+    """Older small files and newer ones many times their size, in one batch: Spark deals large
+    files out first, yet the rows of the older ones stay, and the newer ones are turned away."""
+    first, again = _twice(spark, sf_dir)
+    wide = again.select(F.concat("raw", F.repeat(F.lit(" "), 2_000)).alias("raw"))
+    run = _Run(spark).arrive(first, files=16).arrive(wide, files=2).ingest(max_files=None, unique_ids=True)
+    batches = run.store.commits().agg(F.count(F.lit(1)).alias("batches"))
+    return run.store.messages().select(_STORED).join(F.broadcast(batches))
+
+
+def _arrival_order(spark, sf_dir):
+    """``seq`` rises from file to file, by their age, whatever their sizes."""
+    rows, days = tables.messages(spark, sf_dir), F.col("event_date")
+    run = _Run(spark)
+    for older in (True, False):
+        part = rows.filter((days < F.lit(LATE_BEFORE)) if older else (days >= F.lit(LATE_BEFORE)))
+        text = tables.raw_json(part)
+        run.arrive(text if older else text.select(F.concat("raw", F.repeat(F.lit(" "), 500)).alias("raw")), files=9 if older else 2)
+    stored = run.ingest(max_files=None).store.messages()
+    older = days < F.lit(LATE_BEFORE)
+    return stored.agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.count_distinct("seq").alias("numbers"),
+        F.coalesce(F.max(F.when(older, F.col("seq"))) < F.min(F.when(~older, F.col("seq"))), F.lit(True)).alias("in_order"),
+    )
 
 
 def _same_millisecond_evict(spark, sf_dir):
@@ -207,6 +240,15 @@ QUERIES = {
         SELECT id, ts_ms, sensor_type, value, bucket, event_date FROM messages
         UNION ALL SELECT id, ts_ms, sensor_type, value, bucket, event_date FROM messages""",
     ),
+    "stream_unlike_files": Query(
+        _unlike_files,
+        f"""WITH {MESSAGES_SQL}
+        SELECT id, ts_ms, sensor_type, value, bucket, event_date, CAST(1 AS BIGINT) AS batches FROM messages""",
+    ),
+    "stream_arrival_order": Query(
+        _arrival_order,
+        "SELECT count(*) AS messages, count(*) AS numbers, TRUE AS in_order FROM events",
+    ),
     "stream_same_millisecond_evict": Query(
         _same_millisecond_evict,
         f"""WITH {MESSAGES_SQL}

@@ -30,6 +30,14 @@ ROLLUP = T.StructType(
     ]
 )
 
+IDS = T.StructType(
+    [
+        T.StructField("id", T.StringType()),
+        T.StructField("id_bucket", T.IntegerType()),
+        T.StructField("event_date", T.DateType()),
+    ]
+)
+
 QUARANTINE = T.StructType(
     [
         T.StructField("raw", T.StringType()),
@@ -58,6 +66,10 @@ SYNTHESIS = T.StructType(
 
 REQUEST_SYNTHESIS = T.StructType([T.StructField("request_id", T.StringType()), *SYNTHESIS.fields])
 
+# Where a raw row came from, in the order of arrival: when its file was last changed, the
+# file, and the block of it. Rows of one block are read in order by one task.
+ARRIVAL = ["arrived", "source", "block"]
+
 
 def message_columns() -> list[str]:
     return MESSAGES.fieldNames()

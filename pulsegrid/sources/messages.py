@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pulsegrid.functions.text import whole_number
 from pulsegrid.functions.timeaxis import MAX_MS, MIN_MS, iso_to_ms, ms_to_iso, with_time_columns
-from pulsegrid.schema import message_columns
+from pulsegrid.schema import ARRIVAL, message_columns
 
 # Wire fields. All are read as text: the reader must accept "2" and 1.0 as numbers.
 WIRE_SCHEMA = "id STRING, timestamp STRING, sensorType STRING, value STRING, _corrupt STRING"
@@ -31,14 +31,16 @@ def read_messages(
     good message. ``timestamp="any"`` also takes a number of epoch ms.
     ``on_missing="zero"`` reads absent fields as 0 instead of rejecting the
     message. Works on batch and streaming tables alike, but only a batch can be
-    numbered: ``seq`` is NULL on a streaming table. Numbers are unique and rising
-    within ``raw``; ``load_batch`` makes them so within a stream.
+    numbered: ``seq`` is NULL on a streaming table. Numbers are unique within ``raw`` and
+    rise within each block it is read in; ``load_batch`` orders the blocks, by the columns
+    of ``ARRIVAL`` if ``raw`` has them, which are handed on.
     """
+    origin = [name for name in ARRIVAL if name in raw.columns]
     arrival = F.lit(None).cast("bigint") if raw.isStreaming else F.monotonically_increasing_id()
     fields = F.from_json(
         "raw", WIRE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    wire = raw.withColumn("_wire", fields).select("raw", "_wire.*")
+    wire = raw.withColumn("_wire", fields).select("raw", *origin, "_wire.*")
     read = wire.withColumns(
         {
             "ts_ms": _event_time(timestamp),
@@ -57,8 +59,9 @@ def read_messages(
         F.col("wide_value").alias("value"),
         "raw",
         "reason",
+        *origin,
     )
-    return with_time_columns(numbered).select(*message_columns(), "raw", "reason")
+    return with_time_columns(numbered).select(*message_columns(), "raw", "reason", *origin)
 
 
 def _event_time(timestamp: str) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from pulsegrid.schema import MESSAGES, QUARANTINE, ROLLUP
+from pulsegrid.schema import IDS, MESSAGES, QUARANTINE, ROLLUP
+from pulsegrid.storage.ids import WRITE_OPTIONS
 
 
 def _schema(columns: StructType | dict[str, DataType], partitions: dict[str, DataType]) -> StructType:
@@ -30,6 +31,7 @@ _GEN = {"gen": LongType()}
 TABLES = {
     "messages": _schema(MESSAGES, _BATCH),
     "rollup_1s": _schema(ROLLUP, _BATCH),
+    "ids": _schema(IDS, _BATCH),
     "quarantine": _schema(QUARANTINE, _BATCH),
     "commits": _schema(
         {
@@ -48,6 +50,7 @@ TABLES = {
     ),
     "sealed_messages": _schema(MESSAGES, _GEN),
     "sealed_rollup_1s": _schema(ROLLUP, _GEN),
+    "sealed_ids": _schema(IDS, _GEN),
     "seal_coverage": _schema(
         {
             "stream_id": StringType(),
@@ -88,6 +91,8 @@ def overwrite(rows: DataFrame, root: str, name: str, part: str, by_day: bool = F
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "static")
     if by_day:
         writer = writer.partitionBy("event_date")
+    if name in ("ids", "sealed_ids"):
+        writer = writer.options(**WRITE_OPTIONS)
     writer.parquet(f"{root}/{name}/{part}")
 
 

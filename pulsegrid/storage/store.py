@@ -1,8 +1,8 @@
 """Messages and their one-second rollup on Parquet.
 
 Writing. A batch overwrites its own folders ``stream_id=S/batch_id=N`` in
-``messages`` and ``rollup_1s`` and then commits with a row in ``commits``. A
-batch without that row is invisible, so both tables always agree and repeating a
+``messages``, ``rollup_1s`` and ``ids`` and then commits with a row in ``commits``. A
+batch without that row is invisible, so the tables always agree and repeating a
 batch is harmless. Late rows are just further rows and further partials.
 
 Sealing. ``seal`` rewrites days before a horizon, sorted and merged, into
@@ -32,6 +32,7 @@ from pulsegrid.operators.requests import synthesis_requests
 from pulsegrid.operators.synthesis import merge_partials, rollup
 from pulsegrid.schema import PARTIAL_VALUES, message_columns
 from pulsegrid.session import prepare
+from pulsegrid.storage.ids import COLUMNS as ID_COLUMNS, Ids, indexed
 from pulsegrid.storage.layout import Folders, overwrite, read_table
 
 Sink = Callable[[DataFrame, int], None]
@@ -94,6 +95,7 @@ class Store:
         tables = {
             "messages": _sized_files(rows, SORT_BY[layout]),
             "rollup_1s": _sized_files(rollup(rows), ["bucket", "sensor_type"]),
+            "ids": _sized_files(indexed(rows), ["id_bucket", "id"]),
         }
         if quarantine is not None:
             tables["quarantine"] = quarantine
@@ -179,6 +181,10 @@ class Store:
     def rollup(self) -> DataFrame:
         return self.snapshot().rollup()
 
+    def ids(self) -> Ids:
+        """The ids of all stored messages, to be probed."""
+        return self.snapshot().ids()
+
     def quarantine(self) -> DataFrame:
         return self.snapshot().quarantine()
 
@@ -272,6 +278,8 @@ class Store:
             part,
             by_day=True,
         )
+        ids = self._to_seal("ids", ID_COLUMNS, due, dirty, last)
+        overwrite(_sized_files(ids, ["id_bucket", "id"], "id_bucket"), self.root, "sealed_ids", part, by_day=True)
         days = self.of_gen("sealed_messages", gen).groupBy("event_date").agg(
             F.lit(gen).cast("bigint").alias("data_gen"),
             F.count(F.lit(1)).alias("day_rows"),
@@ -328,13 +336,13 @@ class Store:
         for row in self.superseded().toLocalIterator():
             part = f"stream_id={row['stream_id']}/batch_id={row['batch_id']}"
             if files.is_old(f"commits/{part}"):
-                removed += sum(files.delete(f"{name}/{part}") for name in ("messages", "rollup_1s", "commits"))
+                removed += sum(files.delete(f"{name}/{part}") for name in ("messages", "rollup_1s", "ids", "commits"))
         if not files.is_old(f"seals/gen={seal.gen}"):
             return removed
         # A row a sealed day.
         current = {(r["data_gen"], r["event_date"]) for r in self.of_gen("seal_days", seal.gen).collect()}
         gens = {gen for gen, _ in current}
-        for name in ("sealed_messages", "sealed_rollup_1s"):
+        for name in ("sealed_messages", "sealed_rollup_1s", "sealed_ids"):
             for folder in files.children(name):
                 gen = int(folder.removeprefix("gen="))
                 if gen > seal.gen:
@@ -421,6 +429,9 @@ class Snapshot:
         """One partial per second and sensor."""
         return merge_partials(self.rollup_partials(), "event_date", "bucket", "sensor_type")
 
+    def ids(self) -> Ids:
+        return Ids(self._rows("ids", ID_COLUMNS))
+
     def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
         return hybrid_synthesis(self.messages(), self.rollup_partials(), from_ms, to_ms)
 

@@ -4,10 +4,12 @@ from collections.abc import Callable, Iterable
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pulsegrid.operators.identity import first_by_id, new_ids
+from pulsegrid.operators.identity import first_by_id
+from pulsegrid.operators.joins import keys_fit_broadcast
+from pulsegrid.schema import ARRIVAL
 from pulsegrid.session import prepare
 from pulsegrid.sources.messages import DUPLICATE_ID, accepted, quarantined, read_messages, wire_text
 from pulsegrid.storage.store import Sink, Store
@@ -16,7 +18,7 @@ AVAILABLE_NOW = {"availableNow": True}
 EVERY_5_SECONDS = {"processingTime": "5 seconds"}
 
 # Low bits in which Spark's row ids count the rows of an input split; bits for the rows
-# of a batch in ``seq``.
+# of a batch in ``seq``: 2^36 rows a batch and 2^27 batches a stream, beyond is an error.
 SPLIT_BITS, BATCH_SHIFT = 33, 36
 
 
@@ -24,13 +26,16 @@ def text_stream(
     spark: SparkSession, folder: str, max_files: int | None = None, max_bytes: int | str | None = None
 ) -> DataFrame:
     """JSON lines appearing in ``folder``, at most ``max_files`` or about ``max_bytes`` per
-    micro-batch."""
+    micro-batch. Beside ``raw`` it has the columns of ``ARRIVAL``."""
     reader = prepare(spark).readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes is not None:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.load(folder).select(F.col("value").alias("raw"))
+    origin = [F.col(f"_metadata.{name}") for name in ("file_modification_time", "file_path", "file_block_start")]
+    return reader.load(folder).select(
+        F.col("value").alias("raw"), *(c.alias(name) for c, name in zip(origin, ARRIVAL, strict=True))
+    )
 
 
 def load_batch(
@@ -46,10 +51,15 @@ def load_batch(
     """Parse ``raw`` and add it to ``store`` as one batch; ``seq`` numbers the arrivals of
     the whole stream.
 
+    Rows arrive by ``ARRIVAL``: by the time their file was last changed, files of one time
+    by path, and within a file by position. A ``raw`` without these columns arrives in the
+    order of its input splits.
+
     With ``unique_ids`` only the first message of an id to arrive is stored, in this
     batch and against everything stored before, however the batches are cut; the
     others are quarantined. Duplicates go before the rollup is built, because
-    partials cannot be un-merged.
+    partials cannot be un-merged. The ids stored before are looked up in the store's
+    index of ids, which such batches keep.
     """
     # Spills to disk; a lost executor's part is read and parsed again.
     read = read_messages(raw, require_id=unique_ids, **parse_options).persist(
@@ -72,24 +82,33 @@ def load_batch(
 
 def _numbered(read: DataFrame, batch_id: int) -> DataFrame:
     """``seq`` made dense within the batch and put behind the batch id, so that it rises
-    with arrival and is unique in the stream."""
-    split = F.shiftright("seq", SPLIT_BITS)
-    counts = read.groupBy(split.alias("split")).agg(F.count(F.lit(1)).alias("n")).collect()
-    if batch_id >> (63 - BATCH_SHIFT) or sum(row["n"] for row in counts) >> BATCH_SHIFT:
-        raise ValueError("batch id or batch too large to be numbered")
-    before, pairs = 0, []
-    for row in sorted(counts, key=lambda row: row["split"]):  # a row an input split
-        pairs += [F.lit(row["split"]), F.lit((batch_id << BATCH_SHIFT) + before)]
-        before += row["n"]
-    if not pairs:
-        return read
-    place = F.col("seq").bitwiseAND((1 << SPLIT_BITS) - 1)
-    return read.withColumn("seq", F.element_at(F.create_map(*pairs), split).cast("bigint") + place)
+    with arrival and is unique in the stream.
+
+    Blocks, a row each, are counted and put in order; within a block Spark's row ids have
+    no gaps, because one task reads it from end to end.
+    """
+    if batch_id >> (63 - BATCH_SHIFT):
+        raise ValueError("batch id too large to be numbered")
+    keys = [name for name in ARRIVAL if name in read.columns]
+    if not keys:
+        keys, read = ["block"], read.withColumn("block", F.shiftright("seq", SPLIT_BITS))
+    blocks = read.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min("seq").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    start = F.coalesce(before, F.lit(0))
+    fits = F.when(start + F.col("_rows") <= 1 << BATCH_SHIFT, start).otherwise(
+        F.raise_error(F.lit("batch too large to be numbered")).cast("bigint")
+    )
+    starts = blocks.select(*keys, (F.lit(batch_id << BATCH_SHIFT) + fits - F.col("_first")).alias("_shift"))
+    # A row a block of input, some 128 MiB: broadcast unless the backlog has too many.
+    starts = F.broadcast(starts) if keys_fit_broadcast(starts) else starts
+    return read.join(starts, keys).withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift")
 
 
 def _split_repeats(store: Store, good: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fresh = new_ids(first_by_id(good, ["seq"]), store.messages())
-    return fresh, good.exceptAll(fresh).select(
+    """First arrivals of new ids, and the other rows as quarantine. ``seq`` tells rows apart,
+    so what is not kept needs no comparison of whole rows."""
+    fresh = store.ids().unknown(first_by_id(good, ["seq"]))
+    return fresh, good.join(fresh.select("seq"), "seq", "left_anti").select(
         wire_text().alias("raw"),
         F.lit(DUPLICATE_ID).alias("reason"),
         F.current_timestamp().alias("ingest_ts"),
