@@ -4,6 +4,8 @@ A run writes the messages as a log of JSON lines to the session's shared folder,
 streams the log in several micro-batches, and reads what came of it.
 """
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
@@ -20,7 +22,9 @@ from pulsegrid.session import workspace
 from pulsegrid.sources import tables
 from pulsegrid.storage.store import Store
 from pulsegrid.streaming.ingest import AVAILABLE_NOW, flush, text_stream
+from pulsegrid.streaming.hot import HotTable
 from pulsegrid.streaming.live import (
+    TrailingHour,
     trailing_hour_writer,
     unique_stream,
     use_rocksdb_state,
@@ -187,6 +191,47 @@ def _trailing_hour(spark, sf_dir):
     return spark.read.parquet(f"{answers}/batch_id={last}")
 
 
+def _trailing_hour_state(spark, sf_dir):
+    """The answer after the last batch, from the state that the batches hand on."""
+    run = _Run(spark).arrive(tables.raw_json(tables.messages(spark, sf_dir)))
+    sink = TrailingHour(spark, f"{run.folder}/hour")
+    run.ingest(also=[sink])
+    last = run.store.commits().agg(F.max("batch_id")).first()[0]
+    return spark.read.parquet(f"{sink.folder}/answers/batch_id={last}")
+
+
+# Rows of the hot table that make it move, and seconds without any.
+HOT_ROWS, HOT_IDLE_S = 500, 1.0
+
+
+def _hot_table(spark, sf_dir) -> tuple[_Run, HotTable]:
+    """Two parts of the log: the first is moved by its size, the second, too small for that,
+    by idleness."""
+    rows = tables.messages(spark, sf_dir)
+    run = _Run(spark)
+    hot = HotTable(run.store, f"{run.folder}/hot", max_rows=HOT_ROWS, idle_s=HOT_IDLE_S)
+    last = rows.orderBy(F.desc("seq")).limit(HOT_ROWS // 5).select("seq").withColumn("late", F.lit(True))
+    parts = rows.join(F.broadcast(last), "seq", "left")
+    run.arrive(tables.raw_json(parts.filter("late IS NULL")))
+    hot.start(text_stream(spark, run.log), f"{run.folder}/checkpoint", AVAILABLE_NOW).awaitTermination()
+    run.arrive(tables.raw_json(parts.filter("late")), files=2)
+    query = hot.start(text_stream(spark, run.log), f"{run.folder}/checkpoint", {"processingTime": "1 second"})
+    deadline = time.monotonic() + 120
+    while "idle" not in hot.moves and time.monotonic() < deadline and query.isActive:
+        time.sleep(0.2)
+    hot.stop(query)
+    return run, hot
+
+
+def _hot_moved(spark, sf_dir):
+    """The store after both moves; nothing is hot any more."""
+    run, hot = _hot_table(spark, sf_dir)
+    left = hot.messages().agg(F.count(F.lit(1)).alias("hot"))
+    moved = run.store.messages().select(_STORED)
+    reasons = F.array_join(F.array(*map(F.lit, sorted(set(hot.moves)))), ",")
+    return moved.join(F.broadcast(left)).withColumn("moves", reasons)
+
+
 def _table_stream(spark, folder, rows: DataFrame) -> DataFrame:
     """``rows`` as a stream of several files and so several micro-batches."""
     use_rocksdb_state(spark)
@@ -289,6 +334,17 @@ QUERIES = {
         _turned_away,
         "SELECT CAST(event_id AS VARCHAR) AS id, 'duplicate_id' AS reason FROM events",
     ),
+    "stream_hot_moved": Query(
+        _hot_moved,
+        f"""WITH {MESSAGES_SQL}
+        SELECT id, ts_ms, sensor_type, value, bucket, event_date, CAST(0 AS BIGINT) AS hot, 'idle,rows' AS moves
+        FROM messages""",
+    ),
+    "stream_trailing_hour_state": Query(
+        _trailing_hour_state,
+        f"""WITH {MESSAGES_SQL} {synthesis_sql(
+            f"messages WHERE ts_ms >= (SELECT max(ts_ms) FROM messages) - {MS_PER_HOUR}")}""",
+    ),
     "stream_trailing_hour": Query(
         _trailing_hour,
         f"""WITH {MESSAGES_SQL} {synthesis_sql(

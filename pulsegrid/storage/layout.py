@@ -73,6 +73,17 @@ TABLES = {
 }
 
 
+def read_folder(spark: SparkSession, path: str, columns: StructType, part: str) -> DataFrame:
+    """Parquet folders ``part=N`` below ``path``; empty if there are none yet."""
+    schema = StructType([*columns.fields, StructField(part, LongType())])
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_table(spark: SparkSession, root: str, name: str, part: str = "") -> DataFrame:
     """Table ``name``, or the one partition folder ``part`` of it; empty if
     nothing was written yet."""

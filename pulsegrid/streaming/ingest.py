@@ -66,7 +66,7 @@ def load_batch(
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        good, bad = accepted(_numbered(read, batch_id)), quarantined(read)
+        good, bad = accepted(numbered(read, batch_id)), quarantined(read)
         if unique_ids:
             good, repeats = _split_repeats(store, good)
             bad = bad.unionByName(repeats)
@@ -80,7 +80,7 @@ def load_batch(
         read.unpersist()
 
 
-def _numbered(read: DataFrame, batch_id: int) -> DataFrame:
+def numbered(read: DataFrame, batch_id: int) -> DataFrame:
     """``seq`` made dense within the batch and put behind the batch id, so that it rises
     with arrival and is unique in the stream.
 
