@@ -4,6 +4,7 @@ Each run gets a fresh store in the session's shared folder.
 """
 
 from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -26,6 +27,17 @@ LATE_BEFORE = date(2024, 1, 10)
 # Day bounds of the two seals.
 FIRST_SEAL, SECOND_SEAL = date(2024, 1, 16), date(2024, 1, 21)
 
+# Within a second, seconds, minutes to hours, across a month's days, up to the newest day.
+_T = 1_704_868_215_250
+BLOCK_RANGES = [
+    (_T, _T + 400),
+    (_T, _T + 59_000),
+    (_T, _T + 5_400_000),
+    (_T, _T + 9 * 86_400_000),
+    (1_704_844_800_000, 1_705_104_000_000),
+    (1_704_000_000_000, 1_710_000_000_000),
+]
+
 
 def _fresh(spark: SparkSession) -> Store:
     return Store(spark, workspace(spark, "store"))
@@ -84,6 +96,16 @@ def _synthesis(spark, sf_dir):
     return sealed_store(spark, sf_dir).synthesis(FROM_MS, TO_MS)
 
 
+def _synthesis_days(spark, sf_dir):
+    """Ranges of every length, each answered from the fewest blocks of the rollup levels."""
+    now = sealed_store(spark, sf_dir).snapshot()
+    parts = [
+        now.synthesis(start, end).withColumn("part", F.lit(k).cast("int"))
+        for k, (start, end) in enumerate(BLOCK_RANGES)
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def _requests(spark, sf_dir):
     return sealed_store(spark, sf_dir).synthesis_requests(tables.requests(spark, sf_dir))
 
@@ -170,6 +192,14 @@ QUERIES = {
     "store_synthesis": Query(
         _synthesis, f"WITH {MESSAGES_SQL} {synthesis_sql(f'messages WHERE {_IN_RANGE}')}"
     ),
+    "store_synthesis_blocks": Query(
+        _synthesis_days,
+        f"WITH {MESSAGES_SQL} "
+        + " UNION ALL ".join(
+            f"SELECT *, {k} AS part FROM ({synthesis_sql(f'messages WHERE ts_ms BETWEEN {start} AND {end}')})"
+            for k, (start, end) in enumerate(BLOCK_RANGES)
+        ),
+    ),
     "store_synthesis_requests": Query(
         _requests, f"WITH {MESSAGES_SQL}, {REQUESTS_SQL} {requests_sql('requests')}"
     ),

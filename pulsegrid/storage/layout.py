@@ -14,6 +14,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
+from pulsegrid.operators.hybrid import BLOCK_SECONDS
 from pulsegrid.schema import IDS, MESSAGES, QUARANTINE, ROLLUP
 from pulsegrid.storage.ids import WRITE_OPTIONS
 
@@ -49,7 +50,7 @@ TABLES = {
         _BATCH,
     ),
     "sealed_messages": _schema(MESSAGES, _GEN),
-    "sealed_rollup_1s": _schema(ROLLUP, _GEN),
+    **{f"sealed_rollup_{size}s": _schema(ROLLUP, _GEN) for size in BLOCK_SECONDS},
     "sealed_ids": _schema(IDS, _GEN),
     "seal_coverage": _schema(
         {

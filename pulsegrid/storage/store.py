@@ -5,8 +5,8 @@ Writing. A batch overwrites its own folders ``stream_id=S/batch_id=N`` in
 batch without that row is invisible, so the tables always agree and repeating a
 batch is harmless. Late rows are just further rows and further partials.
 
-Sealing. ``seal`` rewrites days before a horizon, sorted and merged, into
-``sealed_*`` under a new generation and publishes it with a row in ``seals``.
+Sealing. ``seal`` rewrites days before a horizon, sorted and merged, with rollups of a
+minute, an hour and a day beside those of a second, into ``sealed_*`` under a new generation and publishes it with a row in ``seals``.
 Only days with unsealed rows are rewritten. From then on batch rows of those
 days are superseded; folders no reader needs are listed by ``superseded``.
 
@@ -26,10 +26,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
 from pulsegrid.operators.filters import closed_range
-from pulsegrid.operators.hybrid import hybrid_synthesis
+from pulsegrid.operators.hybrid import BLOCK_SECONDS, fewest_blocks, hybrid_partials, in_ranges
 from pulsegrid.operators.joins import keys_fit_broadcast, semi_join
 from pulsegrid.operators.requests import synthesis_requests
-from pulsegrid.operators.synthesis import merge_partials, rollup
+from pulsegrid.operators.synthesis import merge_partials, rollup, synthesis_of
 from pulsegrid.schema import PARTIAL_VALUES, message_columns
 from pulsegrid.session import prepare
 from pulsegrid.storage.ids import COLUMNS as ID_COLUMNS, Ids, indexed
@@ -278,6 +278,18 @@ class Store:
             part,
             by_day=True,
         )
+        for finer, size in zip(BLOCK_SECONDS, BLOCK_SECONDS[1:]):
+            # Built upwards: each level reads the one below it, which is written already.
+            below = self.of_gen(f"sealed_rollup_{finer}s", gen)
+            start = F.col("bucket") - F.pmod(F.col("bucket"), F.lit(size))
+            blocks = merge_partials(below.withColumn("bucket", start), *columns[:3])
+            overwrite(
+                _sized_files(blocks, ["bucket", "sensor_type"], SEAL_BY["time"]),
+                self.root,
+                f"sealed_rollup_{size}s",
+                part,
+                by_day=True,
+            )
         ids = self._to_seal("ids", ID_COLUMNS, due, dirty, last)
         overwrite(_sized_files(ids, ["id_bucket", "id"], "id_bucket"), self.root, "sealed_ids", part, by_day=True)
         days = self.of_gen("sealed_messages", gen).groupBy("event_date").agg(
@@ -342,7 +354,7 @@ class Store:
         # A row a sealed day.
         current = {(r["data_gen"], r["event_date"]) for r in self.of_gen("seal_days", seal.gen).collect()}
         gens = {gen for gen, _ in current}
-        for name in ("sealed_messages", "sealed_rollup_1s", "sealed_ids"):
+        for name in ("sealed_messages", "sealed_ids", *(f"sealed_rollup_{size}s" for size in BLOCK_SECONDS)):
             for folder in files.children(name):
                 gen = int(folder.removeprefix("gen="))
                 if gen > seal.gen:
@@ -433,7 +445,15 @@ class Snapshot:
         return Ids(self._rows("ids", ID_COLUMNS))
 
     def synthesis(self, from_ms: int, to_ms: int) -> DataFrame:
-        return hybrid_synthesis(self.messages(), self.rollup_partials(), from_ms, to_ms)
+        """Unsealed seconds from their rollup, sealed ones as the fewest blocks of a second,
+        a minute, an hour or a day; raw rows only of the first and the last second."""
+        if self._seal is None:
+            return synthesis_of(hybrid_partials(self.messages(), self.rollup_partials(), from_ms, to_ms))
+        live = self._live("rollup_1s", ["bucket", "sensor_type", *PARTIAL_VALUES, "event_date"])
+        parts = hybrid_partials(self.messages(), live, from_ms, to_ms)
+        for size, ranges in fewest_blocks(from_ms, to_ms).items():
+            parts = parts.unionByName(in_ranges(self._store.sealed(f"rollup_{size}s", self._seal), ranges))
+        return synthesis_of(parts)
 
     def synthesis_requests(self, requests: DataFrame) -> DataFrame:
         return synthesis_requests(self.messages(), self.rollup_partials(), requests)
@@ -453,10 +473,14 @@ class Snapshot:
     def _committed(self, rows: DataFrame) -> DataFrame:
         return semi_join(rows, self._batches, ["stream_id", "batch_id"], small=self._few_batches)
 
+    def _live(self, name: str, columns: list[str]) -> DataFrame:
+        """The committed rows no seal holds."""
+        rows = read_table(self._store.spark, self._store.root, name)
+        return self._committed(self._store.unsealed(rows, self._seal)).select(*columns)
+
     def _rows(self, name: str, columns: list[str]) -> DataFrame:
         """Sealed rows and the committed rows no seal holds."""
-        rows = read_table(self._store.spark, self._store.root, name)
-        live = self._committed(self._store.unsealed(rows, self._seal)).select(*columns)
+        live = self._live(name, columns)
         if self._seal is None:
             return live
         return self._store.sealed(name, self._seal).select(*columns).unionByName(live)
