@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_SECOND
 from pulsegrid.operators.filters import closed_range, date_range, within
-from pulsegrid.operators.synthesis import partials, synthesis_of, union_all
+from pulsegrid.operators.synthesis import partials, spread_partials, synthesis_of, union_all
 from pulsegrid.schema import PARTIAL_VALUES
 
 
@@ -68,7 +68,7 @@ def hybrid_synthesis(messages: DataFrame, rollup: DataFrame, from_ms: int, to_ms
 
 def hot_cold_partials(hot: DataFrame, cold: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Partials over two disjoint message tables, each aggregated on its own."""
-    sides = [partials(within(side, from_ms, to_ms), "sensor_type") for side in (hot, cold)]
+    sides = [spread_partials(within(side, from_ms, to_ms), "sensor_type") for side in (hot, cold)]
     return union_all(*sides)
 
 

@@ -31,6 +31,16 @@ def partials(messages: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def spread_partials(messages: DataFrame, *keys: str) -> DataFrame:
+    """As ``partials``, for few keys with any number of rows.
+
+    Limbs are put together once per key and input partition, and those totals are added as
+    decimals, so the bound on exact limb sums holds for what one task reads of a key.
+    """
+    parts = partials(messages.withColumn("_part", F.spark_partition_id()), *keys, "_part")
+    return merge_partials(parts, *keys)
+
+
 def union_all(first: DataFrame, *others: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, others, first)
 
@@ -64,7 +74,7 @@ def synthesis_of(parts: DataFrame) -> DataFrame:
 def synthesis(messages: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
     """Answer over ``[from_ms, to_ms]`` from raw messages alone."""
     rows = within(messages, from_ms, to_ms)
-    return finish(partials(rows, "sensor_type"), "sensor_type").orderBy("sensor_type")
+    return finish(spread_partials(rows, "sensor_type"), "sensor_type").orderBy("sensor_type")
 
 
 def guarded_synthesis(messages: DataFrame, from_ms: int, to_ms: int) -> DataFrame:
@@ -76,7 +86,7 @@ def rounded_synthesis(messages: DataFrame, from_ms: int, to_ms: int) -> DataFram
     """Answer over ``[from_ms, to_ms)`` with a whole-number average and no count."""
     rows = within_half_open(messages, from_ms, to_ms)
     return (
-        partials(rows, "sensor_type")
+        spread_partials(rows, "sensor_type")
         .select(
             "sensor_type",
             "min_value",

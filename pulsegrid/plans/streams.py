@@ -5,6 +5,7 @@ streams the log in several micro-batches, and reads what came of it.
 """
 
 import time
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -21,7 +22,7 @@ from pulsegrid.plans.stored import LATE_BEFORE
 from pulsegrid.session import workspace
 from pulsegrid.sources import tables
 from pulsegrid.storage.store import Store
-from pulsegrid.streaming.ingest import AVAILABLE_NOW, flush, text_stream
+from pulsegrid.streaming.ingest import AVAILABLE_NOW, backlog_rows, flush, text_stream
 from pulsegrid.streaming.hot import HotTable
 from pulsegrid.streaming.live import (
     TrailingHour,
@@ -191,6 +192,23 @@ def _trailing_hour(spark, sf_dir):
     return spark.read.parquet(f"{answers}/batch_id={last}")
 
 
+def _backlog(spark, sf_dir):
+    """Lines that have arrived and are not committed: before any batch, after a part was
+    drained, sealed and cleaned up, and at the end."""
+    rows = tables.raw_with_defects(tables.messages(spark, sf_dir))
+    run = _Run(spark).arrive(rows)
+    counts = [backlog_rows(run.store, run.log)]
+    run.ingest()
+    run.store.seal(LATE_BEFORE)
+    run.store.remove_superseded(timedelta(0))
+    run.arrive(rows)
+    counts.append(backlog_rows(run.store, run.log))
+    run.ingest()
+    run.store.seal(LATE_BEFORE)
+    counts.append(backlog_rows(run.store, run.log))
+    return spark.createDataFrame(list(enumerate(counts)), "step INT, backlog BIGINT")
+
+
 def _trailing_hour_state(spark, sf_dir):
     """The answer after the last batch, from the state that the batches hand on."""
     run = _Run(spark).arrive(tables.raw_json(tables.messages(spark, sf_dir)))
@@ -334,6 +352,11 @@ QUERIES = {
         _turned_away,
         "SELECT CAST(event_id AS VARCHAR) AS id, 'duplicate_id' AS reason FROM events",
     ),
+    "stream_backlog": Query(
+        _backlog,
+        """SELECT CAST(step AS INTEGER) AS step, CASE WHEN step < 2 THEN n ELSE 0 END AS backlog
+        FROM (SELECT count(*) AS n FROM events), range(3) r(step)""",
+    ),
     "stream_hot_moved": Query(
         _hot_moved,
         f"""WITH {MESSAGES_SQL}

@@ -58,6 +58,7 @@ TABLES = {
             "from_batch": LongType(),
             "to_batch": LongType(),
             "writer": StringType(),
+            "arrived": LongType(),
         },
         _GEN,
     ),

@@ -196,6 +196,25 @@ class Store:
             rows = rows.unionByName(self.of_gen("seal_days", seal.gen).select("day_rows"))
         return rows.agg(F.coalesce(F.sum("day_rows"), F.lit(0)).alias("messages"))
 
+    def arrived(self) -> int:
+        """Rows that committed batches of this stream were given, quarantined ones included,
+        from commit rows and sealed ranges alone."""
+        seal = self.newest_seal()
+        rows = self._open_commits(seal).select("stream_id", _arrived())
+        if seal is not None:
+            rows = rows.unionByName(self.of_gen("seal_coverage", seal.gen).select("stream_id", "arrived"))
+        return rows.filter(F.col("stream_id") == self.stream_id).agg(F.coalesce(F.sum("arrived"), F.lit(0))).first()[0]
+
+    def _open_commits(self, seal: _Seal | None) -> DataFrame:
+        """Commit rows that no sealed range covers."""
+        if seal is None:
+            return self.commits()
+        listed = _covered(self.commits(), self._coverage(seal.gen)).select("stream_id", "batch_id")
+        return self.commits().join(listed, ["stream_id", "batch_id"], "left_anti")
+
+    def _coverage(self, gen: int) -> DataFrame:
+        return self.of_gen("seal_coverage", gen).select("stream_id", "from_batch", "to_batch")
+
     def latest_ms(self) -> int | None:
         """Event time of the newest committed message."""
         seal = self.newest_seal()
@@ -245,13 +264,13 @@ class Store:
             keep_from = max(keep_from, last.keep_from)
         kept_day = F.col("event_date") >= _day(keep_from)
         # Written first and read back: batches that commit from here on stay live.
-        taken = self.commits().select(
-            "stream_id", F.col("batch_id").alias("from_batch"), F.col("batch_id").alias("to_batch"), "writer"
+        taken = self._open_commits(last).select(
+            "stream_id", F.col("batch_id").alias("from_batch"), F.col("batch_id").alias("to_batch"), "writer", _arrived()
         )
         if last is not None:
             taken = taken.unionByName(self.of_gen("seal_coverage", last.gen).drop("gen"))
         overwrite(_merged_ranges(taken).coalesce(1), self.root, "seal_coverage", part)
-        coverage = self.of_gen("seal_coverage", gen).drop("gen", "writer")
+        coverage = self._coverage(gen)
         due = (
             _covered(self._committed_days(), coverage)
             .filter((F.col("event_date") < F.lit(horizon)) & kept_day)
@@ -323,7 +342,7 @@ class Store:
         seal = self.newest_seal()
         if seal is None:
             return self.commits().select("stream_id", "batch_id").limit(0)
-        coverage = self.of_gen("seal_coverage", seal.gen).drop("gen", "writer")
+        coverage = self._coverage(seal.gen)
         return (
             _covered(self.commits(), coverage)
             .filter(F.coalesce(F.array_max("days.event_date") < F.lit(seal.horizon), F.lit(True)))
@@ -463,7 +482,7 @@ class Snapshot:
         if self._seal is None:
             return self._committed(rows)
         # Commit rows of sealed batches may be gone; their ranges stand for them.
-        coverage = self._store.of_gen("seal_coverage", self._seal.gen).drop("gen", "writer")
+        coverage = self._store._coverage(self._seal.gen)
         listed = _covered(self._batches, coverage).select("stream_id", "batch_id")
         live = self._batches.join(listed, ["stream_id", "batch_id"], "left_anti")
         sealed = _covered(rows, coverage).select(rows.columns)
@@ -486,6 +505,11 @@ class Snapshot:
         return self._store.sealed(name, self._seal).select(*columns).unionByName(live)
 
 
+def _arrived() -> Column:
+    """Rows of a batch: its messages and its quarantine."""
+    return (F.col("rows") + F.col("quarantined")).alias("arrived")
+
+
 def _day(day: date) -> Column:
     # As text: Python prints years before 1000 without their zeros, which Java refuses.
     return F.lit(day.isoformat()).cast("date")
@@ -502,7 +526,7 @@ def _covered(rows: DataFrame, coverage: DataFrame) -> DataFrame:
 
 
 def _merged_ranges(ranges: DataFrame) -> DataFrame:
-    """Ranges of batch ids per stream and writer, adjacent and repeated ones as one."""
+    """Disjoint ranges of batch ids per stream and writer, adjacent ones as one."""
     in_order = Window.partitionBy("stream_id", "writer").orderBy("from_batch", "to_batch")
     reach = F.max("to_batch").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.coalesce((F.col("from_batch") > reach + 1).cast("int"), F.lit(1))
@@ -510,8 +534,12 @@ def _merged_ranges(ranges: DataFrame) -> DataFrame:
         ranges.withColumn("_starts", starts)
         .withColumn("_island", F.sum("_starts").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
         .groupBy("stream_id", "writer", "_island")
-        .agg(F.min("from_batch").alias("from_batch"), F.max("to_batch").alias("to_batch"))
-        .select("stream_id", "from_batch", "to_batch", "writer")
+        .agg(
+            F.min("from_batch").alias("from_batch"),
+            F.max("to_batch").alias("to_batch"),
+            F.sum("arrived").alias("arrived"),
+        )
+        .select("stream_id", "from_batch", "to_batch", "writer", "arrived")
     )
 
 

@@ -166,7 +166,7 @@ def test_continuous_trigger_and_backlog(spark, feed):
     rows = _rows(0, 10)
     checkpoint = f"{feed.root}/checkpoint"
     feed.arrive(rows)
-    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 10
+    assert backlog_rows(feed.store, f"{feed.root}/log") == 10
     query = start_ingest(
         feed.store, feed.stream(), checkpoint, trigger=EVERY_5_SECONDS, timestamp="any"
     )
@@ -174,9 +174,9 @@ def test_continuous_trigger_and_backlog(spark, feed):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 0
+    assert backlog_rows(feed.store, f"{feed.root}/log") == 0
     feed.arrive(_rows(50, 7))
-    assert backlog_rows(spark, f"{feed.root}/log", checkpoint) == 7
+    assert backlog_rows(feed.store, f"{feed.root}/log") == 7
     feed.check(rows)
 
 
