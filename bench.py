@@ -9,11 +9,14 @@ go to Spark's ``noop`` sink, so all rows are computed and none reach the driver.
 import json
 import os
 import time
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from pulsegrid.functions.timeaxis import with_time_columns
 from pulsegrid.operators import identity, requests, synthesis
 from pulsegrid.plans.batch import QUERIES
+from pulsegrid.schema import message_columns
 from pulsegrid.session import prepare, workspace
 from pulsegrid.sources import tables
 from pulsegrid.storage.store import Store
@@ -27,6 +30,10 @@ REPEATS = 3
 START_MS = 1_704_868_215_250
 RANGES_MS = {"hour": 3_600_000, "day": 86_400_000, "span": 19 * 86_400_000}
 
+# The dense store: every order line so many times, spread over so long from START_MS on.
+DENSE_COPIES, DENSE_MS = 10, 12 * 3_600_000
+DENSE_RANGES_MS = {"hour": 3_600_000, "ten_hours": 36_000_000}
+
 
 def session() -> SparkSession:
     spark = (
@@ -56,6 +63,19 @@ def timed(run) -> float:
     return round(best, 3)
 
 
+def dense_store(spark: SparkSession, shipments: DataFrame) -> Store:
+    """A sealed store with some hundred messages a second: a rollup row stands for several."""
+    at = F.pmod(F.xxhash64("id", "seq", "copy"), F.lit(DENSE_MS)) + F.lit(START_MS)
+    copies = shipments.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(DENSE_COPIES))))
+    rows = with_time_columns(copies.withColumn("ts_ms", at)).select(*message_columns())
+    path = workspace(spark, "bench-dense")
+    rows.write.parquet(path)
+    store = Store(spark, workspace(spark, "bench-dense-store"))
+    store.append(spark.read.parquet(path), 0)
+    store.seal(date(2024, 2, 1))
+    return store
+
+
 def main() -> None:
     spark = session()
     seconds: dict[str, float] = {}
@@ -96,6 +116,16 @@ def main() -> None:
         measure(f"store_raw_{name}", lambda b=bounds: drain(synthesis.synthesis(now.messages(), *b)))
         measure(f"store_hybrid_{name}", lambda b=bounds: drain(now.synthesis(*b)))
 
+    dense = dense_store(spark, shipments).snapshot()
+    for name, length in DENSE_RANGES_MS.items():
+        bounds = START_MS, START_MS + length
+        measure(f"store_raw_dense_{name}", lambda b=bounds: drain(synthesis.synthesis(dense.messages(), *b)))
+        measure(f"store_hybrid_dense_{name}", lambda b=bounds: drain(dense.synthesis(*b)))
+
+    stored_ids = now.ids()
+    events_asked = events.withColumn("id", F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("-x"))))
+    measure("store_id_probe", lambda: drain(stored_ids.known(events_asked)), event_rows)
+
     # All of them ask about stored shipments; half exist. 200,000 at most would be
     # the published probe count, here every order line is probed.
     unknown = F.when(F.col("seq") % 2 == 0, F.col("id")).otherwise(F.concat("id", F.lit("-x")))
