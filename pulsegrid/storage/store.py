@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from pulsegrid.functions.timeaxis import MS_PER_HOUR
 from pulsegrid.operators.filters import closed_range
-from pulsegrid.operators.hybrid import BLOCK_SECONDS, fewest_blocks, hybrid_partials, in_ranges
-from pulsegrid.operators.joins import keys_fit_broadcast, semi_join
+from pulsegrid.operators.hybrid import BLOCK_SECONDS, edge_partials, fewest_blocks, hybrid_partials, in_ranges
+from pulsegrid.operators.joins import keys_fit_broadcast, measure, semi_join
 from pulsegrid.operators.requests import synthesis_requests
 from pulsegrid.operators.synthesis import merge_partials, rollup, synthesis_of
 from pulsegrid.schema import PARTIAL_VALUES, message_columns
@@ -42,8 +42,8 @@ SORT_BY = {"time": ["ts_ms", "seq"], "sensor": ["sensor_type", "ts_ms", "seq"]}
 # What a sealed day is split by: hours, so that a file spans little time, or sensors.
 SEAL_BY = {"time": "bucket div 3600", "sensor": "sensor_type"}
 
-# Up to this many ranges of batches, sealed ones are pruned by a literal condition.
-MAX_LITERAL_RANGES = 100
+# Up to this many ranges of batches, and this many days, are told by literal conditions.
+MAX_LITERAL_RANGES, MAX_LITERAL_DAYS = 100, 2_000
 
 
 class ForeignBatchError(ValueError):
@@ -59,6 +59,8 @@ class _Seal(NamedTuple):
     keep_from: date
     # Sealed (stream, first batch, last batch); None if there are too many for literals.
     covered: list[tuple[str, int, int]] | None
+    # Sealed days by the generation that holds them; None if there are too many for literals.
+    days: dict[int, list[date]] | None
 
 
 class Store:
@@ -336,10 +338,10 @@ class Store:
         old = self.sealed(name, last).join(dirty, "event_date", "left_semi")
         return old.select(*columns).unionByName(fresh)
 
-    def superseded(self) -> DataFrame:
-        """Batches whose rows are all sealed; their folders may be deleted after a
-        grace period for running readers."""
-        seal = self.newest_seal()
+    def superseded(self, seal: _Seal | None = None) -> DataFrame:
+        """Batches whose rows are all sealed, by the newest seal if none is given; their
+        folders may be deleted after a grace period for running readers."""
+        seal = seal or self.newest_seal()
         if seal is None:
             return self.commits().select("stream_id", "batch_id").limit(0)
         coverage = self._coverage(seal.gen)
@@ -392,10 +394,16 @@ class Store:
 
     def sealed(self, name: str, seal: _Seal) -> DataFrame:
         """The rows of table ``name`` that ``seal`` holds."""
+        rows = read_table(self.spark, self.root, f"sealed_{name}")
+        if seal.days is not None:
+            # On partition columns only: no join, and folders of older generations are not read.
+            held = F.lit(False)
+            for gen, days in seal.days.items():
+                held = held | ((F.col("gen") == gen) & F.col("event_date").isin([_day(d) for d in days]))
+            return rows.filter(held)
         current = self.of_gen("seal_days", seal.gen).select(
             "event_date", F.col("data_gen").alias("gen")
         )
-        rows = read_table(self.spark, self.root, f"sealed_{name}")
         # One key of 16 bytes per day: below 60 MB for the years 0001 to 9999.
         return semi_join(rows, current, ["event_date", "gen"], small=True)
 
@@ -426,7 +434,12 @@ class Store:
         coverage = self.of_gen("seal_coverage", newest["gen"]).limit(MAX_LITERAL_RANGES + 1)
         ranges = [(r["stream_id"], r["from_batch"], r["to_batch"]) for r in coverage.collect()]
         few = len(ranges) <= MAX_LITERAL_RANGES
-        return _Seal(newest["gen"], newest["horizon"], newest["keep_from"], ranges if few else None)
+        sealed = self.of_gen("seal_days", newest["gen"]).select("event_date", "data_gen").limit(MAX_LITERAL_DAYS + 1).collect()
+        days: dict[int, list[date]] = {}
+        for row in sealed:
+            days.setdefault(row["data_gen"], []).append(row["event_date"])
+        few_days = len(sealed) <= MAX_LITERAL_DAYS
+        return _Seal(newest["gen"], newest["horizon"], newest["keep_from"], ranges if few else None, days if few_days else None)
 
     def of_gen(self, name: str, gen: int) -> DataFrame:
         return read_table(self.spark, self.root, name, f"gen={gen}")
@@ -436,16 +449,21 @@ class Snapshot:
     """One committed state of a store.
 
     The commit rows are listed once and the size of that list is checked once, so
-    messages and rollup come from the same batches. The list is broadcast; a store
-    with more live batches than that bears joins it in a shuffle, and is due for
-    sealing and for the removal of superseded batches.
+    messages and rollup come from the same batches. Batches whose rows are all sealed are
+    none of them. The list is broadcast; a store with more live batches than that bears
+    joins it in a shuffle, and is due for sealing.
     """
 
     def __init__(self, store: Store):
         self._store = store
         self._seal = store.newest_seal()
         self._batches = store.commits().select("stream_id", "batch_id")
-        self._few_batches = keys_fit_broadcast(self._batches)
+        self._live_batches = self._batches
+        if self._seal is not None:
+            gone = store.superseded(self._seal)
+            self._live_batches = self._batches.join(gone, ["stream_id", "batch_id"], "left_anti")
+        size = measure(self._live_batches)
+        self._few_batches, self._any_live = size.fits_broadcast, size.rows > 0
 
     def messages(self, from_ms: int | None = None, to_ms: int | None = None) -> DataFrame:
         """All messages, or those in ``[from_ms, to_ms]``."""
@@ -468,8 +486,11 @@ class Snapshot:
         a minute, an hour or a day; raw rows only of the first and the last second."""
         if self._seal is None:
             return synthesis_of(hybrid_partials(self.messages(), self.rollup_partials(), from_ms, to_ms))
-        live = self._live("rollup_1s", ["bucket", "sensor_type", *PARTIAL_VALUES, "event_date"])
-        parts = hybrid_partials(self.messages(), live, from_ms, to_ms)
+        if self._any_live:
+            live = self._live("rollup_1s", ["bucket", "sensor_type", *PARTIAL_VALUES, "event_date"])
+            parts = hybrid_partials(self.messages(), live, from_ms, to_ms)
+        else:
+            parts = edge_partials(self.messages(), from_ms, to_ms)
         for size, ranges in fewest_blocks(from_ms, to_ms).items():
             parts = parts.unionByName(in_ranges(self._store.sealed(f"rollup_{size}s", self._seal), ranges))
         return synthesis_of(parts)
@@ -486,11 +507,11 @@ class Snapshot:
         listed = _covered(self._batches, coverage).select("stream_id", "batch_id")
         live = self._batches.join(listed, ["stream_id", "batch_id"], "left_anti")
         sealed = _covered(rows, coverage).select(rows.columns)
-        fresh = semi_join(rows, live, ["stream_id", "batch_id"], small=self._few_batches)
+        fresh = semi_join(rows, live, ["stream_id", "batch_id"], small=keys_fit_broadcast(live))
         return fresh.select(rows.columns).unionByName(sealed)
 
     def _committed(self, rows: DataFrame) -> DataFrame:
-        return semi_join(rows, self._batches, ["stream_id", "batch_id"], small=self._few_batches)
+        return semi_join(rows, self._live_batches, ["stream_id", "batch_id"], small=self._few_batches)
 
     def _live(self, name: str, columns: list[str]) -> DataFrame:
         """The committed rows no seal holds."""
@@ -499,6 +520,8 @@ class Snapshot:
 
     def _rows(self, name: str, columns: list[str]) -> DataFrame:
         """Sealed rows and the committed rows no seal holds."""
+        if self._seal is not None and not self._any_live:
+            return self._store.sealed(name, self._seal).select(*columns)
         live = self._live(name, columns)
         if self._seal is None:
             return live
