@@ -1,15 +1,17 @@
 """Secrets in texts: patterns, and formats learned from what the patterns find.
 
 The labelled credentials are the matches of three base patterns. Per kind their prefix tree
-is folded into a probabilistic automaton by merging states whose frequencies of going on
-and ending agree within a Hoeffding bound. Every other run of credential characters is then
-scored by how much likelier such an automaton makes its format than one of ordinary runs.
+is folded into a probabilistic automaton by merging states that go on and end alike within a
+Hoeffding bound and have like lengths ahead. Every run of credential characters, base
+matches included, is then scored by how much likelier such an automaton makes its format
+than one of ordinary runs.
 """
 
 import math
 import re
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,18 +27,22 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 #: Base kinds in order, and the kind of what the automata add.
 KINDS, LEARNED = ("assign", "access", "hex"), "format"
-#: A candidate: a run of this many credential characters or more with a figure among them.
-RUN = re.compile("[A-Za-z0-9+/_=-]{16,}")
+#: A candidate: a run of credential characters as long as the shortest secret the patterns take.
+RUN = re.compile("[A-Za-z0-9+/_=-]{12,}")
 ORDINARY = re.compile("[A-Za-z0-9+/_=-]{8,}")
-FIGURE = re.compile("[0-9]")
 
 #: Distinct credentials a kind, and ordinary runs, that are learned from; chosen by hash.
 SAMPLE = 600
-#: Confidence of the merge test, and bits a character by which a credential's format must be likelier.
-ALPHA, BITS = 0.05, 1.0
+#: Longer ones are scored but not learned from.
+LONGEST = 200
+#: Confidence of the merge test on moves and ends, and of the stricter one on lengths ahead.
+ALPHA, ALPHA_LENGTH = 0.05, 0.8
+#: Bits by which a credential's format must be likelier than an ordinary run's.
+BITS = 20.0
+#: Scores by shape that a task remembers.
+MEMO = 100_000
 
-SPAN = "struct<kind:string,start:int,end:int,secret:string>"
-RUNS = "array<struct<start:int,end:int,text:string>>"
+SPAN = "struct<kind:string,start:int,end:int,secret:string,score:double>"
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -54,14 +60,17 @@ def shape(text: str) -> str:
 
 
 _SHAPES = {ord(c): s for s, cs in (("9", "0123456789"), ("h", "abcdef"), ("a", "ghijklmnopqrstuvwxyz"), ("H", "ABCDEF"), ("A", "GHIJKLMNOPQRSTUVWXYZ")) for c in cs}
-SYMBOLS = 5 + 5
+SYMBOLS = "9haHA+/_.=-"
 
 
 class State:
-    __slots__ = ("ends", "moves", "total")
+    """Counts of what passes, ends, moves on by symbol, and of the lengths still ahead."""
+
+    __slots__ = ("ahead", "ends", "moves", "total")
 
     def __init__(self):
         self.moves: dict[str, list] = {}
+        self.ahead = np.zeros(LONGEST + 1)
         self.total = self.ends = 0
 
 
@@ -70,15 +79,25 @@ def prefix_tree(shapes: list[str]) -> State:
     for text in shapes:
         state = root
         state.total += 1
-        for symbol in text:
+        state.ahead[len(text)] += 1
+        for done, symbol in enumerate(text, 1):
             move = state.moves.setdefault(symbol, [State(), 0])
             move[1] += 1
             state = move[0]
             state.total += 1
+            state.ahead[len(text) - done] += 1
         state.ends += 1
     return root
 
 
+def _apart(a: State, b: State) -> float | None:
+    """The greatest difference of the two distributions of lengths ahead; None beyond what
+    the numbers of their strings explain."""
+    gap = float(np.abs(np.cumsum(a.ahead) / a.total - np.cumsum(b.ahead) / b.total).max())
+    bound = math.sqrt(0.5 * math.log(2 / ALPHA_LENGTH)) * (1 / math.sqrt(a.total) + 1 / math.sqrt(b.total))
+    return gap if gap <= bound else None
+
+
 def _agree(a: State, b: State) -> bool:
     """Whether two states, and what follows them, have compatible frequencies."""
     width = math.sqrt(0.5 * math.log(2 / ALPHA))
@@ -106,6 +125,7 @@ def _fold(into: State, other: State) -> None:
         into, other = stack.pop()
         into.total += other.total
         into.ends += other.ends
+        into.ahead += other.ahead
         for symbol, (target, n) in other.moves.items():
             if symbol in into.moves:
                 into.moves[symbol][1] += n
@@ -116,7 +136,13 @@ def _fold(into: State, other: State) -> None:
 
 def automaton(shapes: list[str]) -> list[dict]:
     """The merged automaton as a table: per state log2 probabilities of its moves, with the
-    target's number, of ending ("") and of a symbol not seen there ("?", stays)."""
+    target's number, of ending ("") and of what was never seen there ("?", Witten-Bell).
+
+    A state is merged with the compatible one whose lengths ahead are most alike, so that
+    strings of one length become a chain that knows its length. The last row is where what
+    was never seen goes on: it knows how often symbols come, not where.
+    """
+    shapes = [s for s in shapes if len(s) <= LONGEST]
     root = prefix_tree(shapes)
     red = [root]
     done = {id(root)}
@@ -125,10 +151,11 @@ def automaton(shapes: list[str]) -> list[dict]:
         if not blue:
             break
         _, _, move = max(blue, key=lambda x: (x[0], x[1]))
-        for state in red:
-            if _agree(state, move[0]):
-                target, move[0] = move[0], state
-                _fold(state, target)
+        like = [(gap, i) for i, state in enumerate(red) if (gap := _apart(state, move[0])) is not None]
+        for _, i in sorted(like):
+            if _agree(red[i], move[0]):
+                target, move[0] = move[0], red[i]
+                _fold(red[i], target)
                 break
         else:
             red.append(move[0])
@@ -136,22 +163,33 @@ def automaton(shapes: list[str]) -> list[dict]:
     number = {id(state): i for i, state in enumerate(red)}
     table = []
     for state in red:
-        whole = math.log2(state.total + 0.1 * (SYMBOLS + 1))
-        row = {s: (math.log2(n + 0.1) - whole, number[id(t)]) for s, (t, n) in state.moves.items()}
-        row[""] = (math.log2(state.ends + 0.1) - whole, 0)
-        row["?"] = (math.log2(0.1) - whole, number[id(state)])
+        seen = len(state.moves) + (state.ends > 0)
+        whole = state.total + seen
+        row = {s: (math.log2(n / whole), number[id(t)]) for s, (t, n) in state.moves.items()}
+        if state.ends:
+            row[""] = (math.log2(state.ends / whole), 0)
+        row["?"] = (math.log2(seen / whole) if seen else 0.0, len(red))
         table.append(row)
+    whole = math.log2(sum(map(len, shapes)) + len(shapes) + 0.5 * (len(SYMBOLS) + 2))
+    counts = {s: sum(x.count(s) for x in shapes) for s in SYMBOLS} | {"": len(shapes), "?": 0}
+    table.append({s: (math.log2(n + 0.5) - whole, len(red)) for s, n in counts.items()})
     return table
 
 
 def likelihood(table: list[dict], text: str) -> float:
     """log2 of the probability of a shape."""
-    state, total = 0, 0.0
-    for symbol in text:
+    state, total, last = 0, 0.0, len(table) - 1
+    for symbol in (*text, ""):
         row = table[state]
-        p, state = row.get(symbol) or row["?"]
-        total += p
-    return total + table[state][""][0]
+        move = row.get(symbol)
+        if move is None:
+            total += row["?"][0]
+            if state == last:
+                continue
+            move = table[last].get(symbol) or table[last]["?"]
+        total += move[0]
+        state = move[1]
+    return total
 
 
 class Model(NamedTuple):
@@ -159,90 +197,102 @@ class Model(NamedTuple):
     ordinary: list[dict]
 
     def score(self, run: str) -> float:
-        """Bits a character by which the best credential automaton beats the ordinary one."""
+        """Bits by which the best credential automaton beats the ordinary one."""
+        return self.of_shape(shape(run))
+
+    def of_shape(self, text: str) -> float:
         if not self.kinds:
             return -math.inf
-        text = shape(run)
-        return (max(likelihood(t, text) for t in self.kinds.values()) - likelihood(self.ordinary, text)) / len(text)
+        return max(likelihood(t, text) for t in self.kinds.values()) - likelihood(self.ordinary, text)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base (spans with their secrets), runs (candidates apart from these) and one
-    ordinary run of each document; written, so texts are read once."""
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """kind and text of what is learned from: secret parts of the base matches, and one
+    ordinary run of each document (kind null); written, so texts are read once."""
 
     def task(batches: Batches) -> Batches:
         for batch in batches:
-            bases, runs, ordinary = [], [], []
+            kinds, found = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
-                taken = [(s, e) for _, s, e, _ in base]
-                bases.append([{"kind": k, "start": s, "end": e, "secret": x} for k, s, e, x in base])
-                runs.append(
-                    [
-                        {"start": m.start(), "end": m.end(), "text": m[0]}
-                        for m in (RUN.finditer(text) if FIGURE.search(text) else ())
-                        if FIGURE.search(m[0]) and all(m.end() <= s or e <= m.start() for s, e in taken)
-                    ]
-                )
+                kinds += [k for k, *_ in base]
+                found += [x for *_, x in base]
                 first = ORDINARY.search(text, len(text) // 3)
-                inside = first is None or any(s < first.end() and first.start() < e for s, e in taken)
-                ordinary.append(None if inside else first[0])
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array(bases, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("secret", pa.string())]))),
-                    pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("text", pa.string())]))),
-                    pa.array(ordinary, pa.string()),
-                ],
-                ["doc_id", "base", "runs", "ordinary"],
-            )
+                if first is not None and not any(s < first.end() and first.start() < e for _, s, e, _ in base):
+                    kinds.append(None)
+                    found.append(first[0])
+            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["kind", "text"])
 
-    source = documents(docs, id_col, text_col)
-    kind = source.schema["doc_id"].dataType.simpleString()
-    return written(map_batches(source, task, f"doc_id {kind}, base array<{SPAN}>, runs {RUNS}, ordinary string"), "secrets")
+    rows = map_batches(documents(docs, id_col, text_col), task, "kind string, text string")
+    return written(rows.where(F.length("text") <= LONGEST), "secrets")
 
 
-def learn(scanned: DataFrame, sample: int = SAMPLE) -> Model:
+def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
     """Automata from at most ``sample`` distinct labelled credentials a kind, and from as
     many ordinary runs. Without any of either nothing is added to the base spans."""
 
-    def some(rows: DataFrame) -> list[str]:
-        bounded = rows.where("text IS NOT NULL").distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
+    def some(kind: str | None) -> list[str]:
+        bounded = rows.where(F.col("kind").eqNullSafe(F.lit(kind))).select("text").distinct().orderBy(F.xxhash64("text"), "text").limit(sample)
         return [shape(row[0]) for row in bounded.collect()]
 
-    secrets = scanned.select(F.explode("base").alias("s"))
-    kinds = {k: some(secrets.where(F.col("s.kind") == k).select(F.col("s.secret").alias("text"))) for k in KINDS}
-    ordinary = some(scanned.select(F.col("ordinary").alias("text")))
+    kinds = {k: some(k) for k in KINDS}
+    ordinary = some(None)
     if not ordinary:
         return Model({}, [])
     return Model({k: automaton(x) for k, x in kinds.items() if x}, automaton(ordinary))
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, base and learned spans (kind, start, end, and secret or score) per document.
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
+    """doc_id, base and learned spans (kind, start, end, score in bits; base ones with their
+    secret) per document.
 
     Whole texts; a null or empty one has no spans; null ids and repeated rows are kept as
-    they come; other columns are not looked at. Learned spans never overlap base ones. The
-    texts pass once, only short runs are written and read again; nothing is shuffled but
-    the bounded samples.
+    they come; other columns are not looked at. Every run of 12 credential characters or
+    more is scored, and so is the secret of every base match (null without a model). Base
+    spans stay whatever their score; a run inside a base span is not reported twice, one
+    that only holds or meets base spans is reported whole. Texts pass twice, to learn and
+    to score, unless a ``model`` is given; nothing is shuffled but the bounded samples.
     """
-    scanned = scan(docs, id_col, text_col)
-    model = learn(scanned)
+    if model is None:
+        model = learn(labelled(docs, id_col, text_col))
 
     def task(batches: Batches) -> Batches:
+        memo: dict[str, float] = {}
+
+        def score(run: str) -> float:
+            text = shape(run)
+            if text not in memo:
+                if len(memo) >= MEMO:
+                    memo.clear()
+                if len(text) > LONGEST:  # too long to be worth remembering
+                    return model.of_shape(text)
+                memo[text] = model.of_shape(text)
+            return memo[text]
+
         for batch in batches:
-            learned = []
-            for runs in batch.column("runs").to_pylist():
-                scored = [(r["start"], r["end"], model.score(r["text"])) for r in runs]
-                learned.append([{"kind": LEARNED, "start": s, "end": e, "score": x} for s, e, x in scored if x >= BITS])
-            kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("base"), pa.array(learned, kind)], ["doc_id", "base", "learned"])
-
-    kind = scanned.schema["doc_id"].dataType.simpleString()
-    return map_batches(
-        scanned.select("doc_id", "base", "runs"), task,
-        f"doc_id {kind}, base array<{SPAN}>, learned array<struct<kind:string,start:int,end:int,score:double>>",
-    )
+            bases, learned = [], []
+            for text in batch.column("text").to_pylist():
+                base = base_spans(text)
+                bases.append([{"kind": k, "start": s, "end": e, "secret": x, "score": score(x) if model.kinds else None} for k, s, e, x in base])
+                more = []
+                for run in RUN.finditer(text) if model.kinds else ():
+                    bits = score(run[0])
+                    if bits >= BITS and not any(s <= run.start() and run.end() <= e for _, s, e, _ in base):
+                        more.append({"kind": LEARNED, "start": run.start(), "end": run.end(), "score": bits})
+                learned.append(more)
+            fields = [("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+            yield pa.record_batch(
+                [
+                    batch.column("doc_id"),
+                    pa.array(bases, pa.list_(pa.struct([*fields, ("secret", pa.string()), ("score", pa.float64())]))),
+                    pa.array(learned, pa.list_(pa.struct([*fields, ("score", pa.float64())]))),
+                ],
+                ["doc_id", "base", "learned"],
+            )
+
+    source = documents(docs, id_col, text_col)
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return map_batches(source, task, f"doc_id {kind}, base array<{SPAN}>, learned array<struct<kind:string,start:int,end:int,score:double>>")
 
 
 def joined(*spans) -> "F.Column":
