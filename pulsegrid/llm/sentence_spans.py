@@ -21,8 +21,9 @@ SPAN = 3
 #: its line. Of every WINDOW words in one sentence the one with the least hash ends a piece,
 #: so the same words are cut alike wherever they stand, and no piece is longer than WINDOW.
 WINDOW = 10
-#: Sentences of a span, and words of one that holds pieces of sentences, for which every
-#: repeated passage of over 50 words holds a span: two windows' edges, a piece, and the span.
+#: Sentences or pieces of a span, and its words at least, for which every repeated passage of
+#: over 50 words holds a span: two windows' edges, a piece, and the span. Two short sentences
+#: that many texts have ("Yes. No.") are none.
 FEW, WORDS = 2, 14
 
 SPACE = np.array([chr(c).isspace() for c in range(0x3002)])
@@ -33,13 +34,12 @@ END, ALL = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 class Pieces(NamedTuple):
     """Sentences or pieces of them: first and last character, first and last word (ends
-    excluded), which are whole sentences, and a hash of each word of the text."""
+    excluded), and a hash of each word of the text."""
 
     starts: np.ndarray
     ends: np.ndarray
     first: np.ndarray
     last: np.ndarray
-    whole: np.ndarray
     words: np.ndarray
 
 
@@ -50,7 +50,7 @@ def pieces(text: str) -> Pieces:
     n = len(starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return Pieces(none, none, none, none, none.astype(bool), none.astype(np.uint64))
+        return Pieces(none, none, none, none, none.astype(np.uint64))
     words = np.array([xxhash.xxh3_64_intdigest(w) for w in text.lower().split()], np.uint64)
     stop = np.isin(code[ends - 1], [ord(c) for c in ".!?"])
     lines = np.cumsum(code == ord("\n"))
@@ -67,9 +67,8 @@ def pieces(text: str) -> Pieces:
         cut[at[sentence[: n - WINDOW + 1] == sentence[WINDOW - 1 :]]] = True
     last = np.flatnonzero(cut)
     first = np.concatenate([[0], last[:-1] + 1])
-    whole = stop[last] & np.concatenate([[True], stop[last[:-1]]])
     words[last] ^= END
-    return Pieces(starts[first], ends[last], first, last + 1, whole, words)
+    return Pieces(starts[first], ends[last], first, last + 1, words)
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
@@ -81,18 +80,13 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def runs_of(found: Pieces, size: int = SPAN, words: int = 0, rest: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last piece of each run, and its 64-bit hash, white space and case aside.
 
-    A run has ``size`` pieces and, unless all these are whole sentences, as many more as it
-    takes to ``words`` words. With ``rest`` the last pieces of a text always lie in a run:
-    one counted from the end or, if the text is too short for that, the whole text, which
-    meets whole texts only.
+    A run has ``size`` pieces and as many more as it takes to ``words`` words. With ``rest``
+    the last pieces of a text always lie in a run: one counted from the end or, if the text
+    is too short for that, the whole text, which meets whole texts only.
     """
     n = len(found.first)
     first = np.arange(n)
     last = np.maximum(first + size - 1, np.searchsorted(found.last, found.first + words))
-    sure = np.concatenate([[0], np.cumsum(found.whole)])
-    fit = first[: max(n - size + 1, 0)]
-    short = fit[sure[fit + size] - sure[fit] == size]
-    last[short] = short + size - 1
     first, last = first[last < n], last[last < n]
     all_of_it = False
     if rest and n and (not len(last) or last[-1] < n - 1):
@@ -120,8 +114,8 @@ def deduplicated(
     them. Runs travel with a hash, an id and a place only; copies within one task are
     settled there, so a run that is everywhere sends one row a task. A null text is empty;
     documents without id neither remove nor lose anything; rows of equal id and text are one
-    document, returned as often as they come; other columns are not looked at. ``size``,
-    ``words`` and ``rest``: see ``runs_of``; a run's place is its number.
+    document, returned as often as they come; other columns are not looked at. Words need white space
+    between them: a line without any is one word, and ids must cast to long. ``size``, ``words`` and ``rest``: see ``runs_of``; a run's place is its number.
     """
     source = documents(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     keyed = source.withColumn("key", F.xxhash64("text"))

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -269,7 +270,8 @@ def test_secrets_without_keyword(spark):
 
 def test_run_around_a_base_span_is_scored_whole(spark):
     rng = random.Random(6)
-    rows = [(i, f"{PROSE} token: {key(rng, 'm' * 40)}") for i in range(300)]
+    prose = lambda i: f"{'quiet' * (i % 3 + 2)} roof{'s' * (i % 7)}-and-towers under international{'ly' * (i % 2)} rain"
+    rows = [(i, f"{prose(i)} {PROSE} token: {key(rng, 'm' * 40)}") for i in range(300)]
     alone = "Zq7Rt2Yw9Kp40123456789abcdefXv8Lm3Nc6Bd1"
     rows += [(300, f"see {alone} there"), (301, f"secret={alone}")]
     found = {r.doc_id: r for r in credentials.find_secrets(spark.createDataFrame(rows, "doc_id INT, text STRING")).collect()}
@@ -430,10 +432,34 @@ def test_nearest(spark):
         assert [v for _, v, _ in sorted(found)] == want
         assert all(abs(cosine[v] - s) < 1e-12 for _, v, s in found)
     few = nearest.nearest(frame.where("vec_id IN (0, 1, 2)"))
+    twice = spark.createDataFrame([(50, rows[3][1], ""), (3, rows[5][1], "")], "vec_id BIGINT, embedding ARRAY<DOUBLE>, score STRING")
+    both = nearest.nearest(frame.unionByName(twice).repartition(5)).where("query_id = 50").orderBy("rank").collect()
+    kept = [(a, b) for a in (vectors[50], rows[3][1]) for b in (vectors[3], rows[5][1])]
+    assert [r["rank"] for r in both] == [1, 2, 3, 4, 5] and len({r.vec_id for r in both}) == 5
+    wants = []
+    for q, three in kept:  # one vector an id, whichever it is
+        cosine = {i: float(np.dot(v, q) / np.linalg.norm(v) / np.linalg.norm(q)) for i, v in (vectors | {3: three}).items() if i != 50}
+        wants.append(sorted(cosine, key=lambda i: (-round(cosine[i], 12), i))[:5])
+    assert [r.vec_id for r in both] in wants
     assert pairs(few, "query_id", "rank")[0] == (0, 1) and few.count() == 2
     assert nearest.nearest(frame.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("spread", "probes"), [(None, nearest.PROBES), (0.05, 40)])
+def test_recall_of_nearest(spark, spread, probes):
+    """Vectors in all directions with the registered setting; copies with jitter with far fewer leaves."""
+    rng = np.random.default_rng(13)
+    points = rng.normal(size=(6000, 64)) if spread is None else np.repeat(rng.normal(size=(600, 64)), 10, axis=0) + spread * rng.normal(size=(6000, 64))
+    frame = spark.createDataFrame(list(enumerate(points.tolist())), "vec_id INT, embedding ARRAY<DOUBLE>")
+    unit = points / np.linalg.norm(points, axis=1, keepdims=True)
+    close = unit[::50] @ unit.T
+    close[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = {(50 * i, int(j)) for i, row in enumerate(close) for j in np.argsort(-row)[:5]}
+    got = {(r.query_id, r.vec_id) for r in nearest.nearest(frame, probes=probes).collect()}
+    print(f"recall {len(got & want) / len(want):.3f}")
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
 def removed(rows, length=suffixes.LENGTH):
     seen, out = {}, []
     for i, t in rows:
@@ -566,6 +592,73 @@ def test_passages_within_sentences_go(spark):
             assert got[i] == ""
 
 
+def plain_pieces(text):
+    """Lists of words, the last one of each ending a sentence or a piece, and where they start and end."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+    sentences, now = [], []
+    for i, (start, end) in enumerate(words):
+        now.append((start, end, text[start:end].lower()))
+        if i + 1 == len(words) or text[end - 1] in ".!?" or "\n" in text[end : words[i + 1][0]]:
+            sentences.append(now)
+            now = []
+    out = []
+    for sentence in sentences:
+        hashes = [xxhash.xxh3_64_intdigest(w) for *_, w in sentence]
+        ends = {len(sentence) - 1}
+        for k in range(len(sentence) - 9):
+            ends.add(min(range(k, k + 10), key=lambda i: (hashes[i], i)))
+        at = 0
+        for end in sorted(ends):
+            out.append(sentence[at : end + 1])
+            at = end + 1
+    return out
+
+
+def plain_runs(cut, size, words):
+    """(first piece, last piece, what must be equal) of each run of a text."""
+    def run(i, j, whole=False):
+        return i, j, (whole, tuple(tuple(w for *_, w in p) for p in cut[i : j + 1]))
+
+    out, n = [], len(cut)
+    long = lambda i, j: sum(len(p) for p in cut[i : j + 1])
+    for i in range(n):
+        j = next((j for j in range(i + size - 1, n) if long(i, j) >= words), None)
+        if j is not None:
+            out.append(run(i, j))
+    if n and (not out or out[-1][1] < n - 1):
+        i = next((i for i in range(n - size, -1, -1) if long(i, n - 1) >= words), None)
+        out.append(run(0, n - 1, True) if i is None else run(i, n - 1))
+    return out
+
+
+def test_sentence_spans_as_registered(spark):
+    """The registered setting against runs compared as words, one by one."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(40)] + ["end.", "so!", "why?"] * 3
+    stock = [" ".join(rng.choices(vocabulary, k=rng.randint(1, 45))) for _ in range(12)]
+    rows = [r[:2] for r in texts()] + [(60, "Apples are red. Yes. No. Pears grow on trees."), (61, "Yes. No."), (62, "Stones fall. Yes. No. Rivers run far."), (63, "yes.  NO.")]
+    rows += [(200 + i, rng.choice([" ", "\n"]).join(rng.choice([rng.choice(stock), " ".join(rng.choices(vocabulary, k=rng.randint(1, 30)))]) for _ in range(rng.randint(1, 5)))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+    got = pairs(sentence_spans.deduplicated(frame, size=sentence_spans.FEW, words=sentence_spans.WORDS, rest=True), "doc_id", "n_sentences", "n_removed", "text")
+    first, gone = {}, collections.defaultdict(set)
+    distinct = sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or ""))
+    for r in distinct:
+        for place, (i, j, same) in enumerate(plain_runs(plain_pieces(r[1] or ""), sentence_spans.FEW, sentence_spans.WORDS)):
+            if first.setdefault(same, (r, place)) != (r, place):
+                gone[r] |= set(range(i, j + 1))
+    want = []
+    for r in rows:
+        cut, text = plain_pieces(r[1] or ""), r[1] or ""
+        ends = [p[0][0] for p in cut[1:]] + [len(text)]
+        for k in sorted(gone.get(r, ()), reverse=True):
+            text = text[: cut[k][0][0]] + text[ends[k] :]
+        want.append((r[0], len(cut), len(gone.get(r, ())), text))
+    assert got == sorted(want, key=repr)
+    left = {i: t for i, _, _, t in got}
+    assert left[62] == "Stones fall. Yes. No. Rivers run far." and left[63] == ""
+    assert sum(n > 0 for _, _, n, _ in got) > 20
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(6)
     emit, transition = rng.normal(size=(1, 5)), rng.normal(size=(2, 2))
