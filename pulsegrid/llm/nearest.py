@@ -113,20 +113,21 @@ def nearest(
 
     Score is the cosine in double precision of the vectors as they are; ties go to the
     smaller id. Rows without id, and vectors that are null, zero, of another length than
-    most, or hold null or non-finite components take no part; repeated rows count once.
+    most, or hold null or non-finite components take no part. Repeated rows count once, and
+    of several vectors with one id the one with the least hash stands for it.
     Equal vectors are searched once, with their ``k`` + 1 smallest ids: no more of them can
     be in a result. Large leaves are dealt to tasks in blocks. Other columns are not looked at.
     """
     kind = {"array<float>": "<f4", "array<double>": "<f8"}[vectors.schema[vector_col].dataType.simpleString()]
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id IS NOT NULL AND v IS NOT NULL").where(fine)
-    rows = written(rows.withColumns({"k1": F.xxhash64("v"), "k2": F.hash("v"), "d": F.size("v")}), "vectors")
-    common = rows.groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     if common is None:
         return rows.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
-    rows = rows.where(F.col("d") == common["d"]).drop("d")
+    keyed = rows.where(F.size("v") == common["d"]).select("id", F.struct(F.xxhash64("v").alias("k1"), F.hash("v").alias("k2"), "v").alias("x"))
+    rows = written(keyed.groupBy("id").agg(F.min("x").alias("x")).select("id", "x.*"), "vectors")
     by_vector = Window.partitionBy("k1", "k2").orderBy("id")
-    distinct = rows.dropDuplicates(["k1", "k2", "id"]).withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
+    distinct = rows.withColumn("r", F.row_number().over(by_vector)).where(F.col("r") <= k + 1)
     distinct = written(
         distinct.groupBy("k1", "k2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("v").alias("v")), "distinct"
     )
@@ -207,6 +208,6 @@ def nearest(
     found = map_batches(together, rank, "k1 long, k2 int, vec_id long, score double").dropDuplicates(["k1", "k2", "vec_id"])
     order = (F.desc("score"), F.asc("vec_id"))
     best = found.withColumn("r", F.row_number().over(Window.partitionBy("k1", "k2").orderBy(*order))).where(F.col("r") <= k + 1)
-    answered = asked.select(F.col("id").alias("query_id"), "k1", "k2").distinct().join(best.drop("r"), ["k1", "k2"]).where("query_id <> vec_id")
+    answered = asked.select(F.col("id").alias("query_id"), "k1", "k2").join(best.drop("r"), ["k1", "k2"]).where("query_id <> vec_id")
     ranked = answered.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
