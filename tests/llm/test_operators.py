@@ -367,6 +367,13 @@ def test_jaccard(spark, docs, none):
     assert jaccard.similar_documents(none).count() == 0
 
 
+def test_jaccard_looks_at_no_other_column(spark, docs):
+    columns = ("doc_id", "n_shingles", "component_id")
+    clash = docs.withColumns({c: F.lit("clash") for c in ("n", "key_", "root", "a", "b", "n_shingles", "component_id", "shingle")})
+    plain = spark.createDataFrame([r[:2] for r in texts()], "doc_id BIGINT, text STRING")
+    assert pairs(jaccard.similar_documents(clash), *columns) == pairs(jaccard.similar_documents(plain), *columns)
+
+
 def test_tree_finds_all_pairs_within_bound():
     rng = np.random.default_rng(8)
     base = rng.integers(0, 4, (12, 32))
@@ -695,7 +702,55 @@ def test_toxicity(spark, none):
     assert got[900].score == got[901].score < 0.5
     assert [(s.start, s.end) for s in got[902].spans] == [(4, 11)]
     flat = toxicity.fit(frame, tags.limit(0))
-    assert {r.score for r in toxicity.score(frame, flat).collect()} != set() and toxicity.score(none, model).count() == 0
+    assert all(abs(r.score - 1e-6) < 1e-9 for r in toxicity.score(frame, flat).collect()) and toxicity.score(none, model).count() == 0
+    long = " ".join(words * 2000)
+    odd = [(1, long, "a"), (2, long + " villain " + long, "b"), (3, "villain", None), (3, "villain", None), (4, None, "c")]
+    awkward = spark.createDataFrame([(i, t, x, x, x) for i, t, x in odd], "doc_id BIGINT, text STRING, score STRING, spans STRING, n STRING")
+    scored = toxicity.score(awkward, model).collect()
+    assert sorted(r.doc_id for r in scored) == [1, 2, 3, 3, 4] and scored[0].asDict().keys() == {"doc_id", "score", "spans"}
+    by = {r.doc_id: r for r in scored}
+    assert len({r.score for r in scored if r.doc_id == 3}) == 1 and by[1].score == by[4].score < 0.5
+    assert [(s.start, s.end) for s in by[2].spans] == [(len(long) + 1, len(long) + 8)]
+
+
+def test_pipeline_end_to_end(spark):
+    """Every stage's decisions, on rows whose fate is known; ids are the library's."""
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in ("lo", "mi", "ra", "su", "te", "vo") for b in ("bel", "dan", "gor", "kim", "pet", "sun", "tav", "wix")]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    rows, labels = [], []
+    for i in range(200):
+        words = prose(40).split()
+        if i % 5 == 0:
+            for k in (5, 17, 29):
+                words[k] = rng.choice(["villain", "scoundrel"])
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0), 1))
+    item = prose(20)
+    near = prose(80)
+    rows += [
+        (300, near), (301, near.upper()), (302, near + " end"),  # 300 stays
+        (310, f"{prose(20)} {item} {prose(20)}"),  # contaminated
+        (320, "write to joe.doe@mail.example.com now"), (330, None), (331, ""), (332, "  "), (340, "a scoundrel and a villain"),
+        (350, "twice given"), (350, "twice given"), (None, "no id here"),
+    ]
+    path = workspace(spark, "pipeline-test")
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en", "s", None, "x", "x") for i, t in rows], "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, ids STRING, score STRING"),
+        "labels": spark.createDataFrame(labels, "doc_id BIGINT, toxic INT, quality INT"),
+        "benchmark": spark.createDataFrame([(1, item), (2, None)], "item_id BIGINT, text STRING"),
+    }
+    for name, frame in tables.items():
+        frame.write.parquet(f"{path}/{name}.parquet")
+    got = [(r.doc_id, r.n_tokens, np.frombuffer(r.ids, "<u4").tolist()) for r in corpus_pipeline.run(spark, path).collect()]
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    want = []
+    for i, text in dict.fromkeys(rows):  # rows of one id and text are one document
+        if i in (301, 302, 310, 340) or i is not None and i < 200 and i % 5 == 0:
+            continue
+        ids = library.encode((text or "").replace("joe.doe@mail.example.com", "[EMAIL]"), add_special_tokens=False).ids
+        want.append((i, len(ids), ids))
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 @pytest.mark.parametrize("name", ["op6_decontamination", "op7_jaccard", "op9_suffixes", "op10_pii"])
