@@ -11,7 +11,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Toxic documents go; what toxic means is learned from ``labels`` on these documents."""
+    """Toxic documents go; what toxic means is learned from ``labels`` on these documents.
+
+    Null and empty texts have the score of a text without offending words and stay as they
+    are; rows without id and repeated rows are judged one by one.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(
         docs.select(COLUMNS).withColumn("no_text", F.col("text").isNull()),
@@ -47,7 +51,11 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are contaminated with benchmark items go."""
+    """Documents that are contaminated with benchmark items go.
+
+    Null and empty texts are never contaminated. Rows that share an id, null among them, are
+    judged text by text.
+    """
     found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark"))
     bad = written(found.where("contaminated").select(F.col("doc_id").alias("bad_id"), "text_key").distinct(), "bad")
     text_key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
@@ -56,7 +64,11 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in the texts becomes the name of its kind in brackets."""
+    """Personal data in the texts becomes the name of its kind in brackets.
+
+    Null texts stay null, empty ones empty; every row is kept as often as it comes, and
+    ``n_chars`` is counted anew.
+    """
     found = pii.find_pii(docs, keep=("lang", "source"))
     text = F.when(F.size(pii.all_spans()) > 0, pii.masked(F.col("text"), pii.all_spans())).otherwise(F.col("text"))
     return (
@@ -67,7 +79,10 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts (little-endian unsigned 32-bit) and their number."""
+    """Token ids of the texts (little-endian unsigned 32-bit) and their number.
+
+    A null or empty text has none; every row is kept as often as it comes.
+    """
     coded = bpe.encode_documents(docs, bpe.default_vocabulary())
     return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
