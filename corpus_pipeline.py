@@ -66,8 +66,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts becomes the name of its kind in brackets.
 
-    Null texts stay null, empty ones empty; every row is kept as often as it comes, and
-    ``n_chars`` is counted anew.
+    Null texts become empty; every row is kept as often as it comes, and ``n_chars`` is
+    counted anew.
     """
     found = pii.find_pii(docs, keep=("lang", "source"))
     text = F.when(F.size(pii.all_spans()) > 0, pii.masked(F.col("text"), pii.all_spans())).otherwise(F.col("text"))
