@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.llm.batches import Batches, documents, lower_ascii, map_batches, small
+from pulsegrid.llm.batches import BROADCAST_ROWS, Batches, documents, lower_ascii, map_batches, small
 from pulsegrid.llm.components import connected_components
 from pulsegrid.session import written
 
@@ -39,6 +39,8 @@ FIRST_PARTNERS = 2
 #: Entries of an R-tree's leaf and children of a node.
 LEAF, FANOUT = 16, 8
 MEMO = 100_000
+#: Bytes of a table that is broadcast, and of sets sent in one batch, about.
+BROADCAST_BYTES, SENT_BYTES = 64 << 20, 8 << 20
 
 
 class WordHashes(dict):
@@ -106,13 +108,18 @@ def text_key(text: Column) -> Column:
     return F.xxhash64(lower_ascii(F.coalesce(text, F.lit(""))))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, key (a 64-bit hash of the lower-case text), text as bytes."""
-    text = F.col("text")
-    return docs.select("doc_id", text_key(text).alias("key"), lower_ascii(text).cast("binary").alias("text"))
+def key_of(lowered: bytes) -> int:
+    """What ``text_key`` gives, of a text in lower case."""
+    value = xxhash.xxh64_intdigest(lowered, 42)
+    return value - (1 << 64) if value >> 63 else value
 
 
-def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
+def _raw(docs: DataFrame) -> DataFrame:
+    """doc_id, text as bytes, in whatever case: tasks lower it for less than ``translate``."""
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+
+
+def _sizes_and_frequencies(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray]:
     """Rows (doc_id, key, n) in a written table, and how often each range of hashes occurs
     in the whole corpus: a fixed number of counters, summed in pieces."""
     pieces = 64
@@ -122,13 +129,15 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
         shift = np.uint64(64 - FREQUENCY_BITS)
         for batch in batches:
-            n = []
+            n, keys = [], []
             for text in batch.column("text").to_pylist():
-                found = shingles_of(text, hashes, size)
+                lowered = text.lower()
+                found = shingles_of(lowered, hashes, size)
                 n.append(len(found))
+                keys.append(key_of(lowered))
                 np.add.at(counts, found >> shift, 1)
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
+                [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
                 ["doc_id", "key", "n", "piece", "counts"],
             )
         yield pa.record_batch(
@@ -137,10 +146,10 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
             ["doc_id", "key", "n", "piece", "counts"],
         )
 
-    kind = keyed.schema["doc_id"].dataType
+    kind = docs.schema["doc_id"].dataType
     batch_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind.simpleString()]
     both = written(
-        map_batches(keyed, task, f"doc_id {kind.simpleString()}, key long, n long, piece int, counts binary"), "sizes"
+        map_batches(_raw(docs), task, f"doc_id {kind.simpleString()}, key long, n long, piece int, counts binary"), "sizes"
     )
 
     def add(batches: Batches) -> Batches:
@@ -160,11 +169,11 @@ def _sizes_and_frequencies(keyed: DataFrame, size: int) -> tuple[DataFrame, np.n
     return both.where("piece IS NULL").select("doc_id", "key", "n"), counts
 
 
-def _postings(keyed: DataFrame, frequencies: np.ndarray, size: int, percent: int) -> DataFrame:
+def _postings(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int) -> DataFrame:
     """Shingles with two documents at least and the keys of these: shingle, keys (sorted, at
     most CHUNK). Only a document's rarest shingles count, as many as any partner must share
     one of. They travel packed, a row for each task and range of hashes."""
-    spark = keyed.sparkSession
+    spark = docs.sparkSession
     ranges = max(RANGES, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(np.minimum(frequencies, 2**31 - 1).astype(np.int32))  # 4 MiB
 
@@ -190,7 +199,9 @@ def _postings(keyed: DataFrame, frequencies: np.ndarray, size: int, percent: int
             )
 
         for batch in batches:
-            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            for text in batch.column("text").to_pylist():
+                text = text.lower()
+                key = key_of(text)
                 if key in seen:  # a copy of a text of this task adds nothing
                     continue
                 if len(seen) > MEMO:
@@ -241,7 +252,7 @@ def _postings(keyed: DataFrame, frequencies: np.ndarray, size: int, percent: int
                 shingles, lists = [], []
         yield _block_rows(shingles, lists)
 
-    sent = map_batches(keyed, prefixes, "part long, shingles binary, keys binary")
+    sent = map_batches(_raw(docs).select("text"), prefixes, "part long, shingles binary, keys binary")
     return written(map_batches(sent.repartition("part"), gather, "shingle long, keys array<long>"), "blocks")
 
 
@@ -253,14 +264,26 @@ def _block_rows(shingles: list, lists: list) -> pa.RecordBatch:
     )
 
 
-def _texts_of(keyed: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """One text for each key of ``wanted`` (unique by key), with wanted's other columns."""
+def _texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, weight: Column) -> DataFrame:
+    """One text in lower case for each key of ``wanted`` (unique by key; a row has about
+    ``weight`` bytes), with wanted's other columns; a row that comes twice may give it twice.
+
+    Rows whose id was not chosen are left out first, so few keys are computed.
+    """
     first = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("chosen"))
     chosen = written(wanted.join(first, "key"), "chosen")
-    return keyed.join(small(chosen), "key").where(F.col("doc_id").eqNullSafe(F.col("chosen"))).drop("chosen", "doc_id")
-
-
-def _points(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    count, size = chosen.agg(F.count("*"), F.coalesce(F.sum(weight), F.lit(0))).first()
+    if count <= BROADCAST_ROWS:
+        ids = chosen.select(F.col("chosen").alias("id")).distinct()
+        docs = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
+    lowered = docs.select("doc_id", lower_ascii(F.col("text")).alias("text"))
+    keyed = lowered.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    fits = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    of_key = keyed.join(F.broadcast(chosen) if fits else chosen, "key")
+    return of_key.where(F.col("doc_id").eqNullSafe(F.col("chosen"))).drop("chosen", "doc_id")
+
+
+def _points(docs: DataFrame, rows: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
     """Count vectors of all documents that stand in blocks: key, n, point."""
 
     def vectors(batches: Batches) -> Batches:
@@ -273,8 +296,8 @@ def _points(keyed: DataFrame, rows: DataFrame, blocks: DataFrame, size: int) ->
             )
 
     wanted = blocks.select(F.explode("keys").alias("key")).distinct()
-    found = map_batches(_texts_of(keyed, rows, wanted).select("key", "text"), vectors, "key long, n long, point binary")
-    return written(found, "points").dropDuplicates(["key"])
+    found = map_batches(_texts_of(docs, rows, wanted, F.lit(16)).select("key", "text"), vectors, "key long, n long, point binary")
+    return written(found.dropDuplicates(["key"]), "points")
 
 
 def _within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
@@ -300,7 +323,7 @@ def _within_bound(pairs: DataFrame, points: DataFrame, percent: int) -> DataFram
     return map_batches(near, check, "a long, b long")
 
 
-def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. a's set meets those of its partners,
     SALT of them at a time; one shuffle of the sets, each text read once."""
     pairs = written(pairs, "pairs")
@@ -313,18 +336,24 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, pe
 
     def sets(batches: Batches) -> Batches:
         hashes = WordHashes()
+        kinds = {"a": pa.int64(), "salt": pa.int64(), "own": pa.bool_(), "key": pa.int64(), "set": pa.binary()}
+        found: dict[str, list] = {name: [] for name in kinds}
+        held = 0
+
+        def sent() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(found[name], kind) for name, kind in kinds.items()], list(kinds))
+
         for batch in batches:
-            found: dict[str, list] = {"a": [], "salt": [], "own": [], "key": [], "set": []}
             for key, text, targets in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "to")), strict=True):
                 data = shingles_of(text, hashes, size).tobytes()
                 for to in targets:
                     for name, value in (("a", to["a"]), ("salt", to["salt"]), ("own", to["a"] != key), ("key", key), ("set", data)):
                         found[name].append(value)
-            yield pa.record_batch(
-                [pa.array(found["a"], pa.int64()), pa.array(found["salt"], pa.int64()), pa.array(found["own"], pa.bool_()),
-                 pa.array(found["key"], pa.int64()), pa.array(found["set"], pa.binary())],
-                ["a", "salt", "own", "key", "set"],
-            )
+                    held += len(data)
+                    if held >= SENT_BYTES:
+                        yield sent()
+                        found, held = {name: [] for name in kinds}, 0
+        yield sent()
 
     def compare(batches: Batches) -> Batches:
         place, head = None, np.zeros(0, np.uint64)
@@ -343,7 +372,7 @@ def _verified(keyed: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, pe
                             b_out.append(key)
             yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
 
-    sent = map_batches(_texts_of(keyed, rows, targets), sets, "a long, salt long, own boolean, key long, set binary")
+    sent = map_batches(_texts_of(docs, rows, targets, 32 + 24 * F.size("to")), sets, "a long, salt long, own boolean, key long, set binary")
     dealt = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "own")
     return written(map_batches(dealt, compare, "a long, b long"), "links")
 
@@ -359,6 +388,19 @@ def tree_pairs(
     if it is one.
     """
     n = len(sizes)
+    if n <= LEAF:  # the tree is one leaf
+        i, j = np.triu_indices(n, 1)
+        near = (groups[i] != groups[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
+        i, j = i[near], j[near]
+        bound = np.minimum(vectors[i], vectors[j]).sum(1, dtype=np.int64)
+        good = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
+        i, j, bound = i[good], j[good], bound[good]
+        if most is not None and len(i):
+            best = np.lexsort((-bound / (sizes[i] + sizes[j]), i))
+            i, j = i[best], j[best]
+            kept = np.arange(len(i)) - np.searchsorted(i, i) < most
+            i, j = i[kept], j[kept]
+        return i, j
     order = np.lexsort((*(vectors[:, k] for k in np.argsort(-vectors.var(0))[:3]), sizes))
     v, s, g = vectors[order].astype(np.int16 if sizes.max(initial=0) <= MOST else np.int32), sizes[order], groups[order]
 
@@ -405,14 +447,32 @@ def tree_pairs(
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Candidate pairs within blocks but across components, from R-trees."""
-    members = blocks.select("shingle", F.explode("keys").alias("key")).join(
-        small(roots.select(F.col("node").alias("key"), "root")), "key", "left"
-    ).select("shingle", "key", F.coalesce("root", "key").alias("root"))
+def may_pair(sizes: np.ndarray, groups: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows have another one of a different group whose size allows the similarity."""
+    ranks = np.unique(groups, return_inverse=True)[1].astype(np.int64) << 40  # sets are smaller than that
+    least, most = -(-percent * sizes // 100), 100 * sizes // percent
+
+    def within(values: np.ndarray, of: np.ndarray | int) -> np.ndarray:
+        return np.searchsorted(values, of + most, "right") - np.searchsorted(values, of + least, "left")
+
+    return within(np.sort(sizes), 0) > within(np.sort(ranks + sizes), ranks)
+
+
+def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int, most: int | None) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) within blocks but across components, from R-trees; and the
+    shingles of blocks that may hold more pairs than ``most`` a row let through.
+
+    Rows that have no partner of their size in another component leave a tree before the
+    count vectors are sent.
+    """
+    members = (
+        blocks.select("shingle", F.explode("keys").alias("key"))
+        .join(small(roots.select(F.col("node").alias("key"), "root")), "key", "left")
+        .select("shingle", "key", F.coalesce("root", "key").alias("root"))
+    )
     mixed = members.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("m"))
     mixed = mixed.where("low <> high").select("shingle", "m")
-    rest = written(members.join(mixed, "shingle"), "members")
+    rest = written(members.join(mixed, "shingle").join(small(points.select("key", "n")), "key"), "members")
 
     # a block of more than CHUNK documents is dealt to pairs of its parts
     parts = F.greatest(F.ceil(F.col("m") / (CHUNK // 2)), F.lit(1))
@@ -420,41 +480,75 @@ def _across(blocks: DataFrame, roots: DataFrame, points: DataFrame, percent: int
         rest.withColumn("parts", parts.cast("int"))
         .withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("shingle", "key", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+        .select("shingle", "key", "root", "n", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
     )
     trees = (
         dealt.groupBy("shingle", "p", "q")
-        .agg(F.sort_array(F.collect_set(F.struct("key", "root"))).alias("members"))
+        .agg(F.sort_array(F.collect_set(F.struct("key", "root", "n"))).alias("members"))
         .groupBy("members")
-        .agg(F.min("shingle").alias("tree"))
+        .agg(F.min("shingle").alias("shingle"))
     )
     trees = written(trees.withColumn("tree", F.xxhash64("members")), "trees")
-    entries = trees.select("tree", F.explode("members").alias("e")).select("tree", "e.*").join(points, "key")
+
+    def prune(batches: Batches) -> Batches:
+        for batch in batches:
+            lists = batch.column("members")
+            flat = lists.flatten()
+            key, root, n = (flat.field(k).to_numpy() for k in range(3))
+            lengths = lists.value_lengths().to_numpy()
+            ends = np.cumsum(lengths)
+            tree = np.repeat(batch.column("tree").to_numpy(), lengths)
+            kept = np.zeros(len(key), bool)
+            for start, end in zip((ends - lengths).tolist(), ends.tolist(), strict=True):
+                kept[start:end] = may_pair(n[start:end], root[start:end], percent)
+            yield pa.record_batch([pa.array(x[kept]) for x in (tree, key, root, n)], ["tree", "key", "root", "n"])
+
+    entries = map_batches(trees.select("tree", "members"), prune, "tree long, key long, root long, n long")
+    entries = entries.join(points.select("key", "point"), "key")
 
     def search(batches: Batches) -> Batches:
         tree, held = None, []
 
-        def pairs() -> np.ndarray:
+        def pairs() -> tuple[np.ndarray, bool]:
             if len(held) < 2:
-                return np.zeros((0, 2), np.int64)
+                return np.zeros((0, 2), np.int64), False
             keys = np.array([x[0] for x in held])
             points = [np.frombuffer(x[3], np.uint8) for x in held]
             sizes = np.array([x[2] for x in held])
             i, j = tree_pairs(vectors_of(points, sizes), sizes, np.array([x[1] for x in held]), percent, most)
-            return np.sort(np.column_stack([keys[i], keys[j]]), axis=1)
+            more = most is not None and len(i) > 0 and bool(np.bincount(i).max() >= most)
+            # the tree's vectors are as short as its shortest; a pair's own may tell more
+            near = [
+                (100 + percent) * most_shared(points[x], points[y]) >= percent * int(sizes[x] + sizes[y])
+                for x, y in zip(i.tolist(), j.tolist(), strict=True)
+            ]
+            near = np.array(near, bool)
+            return np.sort(np.column_stack([keys[i[near]], keys[j[near]]]), axis=1), more
+
+        def found(out: list[np.ndarray], unfinished: list[int]) -> pa.RecordBatch:
+            rows = _pair_rows(np.concatenate(out))
+            a = pa.concat_arrays([rows.column("a"), pa.array(unfinished, pa.int64())])
+            return pa.record_batch([a, pa.concat_arrays([rows.column("b"), pa.nulls(len(unfinished), pa.int64())])], ["a", "b"])
 
         for batch in batches:
-            out = [np.zeros((0, 2), np.int64)]
+            out, unfinished = [np.zeros((0, 2), np.int64)], []
             for t, key, root, n, point in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if t != tree:
-                    out.append(pairs())
+                    near, more = pairs()
+                    out.append(near)
+                    if more:
+                        unfinished.append(tree)
                     tree, held = t, []
                 held.append((key, root, n, point))
-            yield _pair_rows(np.concatenate(out))
-        yield _pair_rows(pairs())
+            yield found(out, unfinished)
+        near, more = pairs()
+        yield found([near], [tree] if more else [])
 
     dealt = entries.select("tree", "key", "root", "n", "point").repartition("tree").sortWithinPartitions("tree")
-    return map_batches(dealt, search, "a long, b long")
+    both = written(map_batches(dealt, search, "a long, b long"), "candidates")
+    unfinished = both.where("b IS NULL").select(F.col("a").alias("tree")).distinct()
+    shingles = trees.select("tree", "shingle").join(unfinished, "tree").select("shingle").distinct()
+    return both.where("b IS NOT NULL").distinct(), shingles
 
 
 def _pair_rows(pairs: np.ndarray) -> pa.RecordBatch:
@@ -478,10 +572,10 @@ def similar_documents(
     shingles are told apart by 64-bit hashes. With ``keys`` also text_key and
     root, a component's own number, null without shingles.
     """
-    keyed = _keyed(documents(docs, id_col, text_col))
-    rows, frequencies = _sizes_and_frequencies(keyed, words)
-    blocks = _postings(keyed, frequencies, words, percent)
-    points = _points(keyed, rows, blocks, words)
+    texts = documents(docs, id_col, text_col)
+    rows, frequencies = _sizes_and_frequencies(texts, words)
+    blocks = _postings(texts, frequencies, words, percent)
+    points = _points(texts, rows, blocks, words)
     # one or two partners a document: the smallest head of its blocks, and its largest block's
     head = F.struct(F.element_at("keys", 1).alias("a"), F.size("keys").alias("m"))
     stars = (
@@ -492,14 +586,18 @@ def similar_documents(
         .where("a <> b")
     )
     stars = _within_bound(stars, points, percent)
-    near = _verified(keyed, rows, stars, words, percent)
+    near = _verified(texts, rows, stars, words, percent)
     # Each document's most promising partners in other components first: most components
-    # grow together over these. Then all that the trees let pass between what is left.
-    links, roots = near, connected_components(near)
+    # grow together over these. Then all that the trees let pass between what is left, in
+    # the blocks where a document may have had more partners than these.
+    links, roots, open_blocks = near, connected_components(near), blocks
     for most in (FIRST_PARTNERS, None):
-        candidates = _across(blocks, roots, points, percent, most).distinct()
-        links = links.unionByName(_verified(keyed, rows, candidates, words, percent))
+        candidates, unfinished = _across(open_blocks, roots, points, percent, most)
+        links = links.unionByName(_verified(texts, rows, candidates, words, percent))
         roots = connected_components(links)
+        if unfinished.isEmpty():
+            break
+        open_blocks = written(blocks.join(small(unfinished), "shingle", "left_semi"), "open")
     placed = rows.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").select(
         "doc_id", "n", "key", F.when(F.col("n") > 0, F.coalesce("root", "key")).alias("root")
     )
