@@ -9,6 +9,7 @@ Surviving pairs are verified on the sets themselves.
 """
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,40 +38,43 @@ CHUNK, SALT = 4096, 64
 #: Partners of a document in the first search of a tree.
 FIRST_PARTNERS = 2
 #: Entries of an R-tree's leaf and children of a node.
-LEAF, FANOUT = 16, 8
+LEAF, FANOUT = 64, 8
 MEMO = 100_000
 #: Bytes of a table that is broadcast, and of sets sent in one batch, about.
 BROADCAST_BYTES, SENT_BYTES = 64 << 20, 8 << 20
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
-
-
-def shingles_of(text: bytes, hashes: WordHashes, size: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a lower-case text's shingles.
-
-    Words are what ASCII white space separates. A text of fewer words is one shingle.
-    """
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    if len(h) < size:
-        size = len(h)
-    total = np.full(len(h) - size + 1, size, np.uint64)
+def _windows(h: np.ndarray, size: int) -> np.ndarray:
+    """A hash of every ``size`` consecutive words, given theirs."""
+    total = np.full(max(len(h) - size + 1, 0), size, np.uint64)
     for i in range(size):
         total *= np.uint64(0x9E3779B97F4A7C15)
-        total += h[i : len(h) - size + 1 + i]
+        total += h[i : i + len(total)]
         total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
-    return np.unique(total)
+    return total
+
+
+def shingle_sets(texts: list[bytes], size: int = WORDS) -> list[np.ndarray]:
+    """Sorted distinct 64-bit hashes of the shingles of each lower-case text.
+
+    Words are what ASCII white space separates. A text of fewer words is one shingle. The
+    texts of a batch are hashed in one go; windows across two texts are left out.
+    """
+    words = [text.split() for text in texts]
+    ends = np.cumsum([len(x) for x in words], dtype=np.int64).tolist()
+    h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, chain.from_iterable(words))), ">u8").astype(np.uint64)
+    total, start, found = _windows(h, size), 0, []
+    for end in ends:
+        if end - start < size:
+            values = _windows(h[start:end], end - start) if end > start else np.zeros(0, np.uint64)
+        else:
+            values = np.sort(total[start : end - size + 1])
+            values = values[np.append(True, values[1:] != values[:-1])]
+        found.append(values)
+        start = end
+    return found
 
 
 def point_of(shingles: np.ndarray) -> np.ndarray:
@@ -125,16 +129,14 @@ def _sizes_and_frequencies(docs: DataFrame, size: int) -> tuple[DataFrame, np.nd
     pieces = 64
 
     def task(batches: Batches) -> Batches:
-        hashes = WordHashes()
         counts = np.zeros(1 << FREQUENCY_BITS, np.int64)
         shift = np.uint64(64 - FREQUENCY_BITS)
         for batch in batches:
             n, keys = [], []
-            for text in batch.column("text").to_pylist():
-                lowered = text.lower()
-                found = shingles_of(lowered, hashes, size)
+            texts = [text.lower() for text in batch.column("text").to_pylist()]
+            for text, found in zip(texts, shingle_sets(texts, size), strict=True):
                 n.append(len(found))
-                keys.append(key_of(lowered))
+                keys.append(key_of(text))
                 np.add.at(counts, found >> shift, 1)
             yield pa.record_batch(
                 [batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
@@ -178,7 +180,7 @@ def _postings(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
     shared = spark.sparkContext.broadcast(np.minimum(frequencies, 2**31 - 1).astype(np.int32))  # 4 MiB
 
     def prefixes(batches: Batches) -> Batches:
-        hashes, counts, shift = WordHashes(), shared.value, np.uint64(64 - FREQUENCY_BITS)
+        counts, shift = shared.value, np.uint64(64 - FREQUENCY_BITS)
         seen: set[int] = set()
         parts: list[tuple[np.ndarray, int]] = []
         gathered = 0
@@ -199,15 +201,17 @@ def _postings(docs: DataFrame, frequencies: np.ndarray, size: int, percent: int)
             )
 
         for batch in batches:
+            fresh = {}
             for text in batch.column("text").to_pylist():
-                text = text.lower()
-                key = key_of(text)
+                lowered = text.lower()
+                key = key_of(lowered)
                 if key in seen:  # a copy of a text of this task adds nothing
                     continue
                 if len(seen) > MEMO:
                     seen.clear()
                 seen.add(key)
-                found = shingles_of(text, hashes, size)
+                fresh[key] = lowered
+            for key, found in zip(fresh, shingle_sets(list(fresh.values()), size), strict=True):
                 if not len(found):
                     continue
                 length = len(found) - -(-percent * len(found) // 100) + 1
@@ -276,7 +280,8 @@ def _texts_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame, weight: Colum
     if count <= BROADCAST_ROWS:
         ids = chosen.select(F.col("chosen").alias("id")).distinct()
         docs = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["id"]), "left_semi")
-    lowered = docs.select("doc_id", lower_ascii(F.col("text")).alias("text"))
+    ascii_only = F.octet_length("text") == F.char_length("text")  # lower() is as good there and cheaper
+    lowered = docs.select("doc_id", F.when(ascii_only, F.lower("text")).otherwise(lower_ascii(F.col("text"))).alias("text"))
     keyed = lowered.select("doc_id", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     fits = count <= BROADCAST_ROWS and size <= BROADCAST_BYTES
     of_key = keyed.join(F.broadcast(chosen) if fits else chosen, "key")
@@ -287,9 +292,8 @@ def _points(docs: DataFrame, rows: DataFrame, blocks: DataFrame, size: int) -> D
     """Count vectors of all documents that stand in blocks: key, n, point."""
 
     def vectors(batches: Batches) -> Batches:
-        hashes = WordHashes()
         for batch in batches:
-            sets = [shingles_of(t, hashes, size) for t in batch.column("text").to_pylist()]
+            sets = shingle_sets(batch.column("text").to_pylist(), size)
             yield pa.record_batch(
                 [batch.column("key"), pa.array(map(len, sets), pa.int64()), pa.array([point_of(x).tobytes() for x in sets], pa.binary())],
                 ["key", "n", "point"],
@@ -335,7 +339,6 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, per
     targets = partners.unionByName(heads).groupBy("key").agg(F.collect_set("to").alias("to"))
 
     def sets(batches: Batches) -> Batches:
-        hashes = WordHashes()
         kinds = {"a": pa.int64(), "salt": pa.int64(), "own": pa.bool_(), "key": pa.int64(), "set": pa.binary()}
         found: dict[str, list] = {name: [] for name in kinds}
         held = 0
@@ -344,8 +347,9 @@ def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int, per
             return pa.record_batch([pa.array(found[name], kind) for name, kind in kinds.items()], list(kinds))
 
         for batch in batches:
-            for key, text, targets in zip(*(batch.column(c).to_pylist() for c in ("key", "text", "to")), strict=True):
-                data = shingles_of(text, hashes, size).tobytes()
+            sets = shingle_sets(batch.column("text").to_pylist(), size)
+            for key, values, targets in zip(batch.column("key").to_pylist(), sets, batch.column("to").to_pylist(), strict=True):
+                data = values.tobytes()
                 for to in targets:
                     for name, value in (("a", to["a"]), ("salt", to["salt"]), ("own", to["a"] != key), ("key", key), ("set", data)):
                         found[name].append(value)
@@ -392,7 +396,9 @@ def tree_pairs(
         i, j = np.triu_indices(n, 1)
         near = (groups[i] != groups[j]) & (100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j]))
         i, j = i[near], j[near]
-        bound = np.minimum(vectors[i], vectors[j]).sum(1, dtype=np.int64)
+        step = max(1, SENT_BYTES // max(1, vectors[0].nbytes)) if n else 1
+        cuts = [slice(at, at + step) for at in range(0, len(i), step)]
+        bound = np.concatenate([np.zeros(0, np.int64), *(np.minimum(vectors[i[c]], vectors[j[c]]).sum(1, dtype=np.int64) for c in cuts)])
         good = (100 + percent) * bound >= percent * (sizes[i] + sizes[j])
         i, j, bound = i[good], j[good], bound[good]
         if most is not None and len(i):
