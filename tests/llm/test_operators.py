@@ -774,3 +774,39 @@ def test_pii_sql_on_awkward_texts(spark):
     cursor = connection.execute(oracles.OP10)
     columns = [c[0] for c in cursor.description]
     assert pairs(queries.op10_pii(spark, path), *columns) == sorted(cursor.fetchall(), key=repr)
+
+
+def test_keys_of_tasks_are_those_of_columns(spark):
+    values = ["", "Plain ASCII Text", "ÄÖ Straße İ", "x" * 5000, "A\tB"]
+    rows = spark.createDataFrame([(v,) for v in values], "text STRING").select("text", jaccard.text_key(F.col("text")).alias("key"))
+    assert [r.key for r in rows.collect()] == [jaccard.key_of(v.encode().lower()) for v in values]
+
+
+def test_shingles_of_a_batch_do_not_cross_texts():
+    batch = [b"a b c d e f", b"", b"a b", b"c d e f g", b"a b c d e f a b c d e f", b" \t "]
+    found = jaccard.shingle_sets(batch)
+    assert [len(x) for x in found] == [len(shingles(t.decode())) for t in batch]
+    assert all((x == jaccard.shingle_sets([t])[0]).all() for x, t in zip(found, batch, strict=True))
+    assert jaccard.shingle_sets([]) == []
+
+
+def test_rows_stay_that_have_a_partner_of_their_size():
+    rng = np.random.default_rng(4)
+    sizes, groups = rng.integers(1, 400, 150), rng.integers(-5, 6, 150) * (1 << 60)
+    for n in (0, 1, 2, 20, 150):
+        s, g = sizes[:n], groups[:n]
+        want = [any(g[i] != g[j] and 100 * min(s[i], s[j]) >= 75 * max(s[i], s[j]) for j in range(n)) for i in range(n)]
+        assert jaccard.may_pair(s, g, 75).tolist() == want
+
+
+def test_a_tree_of_one_leaf_finds_what_a_deep_one_does(monkeypatch):
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 5, (6, 32))
+    points = base[rng.integers(0, 6, 60)] + (rng.random((60, 32)) < 0.1)
+    sizes, groups = points.sum(1), rng.integers(0, 5, 60)
+    whole = {tuple(sorted(p)) for p in np.column_stack(jaccard.tree_pairs(points, sizes, groups, 75)).tolist()}
+    best = jaccard.tree_pairs(points, sizes, groups, 75, most=2)
+    monkeypatch.setattr(jaccard, "LEAF", 4)
+    deep = {tuple(sorted(p)) for p in np.column_stack(jaccard.tree_pairs(points, sizes, groups, 75)).tolist()}
+    assert whole == deep and len(whole) > 2
+    assert np.bincount(best[0]).max() == 2 and {tuple(sorted(p)) for p in np.column_stack(best).tolist()} <= whole
