@@ -30,3 +30,10 @@ def json_reply(answer: DataFrame, *keys: str) -> DataFrame:
     """
     objects = F.array_sort(F.collect_list(_fields(answer)))
     return answer.groupBy(*keys).agg(F.to_json(objects).alias("json"))
+
+
+def json_listed(answers: DataFrame, *keys: str) -> DataFrame:
+    """As ``json_reply``, of ``answers`` that are one list each, in the order of the list."""
+    fields = ", ".join(f"'{name}', a.{column}" for name, column in JSON_FIELDS.items())
+    objects = F.expr(f"transform(answers, a -> named_struct({fields}))")
+    return answers.select(*keys, F.to_json(objects).alias("json"))
