@@ -116,7 +116,9 @@ def _requests(spark, sf_dir):
 
 
 def _requests_json(spark, sf_dir):
-    return render.json_reply(_requests(spark, sf_dir), "request_id")
+    rows = tables.messages(spark, sf_dir)
+    answers = many.listed_requests(rows, synthesis.rollup(rows), tables.requests(spark, sf_dir))
+    return render.json_listed(answers, "request_id")
 
 
 def _dedup_first(spark, sf_dir):
