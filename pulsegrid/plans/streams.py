@@ -33,6 +33,14 @@ from pulsegrid.streaming.live import (
 )
 
 FILES_PER_BATCH = 3
+# A task writes one file: large tables arrive in more files, of about so many rows, and in as
+# many batches as small ones.
+ROWS_PER_FILE = 500_000
+
+
+def _times_more_files(rows: int, files: int) -> int:
+    """How many times ``files`` it takes for files of ROWS_PER_FILE."""
+    return max(-(-rows // (files * ROWS_PER_FILE)), 1)
 
 
 class _Run:
@@ -43,15 +51,22 @@ class _Run:
         self.folder = workspace(spark, "stream")
         self.log = f"{self.folder}/log"
         self.store = Store(spark, root or f"{self.folder}/store", stream_id=stream_id)
+        self.times = 1
 
-    def arrive(self, raw: DataFrame, files: int | None = None) -> "_Run":
+    def arrive(self, raw: DataFrame, files: int | None = None, rows: int = 0, padding: int = 0) -> "_Run":
+        """``rows`` tells the size of a table that may be large; its lines get ``padding``
+        blanks on their way to the files."""
         # Several files even from a small table, so that there are several batches.
         files = files or self.spark.sparkContext.defaultParallelism
-        raw.repartition(files).write.mode("append").text(self.log)
+        self.times = _times_more_files(rows, files)
+        dealt = raw.repartition(files * self.times)
+        if padding:
+            dealt = dealt.select(F.concat("raw", F.repeat(F.lit(" "), padding)).alias("raw"))
+        dealt.write.mode("append").text(self.log)
         return self
 
     def ingest(self, max_files: int | None = FILES_PER_BATCH, **options) -> "_Run":
-        raw = text_stream(self.spark, self.log, max_files)
+        raw = text_stream(self.spark, self.log, max_files and max_files * self.times)
         flush(self.store, raw, f"{self.folder}/checkpoint", **options)
         return self
 
@@ -108,9 +123,10 @@ def _any_split(spark, sf_dir):
     """Every event and then its repetition, once in one batch and once in several: the first
     to arrive stays."""
     first, again = _twice(spark, sf_dir)
-    whole = _Run(spark).arrive(first).arrive(again).ingest(max_files=None, unique_ids=True)
-    parts = _Run(spark).arrive(first).ingest(unique_ids=True)
-    parts.arrive(again).ingest(unique_ids=True)
+    rows = first.count()
+    whole = _Run(spark).arrive(first, rows=rows).arrive(again, rows=rows).ingest(max_files=None, unique_ids=True)
+    parts = _Run(spark).arrive(first, rows=rows).ingest(unique_ids=True)
+    parts.arrive(again, rows=rows).ingest(unique_ids=True)
     return whole.store.messages().select(_STORED).unionAll(parts.store.messages().select(_STORED))
 
 
@@ -118,8 +134,9 @@ def _unlike_files(spark, sf_dir):
     """Older small files and newer ones many times their size, in one batch: Spark deals large
     files out first, yet the rows of the older ones stay, and the newer ones are turned away."""
     first, again = _twice(spark, sf_dir)
-    wide = again.select(F.concat("raw", F.repeat(F.lit(" "), 2_000)).alias("raw"))
-    run = _Run(spark).arrive(first, files=16).arrive(wide, files=2).ingest(max_files=None, unique_ids=True)
+    times = _times_more_files(first.count(), 2)
+    run = _Run(spark).arrive(first, files=16 * times).arrive(again, files=2 * times, padding=2_000)
+    run.ingest(max_files=None, unique_ids=True)
     batches = run.store.commits().agg(F.count(F.lit(1)).alias("batches"))
     return run.store.messages().select(_STORED).join(F.broadcast(batches))
 
@@ -254,8 +271,9 @@ def _table_stream(spark, folder, rows: DataFrame) -> DataFrame:
     """``rows`` as a stream of several files and so several micro-batches."""
     use_rocksdb_state(spark)
     path = f"{folder}/input"
-    rows.repartition(2 * FILES_PER_BATCH).write.parquet(path)
-    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH)
+    times = _times_more_files(rows.count(), 2 * FILES_PER_BATCH)
+    rows.repartition(2 * FILES_PER_BATCH * times).write.parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_PER_BATCH * times)
     return reader.parquet(path)
 
 
