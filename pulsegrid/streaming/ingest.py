@@ -61,10 +61,11 @@ def load_batch(
     partials cannot be un-merged. The ids stored before are looked up in the store's
     index of ids, which such batches keep.
     """
-    # Spills to disk; a lost executor's part is read and parsed again.
-    read = read_messages(raw, require_id=unique_ids, **parse_options).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    # Spills to disk; a lost executor's part is read and parsed again. The text of good rows,
+    # often most of a row, is not needed any more.
+    read = read_messages(raw, require_id=unique_ids, **parse_options)
+    text = F.when(F.col("reason").isNotNull(), F.col("raw"))
+    read = read.withColumn("raw", text).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         good, bad = accepted(numbered(read, batch_id)), quarantined(read)
         if unique_ids:

@@ -1,3 +1,4 @@
+import glob
 import json
 
 import expected
@@ -5,9 +6,11 @@ import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
 
+from pulsegrid.plans import streams
 from pulsegrid.session import workspace
 from pulsegrid.sources.messages import DUPLICATE_ID
 from pulsegrid.storage.store import Store
+from pulsegrid.streaming import ingest
 from pulsegrid.streaming.ingest import flush, load_batch, start_ingest, text_stream
 from pulsegrid.streaming.live import trailing_hour_writer, unique_stream, use_rocksdb_state
 
@@ -217,3 +220,33 @@ def test_late_new_id_passes_the_stateful_dedup(spark, feed):
     )
     query.awaitTermination()
     assert rows_of(spark.read.schema("id STRING").parquet(f"{feed.root}/late")) == [("a",), ("old",)]
+
+
+def _parts(folder):
+    return len(glob.glob(f"{folder}/part-*"))
+
+
+def test_large_tables_arrive_in_more_files_and_as_many_batches(spark, monkeypatch):
+    """A task writes a file, so its share must not grow with the table."""
+    monkeypatch.setattr(streams, "ROWS_PER_FILE", 50)
+    rows = spark.range(3_000).selectExpr("id", "cast(id AS STRING) AS raw")
+    folder = workspace(spark, "many-files")
+    streams._table_stream(spark, folder, rows)
+    assert _parts(f"{folder}/input") == 60
+    run = streams._Run(spark).arrive(rows.select("raw"), files=6, rows=3_000, padding=5)
+    assert _parts(run.log) == 60 and run.times * streams.FILES_PER_BATCH == 30
+    assert spark.read.text(run.log).filter("value LIKE '%     '").count() == 3_000
+    monkeypatch.undo()
+    assert streams._Run(spark).arrive(rows.select("raw"), files=6, rows=3_000).times == 1
+
+
+def test_text_of_good_rows_is_not_kept(spark, monkeypatch):
+    held = []
+    numbered = ingest.numbered
+    monkeypatch.setattr(ingest, "numbered", lambda read, batch_id: held.append(read) or numbered(read, batch_id))
+    good = '{"id":"a","timestamp":"2016-05-20T10:00:00Z","sensorType":1,"value":2}' + " " * 500
+    raw = spark.createDataFrame([(good,), ("rubbish",)], "raw STRING")
+    store = Store(spark, workspace(spark, "store"), stream_id="text")
+    assert ingest.load_batch(store, raw, 0)
+    assert [r.raw for r in held[0].collect() if r.raw is not None] == ["rubbish"]
+    assert [r.raw for r in store.quarantine().collect()] == ["rubbish"] and store.messages().count() == 1
