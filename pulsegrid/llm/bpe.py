@@ -8,9 +8,11 @@ marks, and the English clitics; bytes stand for themselves in a 256-letter alpha
 import json
 import unicodedata
 from functools import cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -24,7 +26,8 @@ AT_ONCE = 1 << 20
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
-NO_MERGE = 1 << 30
+#: Rank of what is no pair, and the symbol of a place without one.
+NO_MERGE, NO_SYMBOL = 1 << 30, 1 << 19
 
 
 def _byte_letters() -> list[str]:
@@ -93,6 +96,50 @@ def merge_word(ids: list[int], merges: dict[int, tuple[int, int]]) -> list[int]:
     return [x for x in symbols if x >= 0]
 
 
+def _strings(array: pa.StringArray) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def _slices(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """``counts`` values from each of ``starts`` on, one slice after another."""
+    ends = np.cumsum(counts)
+    at = np.arange(ends[-1] if len(ends) else 0)
+    at += np.repeat(starts - ends + counts, counts)
+    return values[at]
+
+
+class Memo:
+    """Ids of strings. They lie in arrays, so that those of many strings are taken at once."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.ids = np.array([], "<u4")
+        self.starts = self.counts = np.array([], np.int64)
+
+    def __len__(self) -> int:
+        return len(self.place)
+
+    def places(self, strings: list[str]) -> tuple[np.ndarray, list[str]]:
+        """The place of each of different strings, and those not known yet: they are to be added
+        in this order, and have the places they get then."""
+        places = np.fromiter(map(self.place.get, strings, repeat(-1)), np.int64, len(strings))
+        new = np.flatnonzero(places < 0)
+        places[new] = len(self) + np.arange(len(new))
+        return places, [strings[i] for i in new.tolist()]
+
+    def add(self, strings: list[str], ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> None:
+        """Take in strings not known yet; those of a string are ``counts`` of ``ids`` from ``starts`` on."""
+        self.place.update(zip(strings, range(len(self), len(self) + len(strings)), strict=True))
+        self.starts = np.concatenate([self.starts, starts + len(self.ids)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def take(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings at ``places``, one string after another, and how many each has."""
+        counts = self.counts[places]
+        return _slices(self.ids, self.starts[places], counts), counts
+
+
 class Encoder:
     """Texts to ids and back, by one vocabulary file."""
 
@@ -111,15 +158,26 @@ class Encoder:
         letters = _byte_letters()
         self.inner = np.array([vocab[x] for x in letters])
         self.last = np.array([vocab[x + end] for x in letters])
-        added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: token for token, i in (vocab | added).items()}
-        self.added = {token: np.array([i], "<u4").tobytes() for token, i in added.items()}
-        self.memo = dict(self.added)
-        self.known: dict[str, bytes] = {}
+        # ranks of two bytes that stand together, by left << 8 | right
+        self.inner_ranks = self._rank(np.repeat(self.inner, 256), np.tile(self.inner, 256))
+        self.last_ranks = self._rank(np.repeat(self.inner, 256), np.tile(self.last, 256))
+        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.tokens = {i: token for token, i in (vocab | self.added).items()}
         self.solid = regex.compile(r"\P{White_Space}+")
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
-        words = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
+        words = r"\p{L}+|'s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\p{White_Space}\p{L}\p{N}]+"
         self.words = regex.compile(words)
+        self.words_and_blanks = regex.compile(r"\p{L}+| |" + words)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what was remembered, at the end of a task."""
+        self.known, self.memo = Memo(), self._added_alone()
+
+    def _added_alone(self) -> Memo:
+        memo, each = Memo(), np.arange(len(self.added))
+        memo.add([*self.added], np.array([*self.added.values()], "<u4"), each, np.ones_like(each))
+        return memo
 
     def split(self, text: str) -> list[str]:
         """The words of a text; added tokens stand alone and are not normalized."""
@@ -145,33 +203,21 @@ class Encoder:
         No word crosses white space, so what stands between white space is looked up as it
         is written; only what is not known yet is normalized, cut into words and merged.
         """
-        split = [self._stretches(text) for text in texts]
-        new = set().union(*split).difference(self.known)
+        stretches, in_text = self._stretches(texts)
+        coded = stretches.dictionary_encode()
+        distinct = _strings(coded.dictionary)
+        places, new = self.known.places(distinct)
         if len(self.known) + len(new) > self.stretches:
-            self.known = {}
-            new = set().union(*split)
+            self.known = Memo()
+            places, new = self.known.places(distinct)
         if len(self.memo) > MEMO_WORDS:
-            self.memo = dict(self.added)
-        cut = self._cut(new)
-        self._learn(list({word for _, words in cut for word in words}.difference(self.memo)))
-        memo = self.memo
-        for stretch, words in cut:
-            self.known[stretch] = memo[words[0]] if len(words) == 1 else b"".join([memo[w] for w in words])
-        return [b"".join(map(self.known.__getitem__, stretches)) for stretches in split]
-
-    def _cut(self, stretches: set[str]) -> list[tuple[str, list[str]]]:
-        """Each stretch with its words; all are normalized in one string, blanks between. Most
-        are letters alone or letters and one mark, which needs no pattern."""
-        plain = [x for x in stretches if "<|" not in x]
-        cut = []
-        for x, piece in zip(plain, self._normalized(" ".join(plain)).split(" ") if plain else (), strict=True):
-            if piece.isalpha():
-                cut.append((x, [piece]))
-            elif piece[-1] in ".,;:!?" and piece[:-1].isalpha():
-                cut.append((x, [piece[:-1], piece[-1]]))
-            else:
-                cut.append((x, self.words.findall(piece)))
-        return cut + [(x, self.split(x)) for x in stretches if "<|" in x]
+            self.memo = self._added_alone()
+        if new:
+            self._learn_stretches(new)
+        ids, counts = self.known.take(places[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum(in_text)].tolist()
+        data = ids.tobytes()
+        return [data[4 * start : 4 * end] for start, end in zip([0, *ends], ends, strict=False)]
 
     def batches_of(self, texts: list[str]) -> list[bytes]:
         """``encode_batch`` of as many texts at once as are about AT_ONCE code points long."""
@@ -186,35 +232,73 @@ class Encoder:
                 some, size = [], 0
         return out + self.encode_batch(some)
 
-    def forget(self) -> None:
-        """Drop what was remembered, at the end of a task."""
-        self.known, self.memo = {}, dict(self.added)
+    def _stretches(self, texts: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """What stands between white space in the texts, and how many of these each text has.
 
-    def _stretches(self, text: str) -> list[str]:
-        # str.split() also cuts at four control characters that are no white space here
-        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
-            return self.solid.findall(text)
-        return text.split()
+        Empty strings may be among them; they have no ids.
+        """
+        # Arrow and str.split() also cut at four control characters that are no white space here
+        odd = [any(mark in text for mark in "\x1c\x1d\x1e\x1f") for text in texts]
+        if any(odd):
+            cut = [self.solid.findall(text) if is_odd else text.split() for text, is_odd in zip(texts, odd, strict=True)]
+            return pa.array(chain.from_iterable(cut), pa.string()), np.array([len(x) for x in cut])
+        lists = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        return lists.flatten(), lists.value_lengths().to_numpy()
 
     def encode(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
+    def _learn_stretches(self, new: list[str]) -> None:
+        """Put stretches into their memo."""
+        words, counts = self._cut(new)
+        coded = words.dictionary_encode()
+        places, unknown = self.memo.places(_strings(coded.dictionary))
+        if unknown:
+            self._learn(unknown)
+        ids, of_word = self.memo.take(places[coded.indices.to_numpy()])
+        ends = np.concatenate([[0], np.cumsum(of_word)])[np.cumsum(counts)]
+        starts = np.concatenate([[0], ends[:-1]])
+        self.known.add(new, ids, starts, ends - starts)
+
+    def _cut(self, stretches: list[str]) -> tuple[pa.StringArray, np.ndarray]:
+        """The words of all stretches and how many each has; all without an added token are
+        normalized and cut in one string, blanks between."""
+        special = {i: self.split(x) for i, x in enumerate(stretches) if "<|" in x}
+        joined = self._normalized(" ".join(["" if i in special else x for i, x in enumerate(stretches)] if special else stretches))
+        found = self.words_and_blanks.findall(joined)
+        if special:
+            found, blanks, at = [], found, 0
+            for token in [*blanks, " "]:
+                if token == " ":
+                    found += special.get(at, ())
+                    at += 1
+                found.append(token)
+            found.pop()
+        tokens = pa.array(found, pa.string())
+        blank = pc.equal(tokens, " ")
+        ends = np.append(np.flatnonzero(blank.to_numpy(zero_copy_only=False)), len(tokens))
+        return tokens.filter(pc.invert(blank)), np.diff(ends, prepend=-1) - 1
+
     def _learn(self, words: list[str]) -> None:
-        """Put words into the memo. Short words of like length go through the tree together."""
-        data = [word.encode("utf-8") for word in words]
-        classes: dict[int, list[int]] = {}
-        for i, word in enumerate(data):
-            if len(word) <= SHORT:
-                classes.setdefault(max(2, 1 << (len(word) - 1).bit_length()), []).append(i)
-            else:
-                letters = np.frombuffer(word, np.uint8)
-                ids = [*self.inner[letters[:-1]].tolist(), int(self.last[letters[-1]])]
-                self.memo[words[i]] = np.array(merge_word(ids, self.merges), "<u4").tobytes()
-        for size, members in classes.items():
-            for at in range(0, len(members), TOGETHER):
-                some = members[at : at + TOGETHER]
-                for i, ids in zip(some, self._merge_short([data[i] for i in some], size), strict=True):
-                    self.memo[words[i]] = ids
+        """Put words into their memo. Short words of like length go through the tree together."""
+        letters = pa.array(words, pa.string())
+        at = np.frombuffer(letters.buffers()[1], np.int32, len(words) + 1).astype(np.int64)
+        data, long = np.frombuffer(letters.buffers()[2], np.uint8), np.diff(at)
+        order = np.argsort(long, kind="stable")
+        short = int(np.searchsorted(long[order], SHORT, side="right"))
+        parts, counts = [], np.zeros(len(words), np.int64)
+        for first in range(0, short, TOGETHER):
+            some = order[first : min(first + TOGETHER, short)]
+            ids, counts[some] = self._merge_rows(data, at[some], long[some])
+            parts.append(ids)
+        for i in order[short:].tolist():
+            word = data[at[i] : at[i + 1]]
+            ids = merge_word([*self.inner[word[:-1]].tolist(), int(self.last[word[-1]])], self.merges)
+            counts[i] = len(ids)
+            parts.append(np.array(ids, "<u4"))
+        starts = np.empty_like(counts)
+        starts[order] = np.cumsum(counts[order]) - counts[order]
+        self.memo.add(words, np.concatenate(parts), starts, counts)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         pair = left.astype(np.int64) << 20 | right
@@ -222,54 +306,76 @@ class Encoder:
         return np.where(self.pairs[place] == pair, self.ranks[place], NO_MERGE)
 
     def _merge_short(self, words: list[bytes], size: int) -> list[bytes]:
-        """``merge_word`` for many words of at most ``size`` bytes, one tree a row.
+        """``merge_word`` for many words of at most ``size`` bytes."""
+        long = np.array([len(word) for word in words])
+        ids, counts = self._merge_rows(np.frombuffer(b"".join(words), np.uint8), np.cumsum(long) - long, long, size)
+        ends = np.cumsum(counts).tolist()
+        return [ids[start:end].tobytes() for start, end in zip([0, *ends], ends, strict=False)]
+
+    def _merge_rows(self, data: np.ndarray, starts: np.ndarray, long: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """``merge_word`` for many words: ``long`` bytes of ``data`` from ``starts`` on. Ids of
+        one word after another, and how many each has.
 
-        Column ``size`` of symbols, after and before stands for "none"; it never pairs.
+        There is one tree a word, of ``size`` leaves at least; a word is a column, a node or
+        place a row, so that a level of all trees is made at once from the one below. Place
+        ``size`` of symbols, after and before stands for "none"; it never pairs.
         """
-        count, none = len(words), 1 << 19
-        long = np.array([len(word) for word in words])
-        letters = np.frombuffer(b"".join(word.ljust(size, b"\0") for word in words), np.uint8).reshape(count, size)
-        column = np.arange(size, dtype=np.int32)
-        symbols = np.full((count, size + 1), none, np.int32)
-        symbols[:, :size] = np.where(column < long[:, None] - 1, self.inner[letters], none)
-        row = np.arange(count)
-        symbols[row, long - 1] = self.last[letters[row, long - 1]]
-        after = np.tile(np.append(column + 1, np.int32(size)), (count, 1))
-        before = np.tile(np.append(column - 1, np.int32(size)), (count, 1))
-        before[:, 0] = size
-        tree = np.full((count, 2 * size), NO_MERGE, np.int32)
-        tree[:, size : 2 * size - 1] = self._rank(symbols[:, : size - 1], symbols[:, 1:size])
-        half = size
-        while half > 1:
-            tree[:, half // 2 : half] = np.minimum(tree[:, half : 2 * half : 2], tree[:, half + 1 : 2 * half : 2])
-            half //= 2
-        row = row[tree[:, 1] != NO_MERGE]
-        while row.size:
-            node, least = np.ones_like(row), tree[row, 1]
-            for _ in range(size.bit_length() - 1):
-                node *= 2
-                node += tree[row, node] != least
-            place = node - size
-            gone = after[row, place]
-            following, previous = after[row, gone], before[row, place]
-            symbols[row, place] = self.made[least]
-            symbols[row, gone] = none
-            after[row, place] = following
-            before[row, following] = place
-            # the last leaf starts no pair: what has no place goes there
-            leaf = np.stack([gone, place, np.where(previous == size, size - 1, previous)])
-            tree[row, size + gone] = NO_MERGE
-            tree[row, size + place] = self._rank(symbols[row, place], symbols[row, following])
-            tree[row, size + leaf[2]] = self._rank(symbols[row, previous], symbols[row, place])
-            up = (leaf + size) >> 1
-            while up[0, 0]:
-                tree[row, up] = np.minimum(tree[row, 2 * up], tree[row, 2 * up + 1])
-                up >>= 1
-            row = row[tree[row, 1] != NO_MERGE]
-        kept = symbols[:, :size] != none
-        ends = np.cumsum(kept.sum(1)).tolist()
-        ids = symbols[:, :size][kept].astype("<u4").tobytes()
-        return [ids[4 * start : 4 * end] for start, end in zip([0, *ends], ends, strict=False)]
+        size = max(size, 1 << (int(long.max()) - 1).bit_length())
+        count, place = len(long), np.arange(size)[:, None]
+        letters = data[np.minimum(starts + place, len(data) - 1)]
+        column, final = np.arange(count), long - 1
+        symbols = np.full((size + 1, count), NO_SYMBOL, np.int32)
+        symbols[:size] = np.where(place < final, self.inner[letters], NO_SYMBOL)
+        symbols[final, column] = self.last[letters[final, column]]
+        after = np.repeat(np.minimum(np.arange(1, size + 2), size)[:, None], count, axis=1)
+        before = np.repeat(np.append(size, np.arange(size))[:, None], count, axis=1)
+        tree = np.full((2 * size, count), NO_MERGE, np.int32)
+        pair = letters[:-1].astype(np.int64) << 8 | letters[1:]
+        tree[size:-1] = np.where(place[:-1] < final - 1, self.inner_ranks[pair], NO_MERGE)
+        column = column[final > 0]
+        tree[size + final[column] - 1, column] = self.last_ranks[pair[final[column] - 1, column]]
+        merged, kept = np.empty((size, count), np.int32), np.arange(count)
+        while True:
+            half = size
+            while half > 1:
+                np.minimum(tree[half : 2 * half : 2], tree[half + 1 : 2 * half : 2], out=tree[half // 2 : half])
+                half //= 2
+            column = np.flatnonzero(tree[1] != NO_MERGE)
+            if 4 * len(column) < 3 * len(kept):  # put finished words aside
+                merged[:, kept] = symbols[:size]
+                if not len(column):
+                    break
+                kept = kept[column]
+                symbols, after, before, tree = (x.take(column, axis=1) for x in (symbols, after, before, tree))
+                column = np.arange(len(kept))
+            self._merge_once(column, symbols, after, before, tree)
+        there = merged.T != NO_SYMBOL
+        return merged.T[there].astype("<u4"), there.sum(1)
+
+    def _merge_once(self, column: np.ndarray, *parts: np.ndarray) -> None:
+        """Merge the pair of least rank in each word of ``column``; changes symbols, after,
+        before and the leaves of the tree."""
+        width, size = parts[0].shape[1], len(parts[0]) - 1
+        symbols, after, before, tree = (x.reshape(-1) for x in parts)
+        node, least = np.ones_like(column), tree[width + column]
+        for _ in range(size.bit_length() - 1):
+            node *= 2
+            node += tree[node * width + column] != least
+        place = node - size
+        here = place * width + column
+        gone = after[here] * width + column
+        following, previous = after[gone], before[here]
+        symbols[here] = made = self.made[least]
+        symbols[gone] = NO_SYMBOL
+        after[here] = following
+        right, left = following * width + column, previous * width + column
+        before[right] = place
+        leaves = size * width
+        tree[leaves + gone] = NO_MERGE
+        tree[leaves + here] = self._rank(made, symbols[right])
+        # the last leaf starts no pair: what has no place goes there
+        left_leaf = np.minimum(previous, size - 1) * width + column
+        tree[leaves + left_leaf] = self._rank(symbols[left], made)
 
     def decode(self, ids: bytes) -> str:
         """The tokens of the ids, blanks between."""

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import string
+import sys
 import zlib
 
 import numpy as np
@@ -98,6 +99,32 @@ def test_bpe(docs, none):
     assert bpe.encode_documents(none, bpe.default_vocabulary()).count() == 0
 
 
+def test_encoding_makes_no_calls_by_word():
+    rng = random.Random(8)
+    words = list({"".join(rng.choices("abcdefgh", k=9)) for _ in range(20_000)})
+    text, calls = " ".join(words), collections.Counter()
+    coder, library = bpe.Encoder(bpe.default_vocabulary()), Tokenizer.from_file(bpe.default_vocabulary())
+    sys.setprofile(lambda frame, event, arg: calls.update([event]))
+    try:
+        coded = coder.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert calls["call"] + calls["c_call"] < len(words) / 2
+    assert np.frombuffer(coded, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memos_that_start_anew(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_WORDS", 5)
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    odd = ["", " ", "a  b ", "x\x1cy z", "Tea's <|endoftext|>tea<|endoftext", "É é 1½ ΣΑΣ", "q" * 65 + " " + "é" * 32, "\x85tea\u2028tea"]
+    want = [np.array(library.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in odd]
+    coder = bpe.Encoder(bpe.default_vocabulary(), 4)
+    for _ in range(2):
+        assert [coder.encode(x) for x in odd] == coder.encode_batch(odd) == want
+    coder.forget()
+    assert coder.encode_batch([]) == [] and coder.encode_batch(odd[::-1]) == want[::-1]
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(5)
     for n in (0, 1, 700, 300_000):
