@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pulsegrid.llm.batches import Batches, documents, map_batches
 
 #: Words, and stretches between white space, whose ids a task remembers (some 200 bytes
-#: each); beyond that it starts anew.
-MEMO_WORDS, MEMO_STRETCHES = 200_000, 200_000
-#: Code points of text that are cut at once.
-AT_ONCE = 1 << 20
+#: each); beyond that it starts anew. No more words than stretches are remembered.
+MEMO_WORDS, MEMO_STRETCHES = 200_000, 60_000
+#: Code points of text that are cut at once, and of texts whose ids and decoded forms a task
+#: holds before it hands them on.
+AT_ONCE, HELD = 1 << 20, 1 << 19
 #: Words of at most so many bytes are merged many at a time, at most so many.
 SHORT, TOGETHER = 64, 4096
 
@@ -210,7 +211,7 @@ class Encoder:
         if len(self.known) + len(new) > self.stretches:
             self.known = Memo()
             places, new = self.known.places(distinct)
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > min(MEMO_WORDS, self.stretches):
             self.memo = self._added_alone()
         if new:
             self._learn_stretches(new)
@@ -394,6 +395,27 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces(batch: pa.RecordBatch) -> Batches:
+    """``batch`` of ids and texts in slices of about HELD code points."""
+    ends = np.cumsum(pc.utf8_length(batch.column(1)).to_numpy(zero_copy_only=False))
+    cuts = (np.flatnonzero(np.diff(ends // HELD)) + 1).tolist()
+    for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+        yield batch.slice(start, end - start)
+
+
+def encoded(coder: Encoder, batches: Batches) -> Batches:
+    """Ids of documents, the token ids of their texts and what these decode to.
+
+    Only a slice of a batch is there as strings, ids and decoded texts at a time.
+    """
+    for piece in chain.from_iterable(map(pieces, batches)):
+        ids = coder.batches_of(piece.column(1).to_pylist())
+        yield pa.record_batch(
+            [piece.column(0), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.string())],
+            ["doc_id", "ids", "decoded"],
+        )
+
+
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and what they decode to: doc_id, ids, decoded.
 
@@ -404,12 +426,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def task(batches: Batches) -> Batches:
         coder = encoder(path)
-        for batch in batches:
-            ids = coder.batches_of(batch.column(1).to_pylist())
-            yield pa.record_batch(
-                [batch.column(0), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.string())],
-                ["doc_id", "ids", "decoded"],
-            )
+        yield from encoded(coder, batches)
         coder.forget()
 
     source = documents(docs, id_col, text_col)

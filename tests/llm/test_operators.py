@@ -6,9 +6,11 @@ import random
 import re
 import string
 import sys
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -125,6 +127,28 @@ def test_memos_that_start_anew(monkeypatch):
     assert coder.encode_batch([]) == [] and coder.encode_batch(odd[::-1]) == want[::-1]
 
 
+def test_encoding_task_holds_little(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "map_batches", lambda df, task, schema: task)
+    path, rng = bpe.default_vocabulary(), random.Random(9)
+    coder, library = bpe.encoder(path), Tokenizer.from_file(path)
+    task = bpe.encode_documents(spark.createDataFrame([], "doc_id BIGINT, text STRING"), path)
+    words = lambda: " ".join("".join(rng.choices(string.ascii_lowercase, k=11)) for _ in range(160))
+    batches = [[words() if i % 9 else "" for i in range(1000)], [], *([words() for _ in range(n)] for n in (1000, 1))]
+    batches = [pa.record_batch([pa.array(range(len(x)), pa.int64()), pa.array(x, pa.string())], ["doc_id", "text"]) for x in batches]
+    rows, largest = 0, 0
+    tracemalloc.start()
+    try:
+        for out in task(iter(batches)):
+            rows, largest = rows + out.num_rows, max(largest, out.nbytes)
+            for ids, decoded in zip(*(out[c].slice(0, 1).to_pylist() for c in ("ids", "decoded")), strict=True):
+                assert decoded == library.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 2001 and not coder.known.place
+    assert peak < 45 << 20 and largest < 4 << 20, (peak, largest)
+
+
 def test_wavelet_matrix():
     rng = np.random.default_rng(5)
     for n in (0, 1, 700, 300_000):
