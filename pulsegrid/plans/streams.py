@@ -53,16 +53,18 @@ class _Run:
         self.store = Store(spark, root or f"{self.folder}/store", stream_id=stream_id)
         self.times = 1
 
-    def arrive(self, raw: DataFrame, files: int | None = None, rows: int = 0, padding: int = 0) -> "_Run":
+    def arrive(
+        self, raw: DataFrame, files: int | None = None, rows: int = 0, padding: int = 0, codec: str = "none"
+    ) -> "_Run":
         """``rows`` tells the size of a table that may be large; its lines get ``padding``
-        blanks on their way to the files."""
+        blanks on their way to the files. Files of a ``codec`` are read whole by one task."""
         # Several files even from a small table, so that there are several batches.
         files = files or self.spark.sparkContext.defaultParallelism
         self.times = _times_more_files(rows, files)
         dealt = raw.repartition(files * self.times)
         if padding:
             dealt = dealt.select(F.concat("raw", F.repeat(F.lit(" "), padding)).alias("raw"))
-        dealt.write.mode("append").text(self.log)
+        dealt.write.mode("append").option("compression", codec).text(self.log)
         return self
 
     def ingest(self, max_files: int | None = FILES_PER_BATCH, **options) -> "_Run":
@@ -135,7 +137,10 @@ def _unlike_files(spark, sf_dir):
     files out first, yet the rows of the older ones stay, and the newer ones are turned away."""
     first, again = _twice(spark, sf_dir)
     times = _times_more_files(first.count(), 2)
-    run = _Run(spark).arrive(first, files=16 * times).arrive(again, files=2 * times, padding=2_000)
+    # As plain text the blanks would take 2 kB a row; as lz4 a newer file still is many times
+    # the size of an older one.
+    run = _Run(spark).arrive(first, files=16 * times, codec="lz4")
+    run.arrive(again, files=2 * times, padding=2_000, codec="lz4")
     run.ingest(max_files=None, unique_ids=True)
     batches = run.store.commits().agg(F.count(F.lit(1)).alias("batches"))
     return run.store.messages().select(_STORED).join(F.broadcast(batches))

@@ -132,7 +132,8 @@ class Store:
             F.max("max_ts_ms").alias("max_ts_ms"),
             F.collect_list(F.struct("event_date", "day_rows")).alias("days"),
         )
-        rejected = 0 if quarantine is None else quarantine.count()
+        # As written: working it out again may cost a join of the whole batch.
+        rejected = 0 if quarantine is None else read_table(self.spark, self.root, "quarantine", part).count()
         overwrite(
             summary.withColumns(
                 {

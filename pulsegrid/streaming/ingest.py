@@ -1,6 +1,7 @@
 """Streaming ingest of JSON messages into a store."""
 
 from collections.abc import Callable, Iterable
+from contextlib import ExitStack
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
@@ -65,20 +66,20 @@ def load_batch(
     # often most of a row, is not needed any more.
     read = read_messages(raw, require_id=unique_ids, **parse_options)
     text = F.when(F.col("reason").isNotNull(), F.col("raw"))
-    read = read.withColumn("raw", text).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with ExitStack() as held:
+        read = _hold(read.withColumn("raw", text), held)
         good, bad = accepted(numbered(read, batch_id)), quarantined(read)
         if unique_ids:
-            good, repeats = _split_repeats(store, good)
+            good, repeats = _split_repeats(store, good, held)
             bad = bad.unionByName(repeats)
-            good = good.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            return store.append(good, batch_id, quarantine=bad, also=also, writer=writer)
-        finally:
-            if unique_ids:
-                good.unpersist()
-    finally:
-        read.unpersist()
+        return store.append(good, batch_id, quarantine=bad, also=also, writer=writer)
+
+
+def _hold(rows: DataFrame, held: ExitStack) -> DataFrame:
+    """``rows`` persisted until ``held`` closes."""
+    rows.persist(StorageLevel.MEMORY_AND_DISK)
+    held.callback(rows.unpersist)
+    return rows
 
 
 def numbered(read: DataFrame, batch_id: int) -> DataFrame:
@@ -105,10 +106,15 @@ def numbered(read: DataFrame, batch_id: int) -> DataFrame:
     return read.join(starts, keys).withColumn("seq", F.col("seq") + F.col("_shift")).drop("_shift")
 
 
-def _split_repeats(store: Store, good: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _split_repeats(store: Store, good: DataFrame, held: ExitStack) -> tuple[DataFrame, DataFrame]:
     """First arrivals of new ids, and the other rows as quarantine. ``seq`` tells rows apart,
     so what is not kept needs no comparison of whole rows."""
-    fresh = store.ids().unknown(first_by_id(good, ["seq"]))
+    # A look-up reads its probes up to six times, each a shuffle of the batch if they were not
+    # kept; they are dropped as soon as its result is.
+    firsts = _hold(first_by_id(good, ["seq"]), held)
+    fresh = _hold(store.ids().unknown(firsts), held)
+    fresh.count()
+    firsts.unpersist()
     return fresh, good.join(fresh.select("seq"), "seq", "left_anti").select(
         wire_text().alias("raw"),
         F.lit(DUPLICATE_ID).alias("reason"),

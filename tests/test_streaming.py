@@ -250,3 +250,71 @@ def test_text_of_good_rows_is_not_kept(spark, monkeypatch):
     assert ingest.load_batch(store, raw, 0)
     assert [r.raw for r in held[0].collect() if r.raw is not None] == ["rubbish"]
     assert [r.raw for r in store.quarantine().collect()] == ["rubbish"] and store.messages().count() == 1
+
+
+def _events(spark, count):
+    folder = workspace(spark, "few-events")
+    spark.range(count).selectExpr(
+        "id AS event_id",
+        "cast(timestamp_millis(1704067200000 + id * 40009) AS TIMESTAMP_NTZ) AS ts",
+        "id % 7 AS user_id",
+        "'view' AS event_type",
+        "id / 4 AS value",
+        "'{}' AS props",
+    ).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def test_blanks_of_unlike_files_take_little_disk(spark, monkeypatch):
+    """Every line keeps its blanks, and newer files stay many times the size of older ones."""
+    runs, rows = [], 4_000
+
+    class Run(streams._Run):
+        def __init__(self, *args):
+            super().__init__(*args)
+            runs.append(self)
+
+    monkeypatch.setattr(streams, "_Run", Run)
+    stored = streams._unlike_files(spark, _events(spark, rows))
+    assert stored.count() == stored.select("id").distinct().count() == rows
+    assert stored.filter("batches = 1 AND ts_ms >= 1704067200000").count() == rows
+    [run] = runs
+    lines = spark.read.text(run.log).selectExpr(
+        "length(value) - length(rtrim(value)) AS blanks", "length(value) AS long", "_metadata.file_path AS path", "_metadata.file_size AS size"
+    )
+    assert rows_of(lines.groupBy("blanks").count()) == [(0, rows), (2_000, rows)]
+    files = lines.groupBy("path", "size").agg(F.max("blanks").alias("blanks"), F.sum("long").alias("long")).collect()
+    assert sum(f.size for f in files) < sum(f.long for f in files) / 20
+    older, newer = ([f.size for f in files if (f.blanks > 0) == padded] for padded in (False, True))
+    assert (len(older), len(newer)) == (16, 2) and min(newer) > 5 * max(older)
+
+
+def test_first_arrivals_are_kept_while_they_are_looked_up(spark, feed, monkeypatch):
+    """A look-up reads its probes several times; nothing stays cached after the batch."""
+    from pulsegrid.storage.ids import Ids
+
+    probed, unknown = [], Ids.unknown
+    monkeypatch.setattr(Ids, "unknown", lambda ids, probes: probed.append((probes, probes.is_cached)) or unknown(ids, probes))
+    for batch_id, rows in enumerate(([("a", B, 1, 1), ("a", B, 1, 2)], [("a", B, 1, 3), ("b", B, 1, 4), ("c", B, 1, 5)])):
+        raw = _lines(spark, rows).toDF("raw")
+        load_batch(feed.store, raw, batch_id, unique_ids=True, timestamp="any")
+    assert [kept for _, kept in probed] == [True, True]
+    assert not any(rows.storageLevel.useMemory or rows.storageLevel.useDisk for rows, _ in probed)
+    assert rows_of(feed.store.messages().select("id", "value")) == [("a", 1), ("b", 4), ("c", 5)]
+    assert feed.store.quarantine().count() == 2 and feed.store.count().first()[0] == 3
+
+
+def test_quarantine_is_worked_out_once(spark, feed, messages_of):
+    seen = spark.sparkContext.accumulator(0)
+
+    def bad(raw):
+        seen.add(1)
+        return True
+
+    rejected = spark.createDataFrame([(f"bad {n}", "malformed_json") for n in range(5)], "raw STRING, reason STRING")
+    rejected = rejected.filter(F.udf(bad, "boolean")("raw")).withColumn("ingest_ts", F.current_timestamp())
+    feed.store.append(messages_of([(B, 1, 2)]), 0, quarantine=rejected)
+    assert seen.value == 5 and feed.store.quarantine().count() == 5
+    assert feed.store.commits().first()["quarantined"] == 5
+    feed.store.append(messages_of([(B, 1, 3)]), 1, quarantine=rejected.limit(0))
+    assert sorted(r["quarantined"] for r in feed.store.commits().collect()) == [0, 5]
