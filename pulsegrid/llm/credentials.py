@@ -27,6 +27,8 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]+")
 #: Base kinds in order, and the kind of what the automata add.
 KINDS, LEARNED = ("assign", "access", "hex"), "format"
+#: Ordinary runs that are learned from only if no document has a better one.
+SPARE = "spare"
 #: A candidate: a run of credential characters as long as the shortest secret the patterns take.
 RUN = re.compile("[A-Za-z0-9+/_=-]{12,}")
 ORDINARY = re.compile("[A-Za-z0-9+/_=-]{8,}")
@@ -208,7 +210,8 @@ class Model(NamedTuple):
 
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """kind and text of what is learned from: secret parts of the base matches, and one
-    ordinary run of each document (kind null); written, so texts are read once."""
+    ordinary run of each document (kind null; ``SPARE`` if not the first after a third of
+    the text); written, so texts are read once."""
 
     def task(batches: Batches) -> Batches:
         for batch in batches:
@@ -217,9 +220,12 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 base = base_spans(text)
                 kinds += [k for k, *_ in base]
                 found += [x for *_, x in base]
-                first = ORDINARY.search(text, len(text) // 3)
-                if first is not None and not any(s < first.end() and first.start() < e for _, s, e, _ in base):
-                    kinds.append(None)
+                clear = lambda m: not any(s < m.end() and m.start() < e for _, s, e, _ in base)  # noqa: B023, E731
+                first, kind = ORDINARY.search(text, len(text) // 3), None
+                if first is None or not clear(first):
+                    first, kind = next(filter(clear, ORDINARY.finditer(text)), None), SPARE
+                if first is not None:
+                    kinds.append(kind)
                     found.append(first[0])
             yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["kind", "text"])
 
@@ -236,7 +242,7 @@ def learn(rows: DataFrame, sample: int = SAMPLE) -> Model:
         return [shape(row[0]) for row in bounded.collect()]
 
     kinds = {k: some(k) for k in KINDS}
-    ordinary = some(None)
+    ordinary = some(None) or some(SPARE)
     if not ordinary:
         return Model({}, [])
     return Model({k: automaton(x) for k, x in kinds.items() if x}, automaton(ordinary))
